@@ -44,23 +44,27 @@ def near_segments(
     cell: float | None = None,
     spread: Sequence[str] = ("point_id",),
     hot_rows: int | None = HOT_ROWS,
+    reserve: Column | None = None,
 ) -> DataFrame:
     """Pairs (point, segment) not farther than ``radius``, with ``distance``.
 
+    With ``reserve`` (a column of the segments) the limit is ``radius + reserve`` per segment.
+
     A point sits in exactly one cell and a segment once in each cell its surroundings touch,
     so every pair appears once and no de-duplicating shuffle follows.
     """
     size = float(cell or max(radius, 1.0))
+    limit = F.lit(float(radius)) if reserve is None else F.lit(float(radius)) + reserve
     left = points.withColumn("_cx", geom.cell_of("x", size)).withColumn("_cy", geom.cell_of("y", size))
     right = (
-        segments.withColumn("_c", F.explode(geom.cover_cells("x1", "y1", "x2", "y2", size, radius)))
+        segments.withColumn("_c", F.explode(geom.cover_cells("x1", "y1", "x2", "y2", size, limit)))
         .withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
     )
     keys = [*on, "_cx", "_cy"]
     if hot_rows:
         left, right, keys = split_hot(left, right, keys, spread, hot_rows)
     pairs = left.join(right, keys, "inner").drop("_cx", "_cy", "_salt")
-    return pairs.withColumn("distance", geom.segment_distance()).where(F.col("distance") <= radius)
+    return pairs.withColumn("distance", geom.segment_distance()).where(F.col("distance") <= limit)
 
 
 def near_points(

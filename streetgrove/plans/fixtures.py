@@ -28,6 +28,16 @@ def _place(key: str, site: str, mx: int = 7919, my: int = 104729) -> str:
     )
 
 
+_GENERA = (
+    "tilia", "acer", "populus", "crataegus", "larix", "betula", "syringa", "lonicera", "cotoneaster", "cornus",
+    "quercus", "reynoutria", "ailanthus", "fraxinus", "rosa", "prunus", "spiraea", "picea", "pinus",
+)
+_EPITHETS = {"acer": "negundo", "cornus": "alba", "quercus": "rubra", "ailanthus": "altissima",
+             "fraxinus": "pennsylvanica", "rosa": "rugosa", "prunus": "virginiana"}
+_GENUS = "case s%19 " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(_GENERA)) + " end"
+_EPITHET = "case s%19 " + " ".join(f"when {_GENERA.index(g)} then '{e}'" for g, e in _EPITHETS.items()) + " else 'vulgaris' end"
+
+
 FIXTURES: dict[str, str] = {
     "sites": """select cast(r_regionkey as bigint) as site_id, cast(1000*r_regionkey as double) as x0,
         cast(1000*r_regionkey+1000 as double) as x1, cast(0 as double) as y0, cast(1000 as double) as y1,
@@ -68,9 +78,9 @@ FIXTURES: dict[str, str] = {
     "names": """select p_partkey as feature_id, p_name as layer, p_brand as block, p_type as kind, p_size as size from part""",
     # catalogue of 58 species: every part goes into one of them
     "species_rows": """select p_partkey%58 as species_no, sum(cast(p_size as bigint)) as s, count(*) as n from part group by p_partkey%58""",
-    "species": """select species_no, concat('sp', cast(species_no as varchar(4))) as species_code,
-        concat('genus', cast(s%19 as varchar(4))) as genus, concat('family', cast((s%19)%7 as varchar(4))) as family,
-        concat('genus', cast(s%19 as varchar(4)), ' sp', cast(species_no as varchar(4))) as name_lat,
+    "species": f"""select species_no, concat('sp', cast(species_no as varchar(4))) as species_code,
+        {_GENUS} as genus, concat('family', cast((s%19)%7 as varchar(4))) as family,
+        concat(upper(substring({_GENUS},1,1)), substring({_GENUS},2,20), ' ', case when species_no%2=0 then {_EPITHET} else 'hybrida' end) as name_lat,
         case when species_no%2=0 then 'tree' else 'shrub' end as life_type,
         cast(species_no%10 as bigint)<2 as conifer,
         2+cast(s%50 as double)/5 as crown_mature_m, 1+cast(s%40 as double)/2 as height_m, 2+s%4 as hardiness_zone,
@@ -78,7 +88,7 @@ FIXTURES: dict[str, str] = {
         s%3 as allergen, s%11=0 as thorny, s%13=0 as fluff, s%17=0 as fruit_litter, 20+s%180 as lifespan_years, 1+s%3 as care_level, n as pilot_count,
         case s%4 when 0 then 'plus' when 1 then 'limited' when 2 then 'minus' else null end as category_mark,
         1+s%12 as month_a, 1+(s+1)%12 as month_b
-        from {species_rows}""",
+        from {{species_rows}}""",
     "inventory": """select c_mktsegment as name, 1+c_custkey%4 as cnt, case when c_acctbal<0 then 'remove' else 'keep' end as verdict, c_custkey as row_no, c_custkey%5 as site_id from customer""",
     "edits": """select user_id%7 as run_id, event_id as seq, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
         event_type, value, user_id, props from events""",

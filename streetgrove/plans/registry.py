@@ -35,7 +35,10 @@ def query(name: str, *, sql: str | None = None, uses: tuple[str, ...] = (), extr
         if sql is not None:
             parts = [p for p in (fixtures.ctes(*uses) if uses else "", extra.strip().rstrip(",")) if p]
             prefix = ("with " + ("recursive " if recursive else "") + ",\n".join(parts) + "\n") if parts else ""
-            ORACLES[name] = prefix + sql.strip()
+            body = sql.strip()
+            if prefix and body.lower().startswith("with "):
+                prefix, body = prefix.rstrip() + ",\n", body[5:]
+            ORACLES[name] = prefix + body
         return fn
 
     return add
