@@ -87,7 +87,8 @@ FIXTURES: dict[str, str] = {
         case s%3 when 0 then 'sun' when 1 then 'semi' else 'shade' end as light, s%3 as salt, (s+1)%3 as gas, (s+2)%3 as compaction,
         s%3 as allergen, s%11=0 as thorny, s%13=0 as fluff, s%17=0 as fruit_litter, 20+s%180 as lifespan_years, 1+s%3 as care_level, n as pilot_count,
         case s%4 when 0 then 'plus' when 1 then 'limited' when 2 then 'minus' else null end as category_mark,
-        1+s%12 as month_a, 1+(s+1)%12 as month_b
+        1+s%12 as month_a, 1+(s+1)%12 as month_b, s%2=0 as use_row, s%3=0 as use_group, s%5=0 as use_single, s%7=0 as evergreen,
+        case when s%6=0 then false when s%6<4 then true else null end as city_mark, s%9=0 as male_clone, s%8 as pilot_streets
         from {{species_rows}}""",
     "inventory": """select c_mktsegment as name, 1+c_custkey%4 as cnt, case when c_acctbal<0 then 'remove' else 'keep' end as verdict, c_custkey as row_no, c_custkey%5 as site_id from customer""",
     "edits": """select user_id%7 as run_id, event_id as seq, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
