@@ -47,7 +47,7 @@ FIXTURES: dict[str, str] = {
         case when o_orderpriority in ('1-URGENT','2-HIGH') then 'tree' else 'shrub' end as planting_type,
         o_custkey%58 as species_no, cast(floor(o_orderkey/3) as bigint) as station, o_orderkey%3 as opt,
         case o_orderkey%5 when 0 then 'existing_row' when 1 then 'alley' when 2 then 'lawn' when 3 then 'groups' else 'fill' end as mode,
-        o_orderstatus as status, cast(o_totalprice as double) as price, o_orderpriority as priority
+        o_custkey as owner, (o_orderkey*37)%101 as percent, o_orderstatus as status, cast(o_totalprice as double) as price, o_orderpriority as priority
         from orders""",
     "line_rows": """select l_orderkey as feature_id, max(l_quantity) as q, min(l_suppkey) as sk, min(l_partkey) as pk,
         max(l_discount) as dc, max(abs(l_tax)) as tx from lineitem group by l_orderkey""",
@@ -90,6 +90,8 @@ FIXTURES: dict[str, str] = {
         1+s%12 as month_a, 1+(s+1)%12 as month_b, s%2=0 as use_row, s%3=0 as use_group, s%5=0 as use_single, s%7=0 as evergreen,
         case when s%6=0 then false when s%6<4 then true else null end as city_mark, s%9=0 as male_clone, s%8 as pilot_streets
         from {{species_rows}}""",
+    # streets with a length from the project note
+    "streets": """select o_custkey%5 as site_id, cast(10*count(*) as double) as length_m, count(distinct cast(floor(o_orderkey/3) as bigint)) as capacity from orders group by o_custkey%5""",
     "inventory": """select c_mktsegment as name, 1+c_custkey%4 as cnt, case when c_acctbal<0 then 'remove' else 'keep' end as verdict, c_custkey as row_no, c_custkey%5 as site_id from customer""",
     "edits": """select user_id%7 as run_id, event_id as seq, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
         event_type, value, user_id, props from events""",
