@@ -129,8 +129,9 @@ def cover_intervals(segments: DataFrame, circles: DataFrame, reach: float) -> Da
     """Part [a, b] of every segment (metres from its start) that each circle covers."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     pairs = spatial.near_segments(circles, segments, reach).where(F.col("distance") < F.col("radius")).withColumn("len", geom.segment_length()).where(F.col("len") > 0)
-    along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.col("len")
-    off = ((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx) / F.col("len")
+    size = F.nullif("len", F.lit(0.0))
+    along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / size
+    off = ((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx) / size
     half = F.sqrt(F.greatest(F.lit(0.0), F.col("radius") * F.col("radius") - off * off))
     return pairs.withColumn("a", F.greatest(F.lit(0.0), along - half)).withColumn("b", F.least(F.col("len"), along + half)).where(F.col("b") > F.col("a"))
 
