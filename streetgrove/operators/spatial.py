@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
+from streetgrove.session import cut
 
 HOT_ROWS = 200_000  # rows of one cell that a single task is trusted with
 
@@ -139,3 +140,42 @@ def contained(
 
 def snap_cell(x: Column | str, y: Column | str, size: float) -> tuple[Column, Column]:
     return geom.cell_of(x, size), geom.cell_of(y, size)
+
+
+def nearest_segment(
+    points: DataFrame, segments: DataFrame, rings: Sequence[float], *, key: Sequence[str] = ("site_id", "point_id"), payload: Sequence[str] = ("feature_id",),
+) -> DataFrame:
+    """Nearest segment of every point with its ends, widening ring by ring; ties to the smallest payload.
+
+    Points without a segment within the last ring are absent from the result.
+    """
+    todo, found = points, None
+    fields = [*payload, "x1", "y1", "x2", "y2"]
+    for i, radius in enumerate(rings):
+        pairs = near_segments(todo.select(*key, "x", "y"), segments.select("site_id", *fields), radius)
+        best = pairs.groupBy(*key).agg(F.min(F.struct("distance", *fields)).alias("n"))
+        if i < len(rings) - 1:
+            best = cut(best, "nearest")
+            todo = cut(todo.join(best.select(*key), list(key), "left_anti"), "todo")
+        found = best if found is None else found.unionByName(best)
+    return found.select(*key, "n.distance", *[F.col(f"n.{c}").alias(c) for c in fields])
+
+
+def foot(px="x", py="y", x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[Column, Column]:
+    """Closest point of a segment."""
+    px, py, x1, y1, x2, y2 = (geom.col(c) for c in (px, py, x1, y1, x2, y2))
+    dx, dy = x2 - x1, y2 - y1
+    norm = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(norm == 0, 0.0).otherwise(((px - x1) * dx + (py - y1) * dy) / norm)))
+    return x1 + t * dx, y1 + t * dy
+
+
+def crossing_segments(lines: DataFrame, segments: DataFrame, *, key: Sequence[str], cell: float = 32.0) -> DataFrame:
+    """Keys of lines (ax, ay, bx, by) that properly cross a segment of the same site."""
+    def cells(df: DataFrame, a: tuple[str, str, str, str]) -> DataFrame:
+        return df.withColumn("_c", F.explode(geom.cover_cells(*a, cell, 0.0))).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
+
+    lhs = cells(lines, ("ax", "ay", "bx", "by"))
+    rhs = cells(segments.select("site_id", "x1", "y1", "x2", "y2"), ("x1", "y1", "x2", "y2"))
+    hits = lhs.join(rhs, ["site_id", "_cx", "_cy"]).where(geom.segments_cross(("ax", "ay", "bx", "by"), ("x1", "y1", "x2", "y2")))
+    return hits.select(*key).distinct()

@@ -93,7 +93,16 @@ FIXTURES: dict[str, str] = {
     # streets with a length from the project note
     "streets": """select o_custkey%5 as site_id, cast(10*count(*) as double) as length_m, count(distinct cast(floor(o_orderkey/3) as bigint)) as capacity from orders group by o_custkey%5""",
     "inventory": """select c_mktsegment as name, 1+c_custkey%4 as cnt, case when c_acctbal<0 then 'remove' else 'keep' end as verdict, c_custkey as row_no, c_custkey%5 as site_id from customer""",
-    "edits": """select user_id%7 as run_id, event_id as seq, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
+    # carriageways: one across the site per nation; zoning squares around suppliers
+    "roads": """select 2000000000+cast(n_nationkey as bigint) as feature_id, cast(n_nationkey%5 as bigint) as site_id, cast(1000*(n_nationkey%5) as double) as x, cast((n_nationkey*37)%950 as double) as y,
+        cast(1000 as double) as w, cast(8+n_nationkey%6 as double) as d from nation""",
+    "road_edges": """select site_id, feature_id, 'road' as object_class, x as x1, y as y1, x+w as x2, y as y2 from {roads} union all select site_id, feature_id, 'road', x+w, y, x+w, y+d from {roads}
+        union all select site_id, feature_id, 'road', x+w, y+d, x, y+d from {roads} union all select site_id, feature_id, 'road', x, y+d, x, y from {roads}""",
+    "zones": f"""select 3000000000+s_suppkey as feature_id, s_suppkey%5 as site_id, {_place('s_suppkey', 's_suppkey%5', 32452867, 86028157)}, cast(40+s_suppkey%50 as double) as w, cast(30+s_suppkey%40 as double) as d,
+        case s_suppkey%6 when 0 then 'territory.street' when 1 then 'territory.yard' when 2 then 'territory.square' when 3 then 'territory.park' when 4 then 'territory.protected_green' else 'territory.natural' end as object_class from supplier""",
+    "zone_edges": """select site_id, feature_id, object_class, x as x1, y as y1, x+w as x2, y as y2 from {zones} union all select site_id, feature_id, object_class, x+w, y, x+w, y+d from {zones}
+        union all select site_id, feature_id, object_class, x+w, y+d, x, y+d from {zones} union all select site_id, feature_id, object_class, x, y+d, x, y from {zones}""",
+    "edits": """select user_id%7 as run_id, event_id as seq, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as target, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
         event_type, value, user_id, props from events""",
 }
 
