@@ -38,6 +38,15 @@ _GENUS = "case s%19 " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(_G
 _EPITHET = "case s%19 " + " ".join(f"when {_GENERA.index(g)} then '{e}'" for g, e in _EPITHETS.items()) + " else 'vulgaris' end"
 
 
+_DRAWN_WORDS = (
+    ("bolt", "газопровод"), ("ring", "колодец"), ("gear", "тротуар"), ("gizmo", "газон"), ("anvil", "здание"), ("plate", "кабель связи"),
+    ("rod", "БР100"), ("widget", "дерево"), ("cold", "край дороги"), ("red", "демонтаж"), ("new", "новый"), ("old", "сущ"), ("hot", "проект"),
+    ("large", "подпись"), ("small", "без"), ("blue", "слой"),
+)
+_LAYER = "p_name"
+for _word, _drawn in _DRAWN_WORDS:
+    _LAYER = f"replace({_LAYER},'{_word}','{_drawn}')"
+
 FIXTURES: dict[str, str] = {
     "sites": """select cast(r_regionkey as bigint) as site_id, cast(1000*r_regionkey as double) as x0,
         cast(1000*r_regionkey+1000 as double) as x1, cast(0 as double) as y0, cast(1000 as double) as y1,
@@ -76,6 +85,11 @@ FIXTURES: dict[str, str] = {
     "labels_t": f"""select p_partkey as label_id, p_partkey%5 as site_id, {_place('p_partkey', 'p_partkey%5', 141650939, 179424673)},
         p_type as layer, case when p_partkey%2=0 then concat('d=', cast(p_size*20 as varchar(12))) else p_name end as text from part""",
     "names": """select p_partkey as feature_id, p_name as layer, p_brand as block, p_type as kind, p_size as size from part""",
+    # objects of a drawing before classification, layers named as draughtsmen name them
+    "drawn": f"""select p_partkey as feature_id, p_partkey%5 as site_id, concat('tp$0$', {_LAYER}) as layer, concat('xr|', p_brand, '_', cast(p_size as varchar(4))) as block,
+        case p_size%4 when 0 then 'point' when 1 then 'line' when 2 then 'circle' else 'area' end as kind,
+        case when p_size%4=2 then cast(p_size as double)/10 else null end as radius_m, p_size%9=0 as is_frame,
+        case when p_size%7=0 then null else cast(p_size as double)/100 end as error_m, p_size as size, p_type as sheet from part""",
     # catalogue of 58 species: every part goes into one of them
     "species_rows": """select p_partkey%58 as species_no, sum(cast(p_size as bigint)) as s, count(*) as n from part group by p_partkey%58""",
     "species": f"""select species_no, concat('sp', cast(species_no as varchar(4))) as species_code,

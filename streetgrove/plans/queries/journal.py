@@ -130,8 +130,8 @@ def progress_estimate(t):
 
 @query(
     "recent_runs", uses=(),
-    sql="""with r as (select o_orderkey as run_id, o_custkey%5 as store, o_orderdate as at, o_orderstatus as state, cast(floor(o_totalprice) as bigint) as size from orders),
-       c as (select *, sum(size) over (partition by store order by at desc, run_id desc) as upto, row_number() over (partition by store order by at desc, run_id desc) as place from r)
+    sql="""with r as (select o_orderkey as run_id, o_custkey%5 as store, o_orderdate as ts, o_orderstatus as state, cast(floor(o_totalprice) as bigint) as size from orders),
+       c as (select *, sum(size) over (partition by store order by ts desc, run_id desc) as upto, row_number() over (partition by store order by ts desc, run_id desc) as place from r)
        select store, run_id, cast(place as int) as place, state='F' and upto>10000000 as remove from c where place<=10 or (state='F' and upto>10000000)""",
 )
 def recent_runs(t):
