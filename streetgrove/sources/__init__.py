@@ -1 +1 @@
-
+"""Readers and decisions about incoming layers, sheets and drawings."""
