@@ -64,26 +64,3 @@ def cell_of(value, size: float) -> Column:
 
 def cell_range(low: Column, high: Column, size: float) -> Column:
     return F.sequence(cell_of(low, size), cell_of(high, size))
-
-
-def cover_cells(x1, y1, x2, y2, size: float, reach: Column | float) -> Column:
-    """Array of (cx, cy) cells that can hold a point within ``reach`` of the segment.
-
-    A long segment is walked in pieces of one cell, so a diagonal costs its length and not
-    its bounding box.
-    """
-    x1, y1, x2, y2 = (col(c) for c in (x1, y1, x2, y2))
-    pieces = F.greatest(F.lit(1), F.ceil(hypot2(x2 - x1, y2 - y1) / F.lit(float(size)))).cast("int")
-
-    def piece(k: Column) -> Column:
-        a, b = k / pieces, (k + F.lit(1)) / pieces
-        ax, bx = x1 + a * (x2 - x1), x1 + b * (x2 - x1)
-        ay, by = y1 + a * (y2 - y1), y1 + b * (y2 - y1)
-        pad = (reach if isinstance(reach, Column) else F.lit(float(reach))) + F.lit(1e-6)
-        xs = cell_range(F.least(ax, bx) - pad, F.greatest(ax, bx) + pad, size)
-        ys = cell_range(F.least(ay, by) - pad, F.greatest(ay, by) + pad, size)
-        return F.flatten(
-            F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))))
-        )
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - F.lit(1)), piece)))

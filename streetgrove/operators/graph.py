@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
@@ -93,10 +93,10 @@ def first_spaced_points(
 
     Two points of one cell of side gap/2 always conflict (its diagonal is shorter than the gap),
     so only the first undecided point of a cell can be kept in a round. A round reduces the points
-    to one leader per cell (combined before the shuffle), keeps the leaders that precede every
-    leader of the 5x5 neighbourhood, and drops the points closer than the gap to a kept one. The
-    fan-out is bounded by the neighbourhood however dense a place is. With ``group`` (options of
-    one station) at most one point of a group is kept. Equals the sequential pass exactly.
+    to one leader per cell (combined before the shuffle), keeps the leaders that no earlier
+    undecided point within the gap precedes, and drops the points nearer than the gap to a kept
+    one. A point meets at most the 25 leaders around it, however dense a place is. With ``group``
+    (options of one station) at most one point of a group is kept. Equals the sequential pass.
     """
     on = list(on)
     size = gap / 2.0
@@ -109,27 +109,26 @@ def first_spaced_points(
         "undecided",
     )
     steps = F.sequence(F.lit(-reach), F.lit(reach))
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Rows (cx, cy, x, y, rank) repeated into their neighbourhood as (kx, ky, krank)."""
+        return rows.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(
+            *on, F.col(key).alias("lead"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"),
+            F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("rank").alias("krank"))
+
     kept = None
     for _ in range(max_rounds):
-        leaders = left.groupBy(*on, "cx", "cy").agg(F.min("rank").alias("rank"))
-        around = (
-            leaders.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-            .select(*on, (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "rank")
-            .groupBy(*on, "cx", "cy").agg(F.min("rank").alias("best"))
-        )
-        chosen = leaders.join(around, [*on, "cx", "cy"]).where(F.col("rank") == F.col("best")).select(*on, "cx", "cy", "rank")
-        picked = left.join(chosen, [*on, "cx", "cy", "rank"], "left_semi")
+        first_of_cell = left.groupBy(*on, "cx", "cy").agg(F.min(F.struct("rank", key, "x", "y", *extra)).alias("m"))
+        leaders = first_of_cell.select(*on, "cx", "cy", "m.*")
+        near = (geom.point_distance("x", "y", "kx", "ky") < gap) & (F.col("rank") < F.col("krank"))
+        beaten = left.join(around(leaders), [*on, "cx", "cy"]).where(near).select(*on, F.col("lead").alias(key)).distinct()
+        picked = leaders.join(beaten, [*on, key], "left_anti")
         if group:
             first = left.groupBy(*on, group).agg(F.min("rank").alias("_first"))
-            picked = picked.join(first, [*on, group]).where(F.col("rank") == F.col("_first")).drop("_first")
+            picked = picked.join(first, [*on, group]).where(F.col("rank") == F.col("_first")).drop("_first")  # first of its station
         picked = cut(picked, "kept")
-        blockers = (
-            picked.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-            .select(*on, (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"),
-                    F.col("x").alias("kx"), F.col("y").alias("ky"))
-        )
         struck = (
-            left.join(blockers, [*on, "cx", "cy"])
+            left.join(around(picked), [*on, "cx", "cy"])
             .where(geom.point_distance("x", "y", "kx", "ky") < gap).select(*on, key).distinct()
         )
         rest = left.join(struck, [*on, key], "left_anti")
@@ -140,7 +139,3 @@ def first_spaced_points(
         if left.isEmpty():
             return kept.select(*on, key)
     raise RuntimeError("thinning did not settle; raise max_rounds")
-
-
-def ordered_rank(*parts: Column) -> Column:
-    return F.struct(*parts)

@@ -127,7 +127,9 @@ def at_offsets(points: DataFrame, offsets: Sequence[tuple[float, float, float]])
 
 
 def clear_of(points: DataFrame, others: DataFrame, gap: float, key: Sequence[str]) -> DataFrame:
-    """Points not nearer than ``gap`` to any of ``others``."""
+    """Points not nearer than ``gap`` to any of ``others``; the points are written once because the
+    search reads them three times."""
+    points = cut(points, "points")
     near = spatial.near_points(points.select("site_id", *key, "x", "y"), others.select("site_id", F.col("x").alias("bx"), F.col("y").alias("by")), gap, spread=key).where(F.col("distance") < gap)
     return points.join(near.select("site_id", *key).distinct(), ["site_id", *key], "left_anti")
 

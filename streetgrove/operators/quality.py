@@ -47,7 +47,7 @@ def half_sums(values: DataFrame, goals: DataFrame, value: str = "value") -> Data
     sums = values.groupBy("site_id").agg(
         F.sum(F.when(tree, F.col(value)).otherwise(0.0)).alias("trees"), F.sum(F.when(tree, 0.0).otherwise(F.col(value))).alias("shrubs")
     )
-    return sums.join(F.broadcast(goals), "site_id").withColumn(
+    return sums.join(goals, "site_id").withColumn(
         "score", 0.5 * F.least(F.lit(1.0), F.col("trees") / F.col("t_trees")) + 0.5 * F.least(F.lit(1.0), F.col("shrubs") / F.col("t_shrubs"))
     )
 
@@ -72,7 +72,7 @@ def species_credit(plan: DataFrame, goals: DataFrame) -> DataFrame:
     counts = plan.groupBy("site_id", "planting_type", "species_no").agg(F.count(F.lit(1)).alias("n"))
     goal = F.when(F.col("planting_type") == "tree", F.col("t_trees")).otherwise(F.col("t_shrubs"))
     unit = F.greatest(F.lit(1.0), F.lit(DIVERSITY_SHARE) * goal)
-    return counts.join(F.broadcast(goals), "site_id").withColumn("unit", unit).withColumn("credit", F.least(F.lit(1.0), F.col("n") / F.col("unit")))
+    return counts.join(goals, "site_id").withColumn("unit", unit).withColumn("credit", F.least(F.lit(1.0), F.col("n") / F.col("unit")))
 
 
 def diversity(credits: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def circle_cells(circles: DataFrame, cell: float, *, bounds: DataFrame | None =
     rows = circles.withColumn("cx", xs).withColumn("cy", ys).where(geom.hypot2(cx - F.col("x"), cy - F.col("y")) <= F.col("radius"))
     if bounds is None:
         return rows
-    return rows.join(F.broadcast(bounds), keys).where(cx.between(F.col("x0"), F.col("x1")) & cy.between(F.col("y0"), F.col("y1")))
+    return rows.join(bounds, keys).where(cx.between(F.col("x0"), F.col("x1")) & cy.between(F.col("y0"), F.col("y1")))
 
 
 def covered_area(circles: DataFrame, cell: float, *, bounds: DataFrame | None = None, by: Sequence[str] = ("site_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +71,7 @@ def utility_presence(features: DataFrame, sites: DataFrame) -> DataFrame:
 
 def nearest_clearance(
     points: DataFrame, segments: DataFrame, *, rings: Sequence[float] = (30.0, 120.0, 1500.0), inside: DataFrame | None = None,
+    reach: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Smallest clearance of every point to every class of its site, by axis and by outer wall.
 
@@ -79,8 +80,9 @@ def nearest_clearance(
     reserve, so a clearance found inside a ring is final: the nearest wall need not belong to the
     nearest axis. Only pairs of point and class without an answer go on to the next, wider ring.
     Each ring is a bucketed equi-join whose minima are combined before the shuffle. A caller that
-    only compares with norms passes one ring, the largest norm, and reads a missing row as
-    "proven farther". ``inside`` (site_id, point_id, feature_id, object_class) gives clearance 0
+    only compares with norms passes ``reach``, the largest norm of each class, instead: then a
+    class is searched no further than its own norm, classes without a norm are not searched, and a
+    missing row means "proven farther". ``inside`` (site_id, point_id, feature_id, object_class) gives clearance 0
     inside areas.
     """
     key = ["site_id", "point_id", "object_class"]
@@ -92,13 +94,18 @@ def nearest_clearance(
     wall = F.struct(F.greatest(F.lit(0.0), F.col("distance") - F.col("_err") - F.col("_half")).alias("v"), F.col("feature_id"))
     todo = points.select("site_id", "point_id", "x", "y")
     found = None
+    if reach is not None:
+        limit = F.create_map(*[v for cls, metres in reach.items() for v in (F.lit(cls), F.lit(float(metres)))])
+        segments = segments.where(F.col("object_class").isin(*reach)).withColumn("_limit", limit[F.col("object_class")])
+        pairs = spatial.near_segments(todo, segments, 0.0, cell=max(reach.values()), spread=("point_id",), reserve=F.col("_limit") + F.col("_err") + F.col("_half"))
+        found, rings = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall")), ()
     for i, radius in enumerate(rings):
         on = ("site_id",) if i == 0 else ("site_id", "object_class")
         pairs = spatial.near_segments(todo, segments, radius, on=on, spread=("point_id",), reserve=F.col("_err") + F.col("_half"))
         best = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall"))
         if i < len(rings) - 1:
             if i == 0:
-                todo = todo.join(F.broadcast(segments.select("site_id", "object_class").distinct()), "site_id")
+                todo = todo.join(segments.select("site_id", "object_class").distinct(), "site_id")
             # One written table per ring: it is read as "settled" and as "still to search".
             state = cut(todo.join(best, key, "left"), "ring")
             settled = F.coalesce(F.col("axis.v") <= radius, F.lit(False))
@@ -134,7 +141,7 @@ def checks(
     nearest = F.when(F.col("measure_to") == "outer_wall", F.col("wall_id")).otherwise(F.col("axis_id"))
     rows = (
         points.join(F.broadcast(rules), list(by))
-        .join(F.broadcast(presence), "site_id", "left")
+        .join(presence, "site_id", "left")
         .join(clearance, ["site_id", "point_id", "object_class"], "left")
     )
     passes = measured >= F.col("min_distance_m") + F.lit(margin_m) - geom.EPS_M
@@ -212,7 +219,7 @@ def plantable(
     inside = spatial.contained(points, hard_edges, point_key=("point_id",), area_key=("feature_id",)).select("site_id", "point_id").distinct()
     edge = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
     return (
-        points.join(F.broadcast(sites.select("site_id", "x0", "x1", "y0", "y1")), "site_id").where((edge > 0) & (edge >= reach))
+        points.join(sites.select("site_id", "x0", "x1", "y0", "y1"), "site_id").where((edge > 0) & (edge >= reach))
         .select(points.columns).join(near, ["site_id", "point_id"], "left_anti").join(inside, ["site_id", "point_id"], "left_anti")
     )
 

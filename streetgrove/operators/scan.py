@@ -1,4 +1,4 @@
-"""Ordered scans that no single task has to hold: distributed prefix sums and islands."""
+"""Ordered scans that no single task has to hold: distributed prefix sums and top-k."""
 
 from __future__ import annotations
 
@@ -35,9 +35,3 @@ def top_k(df: DataFrame, k: int, *, by: Sequence[str], order: Sequence[Column],
     """First ``k`` rows per group; Spark cuts each task to ``k`` rows per group before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
-
-
-def islands(df: DataFrame, starts: Column, *, by: Sequence[str], order: Sequence[str], name: str = "island") -> DataFrame:
-    """Number consecutive rows: a new island begins where ``starts`` is true."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))

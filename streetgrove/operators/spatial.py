@@ -36,6 +36,25 @@ def split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Se
     return left_salted, right_salted, [*keys, "_salt"]
 
 
+def with_cells(df: DataFrame, size: float, reach: Column, ends: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """Repeat segments over the cells (_cx, _cy) that can hold a point within ``reach`` of them.
+
+    The columns of cells are walked first; in a column only the part of the segment that passes
+    near it counts, so a long diagonal costs its length and not its box, and no cell comes twice.
+    Both steps are plain sequences inside generated code.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    pad = reach + F.lit(1e-6)
+    columns = F.sequence(geom.cell_of(F.least(x1, x2) - pad, size), geom.cell_of(F.greatest(x1, x2) + pad, size))
+    slope = F.nullif(x2 - x1, F.lit(0.0))
+    clamp = lambda t, vertical: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(vertical))))
+    ta = clamp((F.col("_cx") * size - pad - x1) / slope, 0.0)
+    tb = clamp(((F.col("_cx") + 1) * size + pad - x1) / slope, 1.0)
+    ya, yb = y1 + ta * (y2 - y1), y1 + tb * (y2 - y1)
+    rows = F.sequence(geom.cell_of(F.least(ya, yb) - pad, size), geom.cell_of(F.greatest(ya, yb) + pad, size))
+    return df.withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(rows))
+
+
 def near_segments(
     points: DataFrame,
     segments: DataFrame,
@@ -57,10 +76,7 @@ def near_segments(
     size = float(cell or max(radius, 1.0))
     limit = F.lit(float(radius)) if reserve is None else F.lit(float(radius)) + reserve
     left = points.withColumn("_cx", geom.cell_of("x", size)).withColumn("_cy", geom.cell_of("y", size))
-    right = (
-        segments.withColumn("_c", F.explode(geom.cover_cells("x1", "y1", "x2", "y2", size, limit)))
-        .withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
-    )
+    right = with_cells(segments, size, limit)
     keys = [*on, "_cx", "_cy"]
     if hot_rows:
         left, right, keys = split_hot(left, right, keys, spread, hot_rows)
@@ -172,10 +188,7 @@ def foot(px="x", py="y", x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[Column, Co
 
 def crossing_segments(lines: DataFrame, segments: DataFrame, *, key: Sequence[str], cell: float = 32.0) -> DataFrame:
     """Keys of lines (ax, ay, bx, by) that properly cross a segment of the same site."""
-    def cells(df: DataFrame, a: tuple[str, str, str, str]) -> DataFrame:
-        return df.withColumn("_c", F.explode(geom.cover_cells(*a, cell, 0.0))).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
-
-    lhs = cells(lines, ("ax", "ay", "bx", "by"))
-    rhs = cells(segments.select("site_id", "x1", "y1", "x2", "y2"), ("x1", "y1", "x2", "y2"))
+    lhs = with_cells(lines, cell, F.lit(0.0), ("ax", "ay", "bx", "by"))
+    rhs = with_cells(segments.select("site_id", "x1", "y1", "x2", "y2"), cell, F.lit(0.0))
     hits = lhs.join(rhs, ["site_id", "_cx", "_cy"]).where(geom.segments_cross(("ax", "ay", "bx", "by"), ("x1", "y1", "x2", "y2")))
     return hits.select(*key).distinct()

@@ -153,12 +153,12 @@ def quota_limits(keys: DataFrame, planned: DataFrame, existing: DataFrame | None
     them. A key whose existing share is already above its quota is exhausted: nothing may be added.
     """
     counts = keys.groupBy("site_id", "level", "key", "share").agg(F.count(F.lit(1)).alias("count"))
-    rows = counts.join(F.broadcast(planned), "site_id")
+    rows = counts.join(planned, "site_id")
     if existing is None:
         rows = rows.withColumn("grown", F.lit(0).cast("long")).withColumn("grown_total", F.lit(0).cast("long"))
     else:
         totals = existing.where(F.col("level") == "species").groupBy("site_id").agg(F.sum("grown").alias("grown_total"))
-        rows = rows.join(existing, ["site_id", "level", "key"], "left").join(F.broadcast(totals), "site_id", "left")
+        rows = rows.join(existing, ["site_id", "level", "key"], "left").join(totals, "site_id", "left")
         rows = rows.withColumn("grown", F.coalesce("grown", F.lit(0))).withColumn("grown_total", F.coalesce("grown_total", F.lit(0)))
     matters = (F.col("level") != "conifer") & (F.col("grown_total") > 0)
     exhausted = matters & (F.col("grown") > 0) & (F.col("grown") > F.col("share") * F.col("grown_total") + 1e-9)

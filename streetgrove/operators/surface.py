@@ -86,7 +86,7 @@ def distance_to_other(cells: DataFrame, reach: int, cell: float) -> DataFrame:
     left = F.coalesce(F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
     right = F.coalesce(F.first(other, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_cols"))
     size = cells.groupBy("site_id").agg((F.max("col") + 1).alias("_cols"), (F.max("row") + 1).alias("_rows"))
-    along = cells.join(F.broadcast(size), "site_id").withColumn("_g", F.least(F.col("col") - left, right - F.col("col")))
+    along = cells.join(size, "site_id").withColumn("_g", F.least(F.col("col") - left, right - F.col("col")))
     shifted = along.where(F.col("_g") <= reach).withColumn("_dr", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).select(
         "site_id", (F.col("row") + F.col("_dr")).alias("row"), "col", (F.col("_dr") * F.col("_dr") + F.col("_g") * F.col("_g")).alias("_d2"))
     nearest = shifted.groupBy(*CELL).agg(F.min("_d2").alias("_d2"))

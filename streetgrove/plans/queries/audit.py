@@ -59,4 +59,4 @@ def audit_type_infer(t):
     votes = A.genus_votes(t.names.select("layer").distinct(), genera).select("layer", "type")
     crown = F.when(F.col("size") % 3 == 0, F.lit(None)).otherwise(F.col("size") / 10.0)
     kind, basis = A.planting_type(shrubs="^hot")
-    return t.names.join(F.broadcast(votes), "layer", "left").withColumn("crown_m", crown).select("feature_id", kind.alias("planting_type"), basis.alias("basis"))
+    return t.names.join(votes, "layer", "left").withColumn("crown_m", crown).select("feature_id", kind.alias("planting_type"), basis.alias("basis"))

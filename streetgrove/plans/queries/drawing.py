@@ -193,9 +193,9 @@ def work_area_infer(t):
     """Hull of the known objects of a site without far outliers, with its area."""
     centres = t.features.select("site_id", "x", "y")
     middle = centres.groupBy("site_id").agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
-    away = centres.join(F.broadcast(middle), "site_id").withColumn("away", geom.point_distance("x", "y", "mx", "my"))
+    away = centres.join(middle, "site_id").withColumn("away", geom.point_distance("x", "y", "mx", "my"))
     fence = away.groupBy("site_id").agg(F.greatest(3 * F.percentile("away", F.lit(0.5)), F.lit(500.0)).alias("fence"))
-    core = away.join(F.broadcast(fence), "site_id").where(F.col("away") <= F.col("fence"))
+    core = away.join(fence, "site_id").where(F.col("away") <= F.col("fence"))
     hull = D.convex_hulls(core)
     after = hull.select("site_id", (F.col("n") - 1).alias("n"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     first = hull.where("n = 0").select("site_id", F.col("x").alias("fx"), F.col("y").alias("fy"))

@@ -74,7 +74,7 @@ def edited_points(t: Tables):
 def edit_revalidate(t):
     """Edited plantings measured again; one that breaks a norm becomes a rejection with the rule."""
     points = edited_points(t)
-    clearance = R.nearest_clearance(points, t.segments, rings=shared.NORM_REACH, inside=_inside(t, points))
+    clearance = R.nearest_clearance(points, t.segments, reach=shared.GENERAL_REACH, inside=_inside(t, points))
     facts = R.checks(points, shared.strict_rules(t), clearance, shared.presence(t))
     broken = facts.where((F.col("outcome") == "fail") & (F.col("severity") == "forbid")).groupBy("site_id", "point_id").agg(F.min("rule_id").alias("reason"))
     return R.verdicts(facts).select("site_id", "point_id", "verdict").join(broken, ["site_id", "point_id"], "left")

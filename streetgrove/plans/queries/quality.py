@@ -57,7 +57,7 @@ def street_length(t):
         F.avg("x").alias("mx"), F.avg("y").alias("my"), (0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.covar_pop("x", "x") - F.covar_pop("y", "y"))).alias("a")
     )
     along = (F.col("x") - F.col("mx")) * F.cos("a") + (F.col("y") - F.col("my")) * F.sin("a")
-    return mid.join(F.broadcast(frame), "site_id").groupBy("site_id").agg(F.round(F.max(along) - F.min(along), 2).alias("length_m"))
+    return mid.join(frame, "site_id").groupBy("site_id").agg(F.round(F.max(along) - F.min(along), 2).alias("length_m"))
 
 
 def term(name: str, frame):
@@ -155,7 +155,7 @@ def tiers(t):
     stems = t.stems.select("site_id", "stem_id", "x", "y", (F.col("crown_m") / 2).alias("radius"))
     new = covered_crowns(trees, shrubs, "point_id").groupBy("site_id").agg(F.count(F.lit(1)).alias("covered"))
     old = covered_crowns(stems, shrubs, "stem_id").groupBy("site_id").agg(F.count(F.lit(1)).alias("existing"))
-    rows = goals(t).join(F.broadcast(new), "site_id", "left").join(F.broadcast(old), "site_id", "left").fillna(0, ["covered", "existing"])
+    rows = goals(t).join(new, "site_id", "left").join(old, "site_id", "left").fillna(0, ["covered", "existing"])
     return rows.withColumn("score", F.least(F.lit(1.0), (F.col("covered") + F.col("existing")) / F.col("t_trees")))
 
 
@@ -225,7 +225,7 @@ mval as (select site_id, planting_type, case when slack_m is null then cast(1 as
 
 
 def margin(t):
-    slack = R.slack_to_network(shared.facts(t, rings=shared.NORM_REACH), key=("site_id", "point_id", "planting_type"))
+    slack = R.slack_to_network(shared.facts(t, reach=shared.norm_reach(Q.MARGIN_TARGET_M + 0.1)), key=("site_id", "point_id", "planting_type"))
     return Q.half_sums(slack.select("site_id", "planting_type", Q.margin_value().alias("value")), goals(t))
 
 
@@ -333,8 +333,8 @@ def leave_one_out(t):
     valued = plan(t).withColumn("fitv", Q.fit_value()).withColumn("catv", Q.category_value())
     sums = valued.groupBy("site_id", "planting_type").agg(F.count(F.lit(1)).cast("double").alias("ones"), F.sum("fitv").alias("fits"), F.sum("catv").alias("cats"))
     rows = (
-        valued.join(F.broadcast(goals(t)), "site_id").join(F.broadcast(credits), ["site_id", "planting_type", "species_no"])
-        .join(F.broadcast(richness), ["site_id", "planting_type"]).join(F.broadcast(sums), ["site_id", "planting_type"]).withColumn("goal", goal)
+        valued.join(goals(t), "site_id").join(credits, ["site_id", "planting_type", "species_no"])
+        .join(richness, ["site_id", "planting_type"]).join(sums, ["site_id", "planting_type"]).withColumn("goal", goal)
     )
 
     def saturated(total, own):
@@ -420,7 +420,7 @@ def weight_robustness(t):
     weight = F.when(F.col("k") == F.col("draw") % 5, 0.0).otherwise(jitter)
     idx = drawn.groupBy("draw", "plan_id").agg(F.round(F.sum(F.col("s") * weight) / F.sum(weight), 9).alias("idx"))
     placed = idx.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("idx"), "plan_id")))
-    return placed.join(F.broadcast(based), "plan_id").groupBy("plan_id", "base").agg(
+    return placed.join(based, "plan_id").groupBy("plan_id", "base").agg(
         F.percentile("place", F.lit(0.05)).alias("low"), F.percentile("place", F.lit(0.5)).alias("mid"), F.percentile("place", F.lit(0.95)).alias("high"),
         F.round(F.avg(F.abs(F.col("place") - F.col("base"))), 4).alias("mean_shift"),
     )

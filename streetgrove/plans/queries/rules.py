@@ -86,7 +86,7 @@ BARRIER_SQL = "case when height_sp<5 then cast(0.5 as double) when height_sp<=20
 def barrier_relaxation(t):
     heights = t.species.select("species_no", F.col("height_m").alias("height_sp"))
     points = t.points.select("site_id", "point_id", "planting_type", "species_no", "x", "y").join(F.broadcast(heights), "species_no")
-    facts = R.checks(points, shared.strict_rules(t), shared.clearance(t, rings=shared.NORM_REACH), shared.presence(t), barrier_m=R.barrier_distance(F.col("height_sp")))
+    facts = R.checks(points, shared.strict_rules(t), shared.clearance(t, reach=shared.GENERAL_REACH), shared.presence(t), barrier_m=R.barrier_distance(F.col("height_sp")))
     return facts.where(F.col("outcome") != "pass").groupBy("object_class", "outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("measured_m"), 3).alias("min_m"))
 
 
@@ -94,7 +94,7 @@ def barrier_relaxation(t):
     "verdict_reduce", uses=S.FACTS_USES, extra=f"{S.FACTS},\n{S.VERDICTS}", sql="select site_id, point_id, verdict, needs_barrier from verd",
 )
 def verdict_reduce(t):
-    return R.verdicts(shared.facts(t, rings=shared.NORM_REACH))
+    return R.verdicts(shared.facts(t, reach=shared.GENERAL_REACH))
 
 
 @query(
@@ -141,7 +141,7 @@ def point_check(t):
     """What if this species stood at this point: footprint, checks of the species, verdict, reason."""
     points = t.points.select("site_id", "point_id", "species_no", "planting_type", "x", "y")
     rules = shared.species_rules(t).drop("genus", "crown_mature_m", "height_m", "planting_type")
-    facts = R.checks(points, rules, shared.clearance(t, rings=shared.NORM_REACH), shared.presence(t), by=("species_no",))
+    facts = R.checks(points, rules, shared.clearance(t, reach=shared.SPECIES_REACH), shared.presence(t), by=("species_no",))
     ok = plantable(t).select("site_id", "point_id", F.lit(True).alias("plantable"))
     return (
         points.select("site_id", "point_id").join(R.verdicts(facts), ["site_id", "point_id"], "left").join(ok, ["site_id", "point_id"], "left")
@@ -161,7 +161,7 @@ def point_check(t):
       having bool_and(planting_type='tree' and ({S.util()} or object_class in ('curb','road')) and measured_m is not null and measured_m>=cast(0.5 as double)-cast(0.001 as double))""",
 )
 def barrier_option(t):
-    return R.barrier_option(shared.facts(t, rings=shared.NORM_REACH))
+    return R.barrier_option(shared.facts(t, reach=shared.GENERAL_REACH))
 
 
 @query(

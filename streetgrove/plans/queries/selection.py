@@ -144,7 +144,7 @@ def candidate_check(t):
     """Plantable candidates by verdict: footprint first, then every rule once for the batch."""
     points = t.points.select("site_id", "point_id", "planting_type", "x", "y")
     fit = R.plantable(points, shared.area_rings(t), t.sites, footprint(), max_radius=1.24)
-    verdicts = R.verdicts(shared.facts(t, rings=shared.NORM_REACH))
+    verdicts = R.verdicts(shared.facts(t, reach=shared.GENERAL_REACH))
     return verdicts.join(fit.select("site_id", "point_id"), ["site_id", "point_id"], "left_semi").groupBy("site_id", "verdict").agg(F.count(F.lit(1)).alias("candidates"))
 
 
@@ -175,7 +175,7 @@ def curb_lines(t):
         ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
     extent = lines.groupBy("site_id").agg(
         F.min("mx").alias("x0"), F.min("my").alias("y0"), F.greatest(F.max("mx") - F.min("mx"), F.lit(1e-9)).alias("sx"), F.greatest(F.max("my") - F.min("my"), F.lit(1e-9)).alias("sy"))
-    coded = lines.join(F.broadcast(extent), "site_id").withColumn("code", C.morton((F.col("mx") - F.col("x0")) / F.col("sx"), (F.col("my") - F.col("y0")) / F.col("sy")))
+    coded = lines.join(extent, "site_id").withColumn("code", C.morton((F.col("mx") - F.col("x0")) / F.col("sx"), (F.col("my") - F.col("y0")) / F.col("sy")))
     rows = scan.prefix_sum(coded, F.lit(1), by=("site_id",), order=("code", "feature_id"), name="line_no")
     return rows.select("site_id", "feature_id", "ax", "ay", "code", F.col("line_no").cast("long").alias("line_no"))
 
@@ -350,7 +350,7 @@ def zone_facts(t: Tables, cell: float, margin: float):
     """Every rule at the centre of every plantable cell, as if a tree stood there."""
     grid = C.grid_points(t.sites, cell).select("site_id", "point_id", "x", "y", F.lit("tree").alias("planting_type"))
     fit = R.plantable(grid, shared.area_rings(t), t.sites, 1.24, max_radius=1.24, margin_m=margin)
-    clearance = R.nearest_clearance(fit, t.segments, rings=(shared.NORM_REACH[0] + margin,))
+    clearance = R.nearest_clearance(fit, t.segments, reach=shared.norm_reach(margin))
     return fit, R.checks(fit, shared.strict_rules(t), clearance, shared.presence(t), margin_m=margin)
 
 

@@ -58,9 +58,9 @@ def city_assortment_mark(t):
     )
 
 
-def by_class(t: Tables):
-    """Measured clearance of a planting to each class its rules look at, within the reach of the norms."""
-    rows = shared.facts(t, rings=shared.NORM_REACH).where(F.col("measured_m").isNotNull())
+def by_class(t: Tables, **search):
+    """Measured clearance of a planting to each class its rules look at, as far as a species norm reaches."""
+    rows = shared.facts(t, **(search or {"reach": shared.SPECIES_REACH})).where(F.col("measured_m").isNotNull())
     return rows.groupBy("site_id", "point_id", "object_class").agg(F.min("measured_m").alias("measured_m"))
 
 
@@ -103,7 +103,7 @@ def filtered(t: Tables):
 )
 def site_context(t):
     """Per planting the smallest clearance to each class that was measured nearby."""
-    wide = by_class(t).where(F.col("measured_m") <= 20)
+    wide = by_class(t, rings=shared.NORM_REACH).where(F.col("measured_m") <= 20)
     names = {"curb": "curb_m", "building": "building_m", "utility.heat": "heat_m", "utility.gas": "gas_m", "pole": "pole_m"}
     return wide.groupBy("site_id", "point_id").agg(
         *[F.min(F.when(F.col("object_class") == c, F.col("measured_m"))).alias(n) for c, n in names.items()],
@@ -264,7 +264,7 @@ def validate_composition(t):
 def trim_to_quotas(t):
     """The latest plantings of every key that stands above its quota, as many as the excess."""
     keys = P.quota_keys(planted(t), carry=("point_id",)).join(
-        F.broadcast(quota_table(t).where("excess > 0").select("site_id", "level", "key", "excess")), ["site_id", "level", "key"]
+        quota_table(t).where("excess > 0").select("site_id", "level", "key", "excess"), ["site_id", "level", "key"]
     )
     ranked = scan.prefix_sum(keys.withColumn("_back", -F.col("point_id")), F.lit(1), by=("site_id", "level", "key"), order=("_back",), name="rn")
     return ranked.where(F.col("rn") <= F.col("excess")).groupBy("site_id", "level", "key").agg(
@@ -385,7 +385,7 @@ def composition_refresh(t):
     counts = long.groupBy("site_id", "planting_type", "e.level", "e.key").agg(F.count(F.lit(1)).alias("n"))
     totals = t.points.groupBy("site_id", "planting_type").agg(F.count(F.lit(1)).alias("total"))
     share = F.when(F.col("level") != "month", F.round(F.col("n") / F.col("total"), 4))
-    return counts.join(F.broadcast(totals), ["site_id", "planting_type"]).select("site_id", "planting_type", "level", "key", "n", share.alias("share"))
+    return counts.join(totals, ["site_id", "planting_type"]).select("site_id", "planting_type", "level", "key", "n", share.alias("share"))
 
 
 @query(

@@ -23,6 +23,20 @@ def clearance(t: Tables, **options) -> DataFrame:
     return R.nearest_clearance(t.points, t.segments, inside=inside_areas(t), **options)
 
 
+def norm_reach(extra: float = 0.0, *, general: bool = True, floor: dict[str, float] | None = None) -> dict[str, float]:
+    """How far each class has to be searched: its largest norm plus an allowance."""
+    out: dict[str, float] = dict(floor or {})
+    for row in rulebook.distance_rule_rows():
+        if general and (row[8] or row[9] is not None or row[10]):
+            continue
+        out[row[1]] = max(out.get(row[1], 0.0), row[3] + extra)
+    return out
+
+
+GENERAL_REACH = norm_reach()
+# Crowns widen a norm by half of what they exceed 5 m: 10 m covers crowns up to 25 m. Salt is felt to 5 m.
+SPECIES_REACH = norm_reach(10.0, general=False)
+
 # No norm of the book reaches further than its largest distance plus the widest crown allowance.
 NORM_REACH = (max(row[3] for row in rulebook.distance_rule_rows()) + 10.0,)
 
@@ -44,7 +58,7 @@ def facts(t: Tables, **options) -> DataFrame:
 def audit_facts(t: Tables) -> DataFrame:
     """Norm control with root barriers considered at the stricter distance."""
     points = t.points.select("site_id", "point_id", "planting_type", "x", "y")
-    return R.checks(points, R.act_rules(rulebook.distance_rules(t.spark)), clearance(t, rings=NORM_REACH), presence(t), barrier_m=R.FAR_BARRIER_M)
+    return R.checks(points, R.act_rules(rulebook.distance_rules(t.spark)), clearance(t, reach=GENERAL_REACH), presence(t), barrier_m=R.FAR_BARRIER_M)
 
 
 def species(t: Tables) -> DataFrame:
