@@ -120,7 +120,8 @@ def nearest_clearance(
     if inside is None:
         return result
     within = inside.groupBy("site_id", "point_id", "object_class").agg(F.min("feature_id").alias("in_id"))
-    return result.join(within, ["site_id", "point_id", "object_class"], "left").select(
+    # A point deep inside an area may have no edge within reach, so the join keeps both sides.
+    return result.join(within, ["site_id", "point_id", "object_class"], "full").select(
         "site_id", "point_id", "object_class",
         F.when(F.col("in_id").isNotNull(), 0.0).otherwise(F.col("axis_m")).alias("axis_m"),
         F.coalesce("in_id", "axis_id").alias("axis_id"),
