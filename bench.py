@@ -17,9 +17,8 @@ from streetgrove.plans import catalog  # noqa: E402
 from streetgrove.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "audit_summary", "verdict_reduce", "rule_check", "plantable_mask", "species_hard_filter", "alternatives_topk", "quota_limits",
-    "structure_cluster", "greedy_select", "validate_distances", "validate_spacing", "term_canopy", "term_dust", "planting_value",
-    "place_classify", "noise_belt", "classification_report", "line_rasterize", "edit_journal_apply", "law_quote_check",
+    "audit_summary", "plantable_mask", "quota_limits", "structure_cluster", "greedy_select", "validate_spacing", "term_canopy", "term_dust",
+    "planting_value", "classification_report", "line_rasterize", "edit_journal_apply", "law_quote_check", "species_hard_filter",
 )
 
 

@@ -38,7 +38,7 @@ GENERAL_REACH = norm_reach()
 SPECIES_REACH = norm_reach(10.0, general=False)
 
 # No norm of the book reaches further than its largest distance plus the widest crown allowance.
-NORM_REACH = (max(row[3] for row in rulebook.distance_rule_rows()) + 10.0,)
+NORM_REACH = (max(row[3] for row in rulebook.distance_rule_rows()) + 10.01,)  # 20 m to the rounded millimetre
 
 
 def presence(t: Tables) -> DataFrame:
