@@ -376,3 +376,16 @@ def flowerbed_plants(t):
     mix = F.array(*[F.struct(F.lit(p).alias("plant"), F.lit(s).alias("share")) for light, p, s in MIXES if light == "sun"])
     beds = t.zones.where(F.col("object_class").isin("territory.square", "territory.park")).withColumn("m", F.explode(mix))
     return beds.select("feature_id", "m.plant", F.rint(F.col("w") * F.col("d") * DENSITY * F.col("m.share")).cast("long").alias("units"))
+
+
+@query("curb_soil")
+def curb_soil(t):
+    """Kerb pieces whose middle has soil within 2 m: sixteen directions, rings of half a metre."""
+    from streetgrove.operators import planting as L
+    from streetgrove.plans.queries.quality import split_curb
+
+    middle = split_curb(t, 5.0).select("site_id", "feature_id", F.col("k").alias("piece"), "piece_m", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    probes = L.at_offsets(middle, L.ring_offsets((0.5, 1.0, 1.5, 2.0), 16)).select("site_id", "feature_id", "piece", *local_cell()).distinct()
+    soil = probes.join(free_cells(t, SIZE).select(*CELL), CELL, "left_semi").select("site_id", "feature_id", "piece").distinct().withColumn("soil", F.lit(True))
+    rows = middle.join(soil, ["site_id", "feature_id", "piece"], "left").withColumn("soil", F.coalesce("soil", F.lit(False)))
+    return rows.groupBy("site_id", "soil").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum("piece_m"), 3).alias("length_m"))
