@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  # makes pa.compute there
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streetgrove.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -19,9 +21,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Identifiers up to this number go to the tasks by broadcast (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``gone``; rows without doc_id stay."""
+    ids = cut(gone.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct(), label)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, docs["doc_id"] == ids["gone_id"], "left_anti")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
