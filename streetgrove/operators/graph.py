@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
-from streetgrove.session import cut
+from streetgrove.session import Growing, cut
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, *, key: str = "id", max_rounds: int = 64) -> DataFrame:
@@ -68,12 +68,10 @@ def first_independent_set(
         .join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b"),
         "conflicts",
     )
-    dropped = None
+    dropped = Growing("losers")
     for _ in range(max_rounds):
         winners = live.groupBy("a").agg(F.min("rb").alias("m"), F.first("ra").alias("ra")).where(F.col("ra") < F.col("m"))
-        losers = cut(live.join(winners.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct(), "losers")
-        dropped = losers if dropped is None else dropped.unionByName(losers)
-        gone = losers.select(F.col("id"))
+        gone = dropped.add(live.join(winners.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct())
         live = cut(
             live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"),
             "conflicts",
@@ -82,7 +80,7 @@ def first_independent_set(
             break
     else:
         raise RuntimeError("independent set did not settle; raise max_rounds")
-    return nodes.select(key).join(dropped.select(F.col("id").alias(key)), key, "left_anti")
+    return nodes.select(key).join(dropped.all().select(F.col("id").alias(key)), key, "left_anti")
 
 
 def first_spaced_points(
@@ -116,7 +114,7 @@ def first_spaced_points(
             *on, F.col(key).alias("lead"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"),
             F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("rank").alias("krank"))
 
-    kept = None
+    kept = Growing("kept")
     for _ in range(max_rounds):
         first_of_cell = left.groupBy(*on, "cx", "cy").agg(F.min(F.struct("rank", key, "x", "y", *extra)).alias("m"))
         leaders = first_of_cell.select(*on, "cx", "cy", "m.*")
@@ -126,7 +124,7 @@ def first_spaced_points(
         if group:
             first = left.groupBy(*on, group).agg(F.min("rank").alias("_first"))
             picked = picked.join(first, [*on, group]).where(F.col("rank") == F.col("_first")).drop("_first")  # first of its station
-        picked = cut(picked, "kept")
+        picked = kept.add(picked)
         struck = (
             left.join(around(picked), [*on, "cx", "cy"])
             .where(geom.point_distance("x", "y", "kx", "ky") < gap).select(*on, key).distinct()
@@ -135,7 +133,6 @@ def first_spaced_points(
         if group:
             rest = rest.join(picked.select(*on, group).distinct(), [*on, group], "left_anti")
         left = cut(rest, "undecided")
-        kept = picked if kept is None else kept.unionByName(picked)
         if left.isEmpty():
-            return kept.select(*on, key)
+            return kept.all().select(*on, key)
     raise RuntimeError("thinning did not settle; raise max_rounds")

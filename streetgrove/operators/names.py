@@ -226,7 +226,7 @@ def vocabulary_class(names: DataFrame, name: str = "name") -> DataFrame:
     cuts = [F.when(F.locate(f" {s} ", F.concat(F.col("text"), F.lit(" "))) > 0, F.size(F.split(F.substring_index(F.concat(F.col("text"), F.lit(" ")), f" {s} ", 1), " "))) for s in vocabulary.SEPARATORS]
     first_len = F.size(F.split("first_part", " "))
     in_first = F.exists("hits", lambda h: h["pos"] < first_len) & F.exists("hits", lambda h: h["pos"] >= first_len)
-    limit = F.when((F.col("n_parts") > 1) & in_first, first_len).otherwise(F.coalesce(F.least(*cuts), F.lit(1_000)))
+    limit = F.when((F.col("n_parts") > 1) & in_first, first_len).otherwise(F.coalesce(F.least(*cuts), F.size(F.split("text", " "))))
     joined = joined.withColumn("limit", limit)
     joined = cut(joined.withColumn("head", F.filter("hits", lambda h: h["pos"] < F.col("limit"))), "head")
 

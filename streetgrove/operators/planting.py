@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from streetgrove.functions import geom
 from streetgrove.operators import scan, spatial
 from streetgrove.operators import species as P
-from streetgrove.session import cut
+from streetgrove.session import Growing, cut
 
 # Fixed values.
 PATCH_SIZE = 10
@@ -50,13 +50,14 @@ def patches(members: DataFrame, cluster: Sequence[str], size: int = PATCH_SIZE,
         rows = cut(rows.join(large.select(*keys), keys, "left_anti").unionByName(halves), "patches")
 
 
-def fill_by_room(units: DataFrame, options: DataFrame, species: DataFrame, shares: dict[str, float], *, max_rounds: int = 40) -> DataFrame:
+def fill_by_room(units: DataFrame, options: DataFrame, species: DataFrame, shares: dict[str, float]) -> DataFrame:
     """One species per structure within the quotas: rounds of the tightest-first greedy.
 
     ``units(site_id, unit, size)``, ``options(site_id, unit, species_no, score)``. In a round every
     open structure asks for the species with most room (then score); requests for a quota key are
     accumulated in the order of tightness by a distributed prefix sum and accepted while they fit
-    all keys of the species. No claim of an optimum; what does not fit stays empty.
+    all keys of the species. The rounds end when one accepts nothing, so a structure stays empty for want of room only.
+    No claim of an optimum.
     """
     dim = P.quota_keys(species.select(F.lit(0).alias("site_id"), "species_no", "genus", "family", "conifer"), carry=("species_no",)).drop("site_id", "share")
     share = F.create_map(*[v for k, s in shares.items() for v in (F.lit(k), F.lit(s))])
@@ -67,8 +68,8 @@ def fill_by_room(units: DataFrame, options: DataFrame, species: DataFrame, share
     tight = options.groupBy("site_id", "unit").agg(F.countDistinct("species_no").alias("choices"))
     open_units = cut(units.join(tight, ["site_id", "unit"]).withColumn("_big", -F.col("size")), "open")
     choices = cut(options, "choices")
-    taken = None
-    for _ in range(max_rounds):
+    taken = Growing("assigned")
+    while True:
         left = limits.join(used, ["site_id", "level", "key"]).withColumn("left", F.col("limit") - F.col("used")).select("site_id", "level", "key", "left")
         room = left.join(F.broadcast(dim), ["level", "key"]).groupBy("site_id", "species_no").agg(F.min("left").alias("room"))
         asked = choices.join(open_units, ["site_id", "unit"]).join(room, ["site_id", "species_no"]).where(F.col("room") >= F.col("size"))
@@ -76,14 +77,12 @@ def fill_by_room(units: DataFrame, options: DataFrame, species: DataFrame, share
         per_key = wish.join(F.broadcast(dim), "species_no").join(left, ["site_id", "level", "key"])
         summed = scan.prefix_sum(per_key, F.col("size"), by=("site_id", "level", "key"), order=("choices", "_big", "unit"))
         fit = summed.groupBy("site_id", "unit", "species_no", "size", "score").agg(F.min((F.col("running") <= F.col("left")).cast("int")).alias("ok")).where("ok = 1").drop("ok")
-        got = cut(fit, "assigned")
+        got = taken.add(fit)
         if got.isEmpty():
-            break
-        taken = got if taken is None else taken.unionByName(got)
+            return taken.all()
         open_units = cut(open_units.join(got.select("site_id", "unit"), ["site_id", "unit"], "left_anti"), "open")
-        spent = taken.join(F.broadcast(dim), "species_no").groupBy("site_id", "level", "key").agg(F.sum("size").alias("used"))
-        used = cut(limits.select("site_id", "level", "key").join(spent, ["site_id", "level", "key"], "left").fillna(0, ["used"]), "used")
-    return taken
+        spent = got.join(F.broadcast(dim), "species_no").groupBy("site_id", "level", "key").agg(F.sum("size").alias("more"))
+        used = cut(used.join(spent, ["site_id", "level", "key"], "left").select("site_id", "level", "key", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used")), "used")
 
 
 def fill_given(units: DataFrame, options: DataFrame, caps: DataFrame) -> DataFrame:
@@ -98,18 +97,17 @@ def fill_given(units: DataFrame, options: DataFrame, caps: DataFrame) -> DataFra
     left = cut(sites.crossJoin(F.broadcast(caps)).withColumnRenamed("cap", "left"), "left")  # a short given list per street
     todo = cut(units.withColumn("_big", -F.col("size")), "units")
     options = cut(options, "options")
-    taken = None
+    taken = Growing("given")
     while True:
         alive = options.join(todo, ["site_id", "unit"]).join(left.where("left > 0"), ["site_id", "species_no"])
         wish = alive.groupBy("site_id", "unit", "_big").agg(
             F.min(F.struct((-F.col("places")).alias("p"), (-F.col("score")).alias("s"), "species_no", "left")).alias("w")).select("site_id", "unit", "_big", "w.species_no", (-F.col("w.p")).alias("places"), "w.left")
         asked = cut(scan.prefix_sum(wish, F.col("places"), by=("site_id", "species_no"), order=("_big", "unit")), "asked")
         if asked.isEmpty():
-            return taken
+            return taken.all() if taken.rounds else asked.select("site_id", "unit", "species_no", F.col("places").alias("n"))
         stop = asked.where("running >= left").groupBy("site_id").agg(F.min(F.struct("_big", "unit")).alias("stop"))
         ready = asked.join(stop, "site_id", "left").where(F.col("stop").isNull() | (F.struct("_big", "unit") <= F.col("stop")))
-        got = cut(ready.select("site_id", "unit", "species_no", F.least("places", F.col("left") - (F.col("running") - F.col("places"))).alias("n")).where("n > 0"), "given")
-        taken = got if taken is None else taken.unionByName(got)
+        got = taken.add(ready.select("site_id", "unit", "species_no", F.least("places", F.col("left") - (F.col("running") - F.col("places"))).alias("n")).where("n > 0"))
         spent = got.groupBy("site_id", "species_no").agg(F.sum("n").alias("n"))
         left = cut(left.join(spent, ["site_id", "species_no"], "left").select("site_id", "species_no", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")), "left")
         todo = cut(todo.join(got.select("site_id", "unit"), ["site_id", "unit"], "left_anti"), "units")

@@ -125,8 +125,9 @@ def covered_area(circles: DataFrame, cell: float, *, bounds: DataFrame | None =
     return cells.groupBy(*by).agg((F.count(F.lit(1)) * F.lit(cell * cell)).alias("area_m2"))
 
 
-def cover_intervals(segments: DataFrame, circles: DataFrame, reach: float) -> DataFrame:
-    """Part [a, b] of every segment (metres from its start) that each circle covers."""
+def cover_intervals(segments: DataFrame, circles: DataFrame) -> DataFrame:
+    """Part [a, b] of every segment (metres from its start) that each circle covers; searched as far as the widest circle."""
+    reach = circles.agg(F.max("radius").alias("r")).first()["r"] or 1.0
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     pairs = spatial.near_segments(circles, segments, reach).where(F.col("distance") < F.col("radius")).withColumn("len", geom.segment_length()).where(F.col("len") > 0)
     size = F.nullif("len", F.lit(0.0))

@@ -70,7 +70,7 @@ def utility_presence(features: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def nearest_clearance(
-    points: DataFrame, segments: DataFrame, *, rings: Sequence[float] = (30.0, 120.0, 1500.0), inside: DataFrame | None = None,
+    points: DataFrame, segments: DataFrame, *, rings: Sequence[float] = (30.0, 120.0), inside: DataFrame | None = None,
     reach: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Smallest clearance of every point to every class of its site, by axis and by outer wall.
@@ -78,7 +78,8 @@ def nearest_clearance(
     Clearance is distance - geometry error (- half diameter for the outer wall), floored at 0;
     a tie goes to the lowest feature id. Objects are searched within the ring plus their own
     reserve, so a clearance found inside a ring is final: the nearest wall need not belong to the
-    nearest axis. Only pairs of point and class without an answer go on to the next, wider ring.
+    nearest axis. Only pairs of point and class without an answer go on to the next, wider ring, and the
+    rings widen until every point has an answer for every class of its site.
     Each ring is a bucketed equi-join whose minima are combined before the shuffle. A caller that
     only compares with norms passes ``reach``, the largest norm of each class, instead: then a
     class is searched no further than its own norm, classes without a norm are not searched, and a
@@ -99,19 +100,20 @@ def nearest_clearance(
         segments = segments.where(F.col("object_class").isin(*reach)).withColumn("_limit", limit[F.col("object_class")])
         pairs = spatial.near_segments(todo, segments, 0.0, cell=max(reach.values()), spread=("point_id",), reserve=F.col("_limit") + F.col("_err") + F.col("_half"))
         found, rings = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall")), ()
-    for i, radius in enumerate(rings):
+    for i, radius in enumerate(spatial.widening(rings)):
         on = ("site_id",) if i == 0 else ("site_id", "object_class")
         pairs = spatial.near_segments(todo, segments, radius, on=on, spread=("point_id",), reserve=F.col("_err") + F.col("_half"))
         best = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall"))
-        if i < len(rings) - 1:
-            if i == 0:
-                todo = todo.join(segments.select("site_id", "object_class").distinct(), "site_id")
-            # One written table per ring: it is read as "settled" and as "still to search".
-            state = cut(todo.join(best, key, "left"), "ring")
-            settled = F.coalesce(F.col("axis.v") <= radius, F.lit(False))
-            best = state.where(settled).select(*key, "axis", "wall")
-            todo = state.where(~settled).select(*key, "x", "y")
+        if i == 0:
+            todo = todo.join(segments.select("site_id", "object_class").distinct(), "site_id")
+        # One written table per ring: it is read as "settled" and as "still to search".
+        state = cut(todo.join(best, key, "left"), "ring")
+        settled = F.coalesce(F.col("axis.v") <= radius, F.lit(False))
+        best = state.where(settled).select(*key, "axis", "wall")
+        todo = state.where(~settled).select(*key, "x", "y")
         found = best if found is None else found.unionByName(best)
+        if todo.isEmpty():
+            break
     result = found.select(
         "site_id", "point_id", "object_class",
         F.col("axis.v").alias("axis_m"), F.col("axis.feature_id").alias("axis_id"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
 from streetgrove.operators import graph, spatial
+from streetgrove.session import Growing, cut
 
 # Fixed values.
 CURB_OFFSETS_M = (3.0, 2.5, 2.0)
@@ -148,38 +149,57 @@ def around(points: DataFrame, offsets: Sequence[tuple[float, float]]) -> DataFra
     return moved.withColumn("x", F.round(F.col("x") + F.col("o.dx"), 3)).withColumn("y", F.round(F.col("y") + F.col("o.dy"), 3)).drop("o")
 
 
-def rows_of_stems(stems: DataFrame) -> DataFrame:
+def _members(stems: DataFrame, lines: DataFrame, steps: int) -> DataFrame:
+    """Places ``k`` of each line that hold a stem, walked ``steps`` of the longest steps to either side."""
+    high = ROW_STEP_M[1]
+    reach = high * steps
+    strip = lines.withColumn("x1", F.col("ox") - F.col("ux") * reach).withColumn("y1", F.col("oy") - F.col("uy") * reach).withColumn(
+        "x2", F.col("ox") + F.col("ux") * reach).withColumn("y2", F.col("oy") + F.col("uy") * reach)
+    near = spatial.near_segments(stems.select("site_id", "stem_id", "x", "y"), strip, high * ROW_TOLERANCE, cell=24.0, spread=("stem_id",))
+    along = (F.col("x") - F.col("ox")) * F.col("ux") + (F.col("y") - F.col("oy")) * F.col("uy")
+    across = (F.col("x") - F.col("ox")) * -F.col("uy") + (F.col("y") - F.col("oy")) * F.col("ux")
+    k = F.rint(along / F.nullif("step", F.lit(0.0)))
+    limit = F.lit(ROW_TOLERANCE) * F.col("step")
+    fits = (F.abs(across) <= limit) & (F.abs(along - k * F.col("step")) <= limit)
+    return near.where(fits).select("site_id", "a", "b", "ox", "oy", "ux", "uy", "step", k.cast("int").alias("k")).distinct()
+
+
+def rows_of_stems(stems: DataFrame, steps: int = 16) -> DataFrame:
     """Places that continue rows of existing trees: gaps of a row and six steps past each end.
 
     A pair 4..12 m apart proposes a line; stems within a tenth of the step of the line's places
     are its members. Members of the connected part around the pair must contain four in a row.
+    A line is walked ``steps`` long steps to either side; where its row reaches the end of the
+    walk, it is walked again four times as far, until every row ends inside.
     """
     low, high = ROW_STEP_M
     pairs = spatial.self_pairs(stems, high, id_col="stem_id", strict=False).where(F.col("distance") >= low)
-    reach = high * 16.0
+    key = ["site_id", "a", "b"]
+    line = [*key, "ox", "oy", "ux", "uy", "step"]
     lines = pairs.select(
         "site_id", F.col("a_stem_id").alias("a"), F.col("b_stem_id").alias("b"), F.col("a_x").alias("ox"), F.col("a_y").alias("oy"), F.col("distance").alias("step"),
         ((F.col("b_x") - F.col("a_x")) / F.nullif("distance", F.lit(0.0))).alias("ux"), ((F.col("b_y") - F.col("a_y")) / F.nullif("distance", F.lit(0.0))).alias("uy"),
     )
-    # The whole line may hold members, so it is walked as a segment far past both ends.
-    strip = lines.withColumn("x1", F.col("ox") - F.col("ux") * reach).withColumn("y1", F.col("oy") - F.col("uy") * reach).withColumn(
-        "x2", F.col("ox") + F.col("ux") * reach).withColumn("y2", F.col("oy") + F.col("uy") * reach)
-    near = spatial.near_segments(stems.select("site_id", "stem_id", "x", "y"), strip, high * ROW_TOLERANCE, cell=24.0, spread=("stem_id",))
-    along = (F.col("x") - F.col("ox")) * F.col("ux") + (F.col("y") - F.col("oy")) * F.col("uy")
-    across = (F.col("x") - F.col("ox")) * -F.col("uy") + (F.col("y") - F.col("oy")) * F.col("ux")
-    k = F.rint(along / F.nullif("step", F.lit(0.0)))
-    limit = F.lit(ROW_TOLERANCE) * F.col("step")
-    key = ["site_id", "a", "b"]
-    members = near.where((F.abs(across) <= limit) & (F.abs(along - k * F.col("step")) <= limit)).select(
-        *key, "ox", "oy", "ux", "uy", "step", k.cast("int").alias("k")).distinct()
-    w = Window.partitionBy(*key).orderBy("k")
-    gapped = members.withColumn("_d", F.col("k") - F.lag("k").over(w))
-    part = gapped.withColumn("_part", F.sum(F.when(F.col("_d") > ROW_MAX_GAP, 1).otherwise(0)).over(w)).withColumn("_run", F.sum(F.when(F.col("_d") > 1, 1).otherwise(0)).over(w))
-    home = part.where("k = 0").select(*key, F.col("_part").alias("_home"))
-    mine = part.join(home, key).where(F.col("_part") == F.col("_home"))
+    lines = cut(lines, "lines")
+    settled = Growing("rows")
+    while True:
+        w = Window.partitionBy(*key).orderBy("k")
+        gapped = _members(stems, lines, steps).withColumn("_d", F.col("k") - F.lag("k").over(w))
+        part = gapped.withColumn("_part", F.sum(F.when(F.col("_d") > ROW_MAX_GAP, 1).otherwise(0)).over(w)).withColumn("_run", F.sum(F.when(F.col("_d") > 1, 1).otherwise(0)).over(w))
+        home = part.where("k = 0").select(*key, F.col("_part").alias("_home"))
+        mine = cut(part.join(home, key).where(F.col("_part") == F.col("_home")).drop("_home"), "members")
+        ends = mine.groupBy(*line).agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+        # Places of a short step reach further on the same walk; the shorter way in steps decides.
+        open_end = F.greatest(-F.col("k0"), F.col("k1")) + ROW_MAX_GAP >= F.floor(F.lit(high * steps) / F.col("step"))
+        settled.add(mine.join(ends.where(~open_end).select(*key), key, "left_semi"))
+        lines = cut(ends.where(open_end).select(*line), "lines")
+        if lines.isEmpty():
+            break
+        steps *= 4
+    mine = settled.all()
     longest = mine.groupBy(*key, "_run").count().groupBy(*key).agg(F.max("count").alias("_best")).where(F.col("_best") >= ROW_MIN_TREES)
-    rows = mine.join(longest, key).groupBy(*key, "ox", "oy", "ux", "uy", "step").agg(
-        F.min("k").alias("k0"), F.max("k").alias("k1"), F.collect_set("k").alias("ks"))  # at most 33 places: the strip is 32 steps long
+    # The places of one row of trees, a line on the ground.
+    rows = mine.join(longest, key).groupBy(*line).agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.collect_set("k").alias("ks"))
     wanted = F.concat(
         F.array_except(F.sequence("k0", "k1"), "ks"), F.transform(F.sequence(F.lit(1), F.lit(ROW_EXTEND)), lambda i: F.col("k1") + i),
         F.transform(F.sequence(F.lit(1), F.lit(ROW_EXTEND)), lambda i: F.col("k0") - i),

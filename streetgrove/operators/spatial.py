@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
-from streetgrove.session import cut
+from streetgrove.session import Growing, cut
 
 HOT_ROWS = 200_000  # rows of one cell that a single task is trusted with
 
@@ -158,23 +158,39 @@ def snap_cell(x: Column | str, y: Column | str, size: float) -> tuple[Column, Co
     return geom.cell_of(x, size), geom.cell_of(y, size)
 
 
+def widening(rings: Sequence[float]) -> Iterator[float]:
+    """The rings, and then ever wider ones without end; the caller stops when nothing is left to search."""
+    yield from rings
+    radius = rings[-1] if rings else 0.0
+    while radius:
+        radius *= 4
+        yield radius
+
+
+def as_segments(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Points as segments of no length, for searches among segments."""
+    return points.withColumns({"x1": F.col(x), "y1": F.col(y), "x2": F.col(x), "y2": F.col(y)}).drop(x, y)
+
+
 def nearest_segment(
     points: DataFrame, segments: DataFrame, rings: Sequence[float], *, key: Sequence[str] = ("site_id", "point_id"), payload: Sequence[str] = ("feature_id",),
 ) -> DataFrame:
     """Nearest segment of every point with its ends, widening ring by ring; ties to the smallest payload.
 
-    Points without a segment within the last ring are absent from the result.
+    The rings go on, each four times as wide, until every point has its answer; only points whose
+    site has no segment at all are absent from the result.
     """
-    todo, found = points, None
     fields = [*payload, "x1", "y1", "x2", "y2"]
-    for i, radius in enumerate(rings):
-        pairs = near_segments(todo.select(*key, "x", "y"), segments.select("site_id", *fields), radius)
-        best = pairs.groupBy(*key).agg(F.min(F.struct("distance", *fields)).alias("n"))
-        if i < len(rings) - 1:
-            best = cut(best, "nearest")
-            todo = cut(todo.join(best.select(*key), list(key), "left_anti"), "todo")
-        found = best if found is None else found.unionByName(best)
-    return found.select(*key, "n.distance", *[F.col(f"n.{c}").alias(c) for c in fields])
+    segments = segments.select("site_id", *fields)
+    todo = points.select(*key, "x", "y").join(segments.select("site_id").distinct(), "site_id", "left_semi")
+    found = Growing("nearest")
+    for radius in widening(rings):
+        pairs = near_segments(todo, segments, radius, spread=tuple(key))
+        best = found.add(pairs.groupBy(*key).agg(F.min(F.struct("distance", *fields)).alias("n")))
+        todo = cut(todo.join(best.select(*key), list(key), "left_anti"), "todo")
+        if todo.isEmpty():
+            break
+    return found.all().select(*key, "n.distance", *[F.col(f"n.{c}").alias(c) for c in fields])
 
 
 def foot(px="x", py="y", x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[Column, Column]:

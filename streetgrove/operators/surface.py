@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetgrove.operators import graph
-from streetgrove.session import cut
+from streetgrove.session import Growing, cut
 
 # Fixed values.
 SPREAD_M = 30.0
@@ -75,25 +75,34 @@ def contest(costs: DataFrame, ambiguity: float) -> DataFrame:
     return sides.select(*CELL, F.when(paved + ambiguity < soil, "paved").when(soil + ambiguity < paved, "soil").otherwise("unknown").alias("material"))
 
 
-def distance_to_other(cells: DataFrame, reach: int, cell: float) -> DataFrame:
-    """Distance of every soil cell to the nearest other cell (outside counts), metres, within ``reach`` cells.
+def distance_to_other(cells: DataFrame, cell: float, *, reach: int = 3) -> DataFrame:
+    """Distance of every soil cell to the nearest other cell (outside counts), metres.
 
     ``cells`` is the whole grid with a boolean ``soil``. The square of the distance separates:
-    first along the row by two windows, then down the columns over the bounded reach.
+    first along the row by two windows, then down the columns. Rows further away are looked at
+    only for the cells that they can still bring nearer, first ``reach`` rows, then ever more.
     """
     w = Window.partitionBy("site_id", "row").orderBy("col")
     other = F.when(~F.col("soil"), F.col("col"))
     left = F.coalesce(F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
     right = F.coalesce(F.first(other, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_cols"))
     size = cells.groupBy("site_id").agg((F.max("col") + 1).alias("_cols"), (F.max("row") + 1).alias("_rows"))
-    along = cells.join(size, "site_id").withColumn("_g", F.least(F.col("col") - left, right - F.col("col")))
-    shifted = along.where(F.col("_g") <= reach).withColumn("_dr", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).select(
-        "site_id", (F.col("row") + F.col("_dr")).alias("row"), "col", (F.col("_dr") * F.col("_dr") + F.col("_g") * F.col("_g")).alias("_d2"))
-    nearest = shifted.groupBy(*CELL).agg(F.min("_d2").alias("_d2"))
-    soil = along.where("soil").select(*CELL, "_rows")
+    along = cut(cells.join(size, "site_id").withColumn("_g", F.least(F.col("col") - left, right - F.col("col"))), "along")
     edge = F.least(F.col("row") + 1, F.col("_rows") - F.col("row"))
-    d2 = F.least(F.coalesce("_d2", F.lit((reach + 1) ** 2)), edge * edge, F.lit((reach + 1) ** 2))
-    return soil.join(nearest, CELL, "left").select(*CELL, (F.sqrt(d2.cast("double")) * cell).alias("distance_m"))
+    state = along.where("soil").select(*CELL, F.least(F.col("_g") * F.col("_g"), edge * edge).alias("_d2"))
+    done = Growing("depth")
+    first, last = 1, reach
+    while True:
+        waits = F.col("_d2") > first * first
+        done.add(state.where(~waits))
+        steps = F.concat(F.sequence(F.lit(first), F.lit(last)), F.sequence(F.lit(-last), F.lit(-first)))
+        todo = state.where(waits).withColumn("_dr", F.explode(F.filter(steps, lambda d: d * d < F.col("_d2"))))
+        offers = todo.select("site_id", (F.col("row") + F.col("_dr")).alias("row"), "col", F.col("row").alias("_row"), "_dr", "_d2").join(along.select(*CELL, "_g"), CELL, "left")
+        best = F.least(F.min("_d2"), F.min(F.col("_dr") * F.col("_dr") + F.col("_g") * F.col("_g")))
+        state = cut(offers.groupBy("site_id", F.col("_row").alias("row"), "col").agg(best.alias("_d2")), "depth")
+        if state.isEmpty():
+            return done.all().select(*CELL, (F.sqrt(F.col("_d2").cast("double")) * cell).alias("distance_m"))
+        first, last = last + 1, last * 4
 
 
 def blocks(runs: DataFrame) -> DataFrame:

@@ -158,18 +158,18 @@ def school_mark(t):
 
 
 @query(
-    "gis_alignment", uses=("rects", "zones"),
+    "gis_alignment", uses=("rects", "zones", "sites"),
     sql="""with a as (select site_id, feature_id, x+w/2 as x, y+d/2 as y from zones), b as (select site_id, x+w/2 as x, y+d/2 as y from rects),
        n as (select a.site_id, a.feature_id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) as d from a join b on a.site_id=b.site_id group by all)
-       select site_id, count(*) as paired, round(quantile_cont(d,0.5),3) as median_m, quantile_cont(d,0.5)>3 as warn from n where d<=150 group by all""",
+       select s.site_id, count(d) as paired, round(quantile_cont(d,0.5),3) as median_m, coalesce(quantile_cont(d,0.5)>3, true) as warn from sites s left join n using(site_id) group by all""",
 )
 def gis_alignment(t):
-    """Median distance between the centres of layer buildings and their nearest drawing buildings (150 m here)."""
+    """Median distance between the centres of layer buildings and their nearest drawing buildings; a street without a pair warns."""
     centre = lambda df: df.select("site_id", F.col("feature_id").alias("point_id"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("d") / 2).alias("y"))
-    ours = centre(t.rects).select("site_id", F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = spatial.near_points(centre(t.zones), ours, 150.0).groupBy("site_id", "point_id").agg(F.min("distance").alias("d"))
+    near = spatial.nearest_segment(centre(t.zones), spatial.as_segments(centre(t.rects)), (150.0,), payload=()).withColumnRenamed("distance", "d")
     median = F.percentile("d", F.lit(0.5))
-    return near.groupBy("site_id").agg(F.count(F.lit(1)).alias("paired"), F.round(median, 3).alias("median_m"), (median > 3).alias("warn"))
+    return t.sites.select("site_id").join(near, "site_id", "left").groupBy("site_id").agg(
+        F.count("d").alias("paired"), F.round(median, 3).alias("median_m"), F.coalesce(median > 3, F.lit(True)).alias("warn"))
 
 
 CONFLICT = f"""tr as (select site_id, round(x,2) as x, round(y,2) as y, min(stem_id) as id, count(*) as marks from stems group by all),

@@ -21,7 +21,7 @@ nr as (select p.site_id, p.point_id, p.x, p.y, p.n[1] as d, e.x1+{FOOT_T}*(e.x2-
 hid as (select distinct n.point_id from nr n join segments b on b.site_id=n.site_id and b.object_class='building' where {CROSS}),
 plc as (select p.site_id, p.point_id, case when z.zone is not null and z.zone<>'territory.street' then substring(z.zone, 11) when n.d<=10 then 'roadside'
     when h.point_id is not null and z.zone is null then 'yard' else 'street' end as place
-  from points p join nr n using(point_id) left join zoned z using(point_id) left join hid h using(point_id))"""
+  from points p left join nr n using(point_id) left join zoned z using(point_id) left join hid h using(point_id))"""
 PLACE_USES = ("points", "zone_edges", "road_edges", "segments")
 
 
@@ -31,7 +31,7 @@ def place_classify_frame(t: Tables):
     zones = spatial.contained(points, t.zone_edges, point_key=("point_id",), area_key=("feature_id", "object_class"))
     kinds = ("territory.street", "territory.yard", "territory.square", "territory.park")
     zoned = zones.where(F.col("object_class").isin(*kinds)).groupBy("site_id", "point_id").agg(F.min_by("object_class", "feature_id").alias("zone"))
-    near = spatial.nearest_segment(points, t.road_edges, (30.0, 250.0, 1500.0))
+    near = spatial.nearest_segment(points, t.road_edges, (30.0, 250.0))
     fx, fy = spatial.foot()
     sight = points.join(near, ["site_id", "point_id"]).select("site_id", "point_id", "distance", F.col("x").alias("ax"), F.col("y").alias("ay"), fx.alias("bx"), fy.alias("by"))
     hidden = spatial.crossing_segments(sight, t.segments.where(F.col("object_class") == "building"), key=("point_id",)).withColumn("hidden", F.lit(True))
@@ -39,7 +39,7 @@ def place_classify_frame(t: Tables):
         F.when(F.col("zone").isNotNull() & (F.col("zone") != "territory.street"), F.expr("substring(zone, 11)")).when(F.col("distance") <= 10, "roadside")
         .when(F.col("hidden") & F.col("zone").isNull(), "yard").otherwise("street")
     )
-    rows = sight.select("site_id", "point_id", "distance").join(zoned, ["site_id", "point_id"], "left").join(hidden, "point_id", "left")
+    rows = points.select("site_id", "point_id").join(sight.select("site_id", "point_id", "distance"), ["site_id", "point_id"], "left").join(zoned, ["site_id", "point_id"], "left").join(hidden, "point_id", "left")
     return rows.select("site_id", "point_id", place.alias("place"))
 
 
@@ -212,7 +212,7 @@ CURB_COVER = f"""curb as (select * from segments where object_class='curb'),
 cov as (select site_id, x, y, crown_m/2 as radius, 1 as old from stems union all select site_id, x, y, case when planting_type='shrub' then greatest(crown_mature_m/2,2.0e0) else crown_mature_m/2 end, 0 from plan),
 iv0 as (select s.site_id, s.feature_id, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as len, p.radius, p.old,
     ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as al, ((p.x-x1)*(y2-y1)-(p.y-y1)*(x2-x1))/sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as off
-   from cov p join curb s on s.site_id=p.site_id and p.x between least(x1,x2)-8 and greatest(x1,x2)+8 and p.y between least(y1,y2)-8 and greatest(y1,y2)+8 where {S.seg_dist()} < p.radius),
+   from cov p join curb s on s.site_id=p.site_id and p.x between least(x1,x2)-p.radius and greatest(x1,x2)+p.radius and p.y between least(y1,y2)-p.radius and greatest(y1,y2)+p.radius where {S.seg_dist()} < p.radius),
 iv as (select *, greatest(0.0e0, al-sqrt(greatest(0.0e0, radius*radius-off*off))) as a, least(len, al+sqrt(greatest(0.0e0, radius*radius-off*off))) as b from iv0),
 bp as (select distinct feature_id, v from (select feature_id, a as v from iv union all select feature_id, b from iv)),
 sp as (select feature_id, v as a, lead(v) over (partition by feature_id order by v) as b from bp),
@@ -229,7 +229,7 @@ def effect_curb(t):
     old = t.stems.select("site_id", F.col("stem_id").alias("point_id"), "x", "y", (F.col("crown_m") / 2).alias("radius"), F.lit(1).alias("old"))
     shrub = F.col("planting_type") == "shrub"
     new = plan(t).select("site_id", "point_id", "x", "y", F.when(shrub, F.greatest(F.col("crown_mature_m") / 2, F.lit(2.0))).otherwise(F.col("crown_mature_m") / 2).alias("radius"), F.lit(0).alias("old"))
-    intervals = Q.cover_intervals(curb, old.unionByName(new), 8.0)
+    intervals = Q.cover_intervals(curb, old.unionByName(new))
     both = intervals.withColumn("stage", F.explode(F.when(F.col("old") == 1, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("after")))))
     lengths = Q.union_length(both, ["site_id", "feature_id", "stage"])
     return lengths.groupBy("site_id").agg(
@@ -240,7 +240,7 @@ def effect_curb(t):
 @query(
     "effect_tiers", uses=("points", "species", "stems"), extra=PLANSP,
     sql="""with tr as (select site_id, x, y, crown_mature_m/2 as r, point_id as id from plan where planting_type='tree' union all select site_id, x, y, crown_m/2, -1-stem_id from stems), s as (select * from plan where planting_type='shrub')
-       select s.site_id, count(distinct t.id) as after_trees from tr t join s on s.site_id=t.site_id and abs(s.x-t.x)<=8 and abs(s.y-t.y)<=8 where sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y))<=t.r group by all""",
+       select s.site_id, count(distinct t.id) as after_trees from tr t join s on s.site_id=t.site_id and abs(s.x-t.x)<=t.r and abs(s.y-t.y)<=t.r where sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y))<=t.r group by all""",
 )
 def effect_tiers(t):
     """Trees, new and existing, that have a shrub of the plan under the crown."""
@@ -255,7 +255,7 @@ NOISE = f"""{CURB_PIECES.replace('{step}', '2.0e0')},
 rays as (select site_id, feature_id, k, piece_m, side, (ax+ex)/2 as x1, (ay+ey)/2 as y1, (ax+ex)/2-side*(ey-ay)/piece_m*35 as x2, (ay+ey)/2+side*(ex-ax)/piece_m*35 as y2 from pc, (values (1.0e0),(-1.0e0)) q(side)),
 disc as (select site_id, x, y, case when planting_type='shrub' then greatest(crown_mature_m/2,0.5e0) else crown_mature_m/2 end as radius from plan union all select site_id, x, y, crown_m/2 from stems),
 ri as (select s.site_id, s.feature_id, s.k, s.side, s.piece_m, p.radius, ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/35.0e0 as al, ((p.x-x1)*(y2-y1)-(p.y-y1)*(x2-x1))/35.0e0 as off
-   from rays s join disc p on p.site_id=s.site_id and p.x between least(x1,x2)-8 and greatest(x1,x2)+8 and p.y between least(y1,y2)-8 and greatest(y1,y2)+8 where {S.seg_dist()} < p.radius),
+   from rays s join disc p on p.site_id=s.site_id and p.x between least(x1,x2)-p.radius and greatest(x1,x2)+p.radius and p.y between least(y1,y2)-p.radius and greatest(y1,y2)+p.radius where {S.seg_dist()} < p.radius),
 rv as (select *, round(greatest(0.0e0, al-sqrt(greatest(0.0e0, radius*radius-off*off))),6) as a, round(least(35.0e0, al+sqrt(greatest(0.0e0, radius*radius-off*off))),6) as b from ri),
 rg as (select *, case when a - coalesce(max(b) over (partition by feature_id, k, side order by a, b rows between unbounded preceding and 1 preceding), -100.0e0) > 4 then 1 else 0 end as brk from rv),
 rn as (select *, sum(brk) over (partition by feature_id, k, side order by a, b rows between unbounded preceding and current row) as isl from rg),
@@ -278,7 +278,7 @@ def belt_widths(t: Tables):
     shrub = F.col("planting_type") == "shrub"
     new = plan(t).select("site_id", "point_id", "x", "y", F.when(shrub, F.greatest(F.col("crown_mature_m") / 2, F.lit(0.5))).otherwise(F.col("crown_mature_m") / 2).alias("radius"))
     old = t.stems.select("site_id", (-1 - F.col("stem_id")).alias("point_id"), "x", "y", (F.col("crown_m") / 2).alias("radius"))
-    cover = Q.cover_intervals(rays, new.unionByName(old), 8.0).withColumn("a", F.round("a", 6)).withColumn("b", F.round("b", 6))
+    cover = Q.cover_intervals(rays, new.unionByName(old)).withColumn("a", F.round("a", 6)).withColumn("b", F.round("b", 6))
     w = Window.partitionBy("site_id", "feature_id", "k", "side").orderBy("a", "b")
     reached = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-100.0))
     marked = cover.withColumn("brk", F.when(F.col("a") - reached > 4, 1).otherwise(0))

@@ -134,18 +134,21 @@ def term_rows(t):
 
 
 TIERS = """tshr as (select * from plan where planting_type='shrub'),
-tcov as (select t.site_id, t.point_id from plan t where planting_type='tree' and exists (select 1 from tshr s where s.site_id=t.site_id and s.x between t.x-7 and t.x+7 and s.y between t.y-7 and t.y+7
+tcov as (select t.site_id, t.point_id from plan t where planting_type='tree' and exists (select 1 from tshr s where s.site_id=t.site_id and s.x between t.x-t.crown_mature_m/2 and t.x+t.crown_mature_m/2 and s.y between t.y-t.crown_mature_m/2 and t.y+t.crown_mature_m/2
     and sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y)) <= t.crown_mature_m/2)),
-ecov as (select e.site_id, e.stem_id from stems e where exists (select 1 from tshr s where s.site_id=e.site_id and s.x between e.x-7 and e.x+7 and s.y between e.y-7 and e.y+7
+ecov as (select e.site_id, e.stem_id from stems e where exists (select 1 from tshr s where s.site_id=e.site_id and s.x between e.x-e.crown_m/2 and e.x+e.crown_m/2 and s.y between e.y-e.crown_m/2 and e.y+e.crown_m/2
     and sqrt((s.x-e.x)*(s.x-e.x)+(s.y-e.y)*(s.y-e.y)) <= e.crown_m/2)),
 t_tiers as (select g.site_id, least(cast(1 as double), (coalesce(a.n,0)+coalesce(b.n,0))/t_trees) as score, coalesce(a.n,0) as covered, coalesce(b.n,0) as existing
    from goals g left join (select site_id, count(*) as n from tcov group by all) a using(site_id) left join (select site_id, count(*) as n from ecov group by all) b using(site_id))"""
 
 
 def covered_crowns(crowns, shrubs, id_col: str):
-    """Crowns (x, y, radius) with a shrub under them: an existence test, not a list of pairs."""
-    probe = shrubs.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    pairs = spatial.near_points(crowns, probe, 8.0, rx="sx", ry="sy", spread=(id_col,)).where(F.col("distance") <= F.col("radius"))
+    """Crowns (x, y, radius) with a shrub under them: an existence test, not a list of pairs.
+
+    A crown is laid on the cells that its own radius reaches.
+    """
+    discs = spatial.as_segments(crowns.select("site_id", id_col, "x", "y", "radius"))
+    pairs = spatial.near_segments(shrubs.select("site_id", "x", "y"), discs, 0.0, cell=8.0, spread=("x", "y"), reserve=F.col("radius"))
     return pairs.select("site_id", id_col).distinct()
 
 
@@ -194,7 +197,7 @@ DUST = f"""cover as (select site_id, point_id, x, y, case when planting_type='sh
 curb as (select * from segments s where object_class='curb'),
 iv0 as (select s.site_id, s.feature_id, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as len, p.radius, p.weight,
     ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as al, ((p.x-x1)*(y2-y1)-(p.y-y1)*(x2-x1))/sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as off
-   from cover p join curb s on s.site_id=p.site_id and p.x between least(x1,x2)-7 and greatest(x1,x2)+7 and p.y between least(y1,y2)-7 and greatest(y1,y2)+7 where {S.seg_dist()} < p.radius),
+   from cover p join curb s on s.site_id=p.site_id and p.x between least(x1,x2)-p.radius and greatest(x1,x2)+p.radius and p.y between least(y1,y2)-p.radius and greatest(y1,y2)+p.radius where {S.seg_dist()} < p.radius),
 iv as (select *, greatest(0.0e0, al-sqrt(greatest(0.0e0, radius*radius-off*off))) as a, least(len, al+sqrt(greatest(0.0e0, radius*radius-off*off))) as b from iv0),
 bp as (select distinct site_id, feature_id, v from (select site_id, feature_id, a as v from iv union all select site_id, feature_id, b from iv)),
 sp as (select site_id, feature_id, v as a, lead(v) over (partition by feature_id order by v) as b from bp),
@@ -210,7 +213,7 @@ def dust(t):
     cover = plan(t).select("site_id", "point_id", "x", "y", radius.alias("radius"), weight.alias("weight"))
     curb = t.segments.where(F.col("object_class") == "curb").select("site_id", "feature_id", "ring_id", "seg_no", "x1", "y1", "x2", "y2")
     total = curb.groupBy("site_id").agg(F.sum(geom.segment_length()).alias("curb_m"))
-    intervals = Q.cover_intervals(curb, cover, 8.0)
+    intervals = Q.cover_intervals(curb, cover)
     rows = total.join(Q.weighted_cover(intervals), "site_id", "left").fillna(0.0, ["weighted_m"])
     return rows.withColumn("score", F.least(F.lit(1.0), F.col("weighted_m") / F.col("curb_m") / Q.DUST_TARGET))
 

@@ -141,7 +141,7 @@ def point_check(t):
     """What if this species stood at this point: footprint, checks of the species, verdict, reason."""
     points = t.points.select("site_id", "point_id", "species_no", "planting_type", "x", "y")
     rules = shared.species_rules(t).drop("genus", "crown_mature_m", "height_m", "planting_type")
-    facts = R.checks(points, rules, shared.clearance(t, reach=shared.SPECIES_REACH), shared.presence(t), by=("species_no",))
+    facts = R.checks(points, rules, shared.clearance(t, reach=shared.species_reach(t)), shared.presence(t), by=("species_no",))
     ok = plantable(t).select("site_id", "point_id", F.lit(True).alias("plantable"))
     return (
         points.select("site_id", "point_id").join(R.verdicts(facts), ["site_id", "point_id"], "left").join(ok, ["site_id", "point_id"], "left")

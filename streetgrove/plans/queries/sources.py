@@ -185,7 +185,7 @@ def tile_layer_scan(t):
 @query(
     "context_without_survey", uses=("zones", "rects", "stems"),
     sql="""with k as (select * from zones z where w*d>=1500 and not exists (select 1 from rects r where r.site_id=z.site_id and r.x<=z.x+z.w and r.x+r.w>=z.x and r.y<=z.y+z.d and r.y+r.d>=z.y)),
-       b as (select site_id, count(*) as buildings from (select *, row_number() over (partition by site_id order by feature_id) as rn from k) where rn<=100 group by all),
+       b as (select site_id, count(*) as buildings from k group by all),
        t as (select site_id, count(*) as trees from stems where not (x between 1000*site_id+300 and 1000*site_id+700 and y between 300 and 700) group by all), n as (select site_id, count(*) as n from zones group by all)
        select n.site_id, coalesce(buildings,0) as buildings, n-coalesce(buildings,0) as dropped, trees from n left join b using(site_id) left join t using(site_id)""",
 )
@@ -201,7 +201,7 @@ def context_without_survey(t):
     large = t.zones.where(F.col("w") * F.col("d") >= 1500)
     meets = (F.col("rx0") <= F.col("zx1")) & (F.col("rx1") >= F.col("zx0")) & (F.col("ry0") <= F.col("zy1")) & (F.col("ry1") >= F.col("zy0"))
     hit = boxed(large, "z").join(boxed(t.rects, "r").drop("feature_id"), ["site_id", "cx", "cy"]).where(meets).select("site_id", "feature_id").distinct()
-    kept = scan.top_k(large.join(hit, ["site_id", "feature_id"], "left_anti"), 100, by=("site_id",), order=(F.col("feature_id"),)).groupBy("site_id").agg(F.count(F.lit(1)).alias("buildings"))
+    kept = large.join(hit, ["site_id", "feature_id"], "left_anti").groupBy("site_id").agg(F.count(F.lit(1)).alias("buildings"))
     lx = F.col("x") - 1000 * F.col("site_id")
     trees = t.stems.where(~(lx.between(300, 700) & F.col("y").between(300, 700))).groupBy("site_id").agg(F.count(F.lit(1)).alias("trees"))
     total = t.zones.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
@@ -428,17 +428,19 @@ def vegetation_census(t):
     return rows.select("site_id", "source", "scene", (F.col("source") - F.col("paired")).alias("missing"), (F.col("scene") - F.col("paired")).alias("extra"))
 
 
-BASEMAP = """bm as (select *, sqrt(greatest(count(*) filter (object_class<>'utility.telecom') over ()/2000.0e0, 1.0e0)) as cut from features),
-bd as (select *, case when object_class='utility.telecom' then 'hidden' when len<0.1e0*least(cut,8.0e0) then 'degenerate' when cut>1 and len<2.0e0*least(cut,8.0e0) then 'small' else 'kept' end as reason from bm)"""
+# How much coarser each street is drawn than at full detail, 1 to 2: a setting of the street, whatever else is loaded.
+COARSER = {0: 1.0, 1: 1.25, 2: 1.5, 3: 2.0}
+TOLERANCE_M, SPAN_FLOOR_M = 0.15, 0.5  # fixed values
+BASEMAP = f"""bm as (select *, case site_id {" ".join(f"when {site} then cast({cut} as double)" for site, cut in COARSER.items())} else cast(1 as double) end as cut from features),
+bd as (select *, case when object_class='utility.telecom' then 'hidden' when len<cast({TOLERANCE_M} as double)*cut then 'degenerate' when cut>1 and len<cast({SPAN_FLOOR_M} as double)*cut then 'small' else 'kept' end as reason from bm)"""
 
 
 @query("basemap_prune", uses=("features",), extra=BASEMAP, sql="select object_class, reason, count(*) as features from bd group by all")
 def basemap_prune(t):
-    """What the map drops and why; the tolerance grows with the square root of the load."""
-    budget, floor_m, tolerance, top = 2000.0, 2.0, 0.1, 8.0
-    load = t.features.agg(F.least(F.sqrt(F.greatest(F.count_if(F.col("object_class") != "utility.telecom") / budget, F.lit(1.0))), F.lit(top)).alias("cut"))
-    rows = t.features.crossJoin(F.broadcast(load))  # one row
-    reason = F.when(F.col("object_class") == "utility.telecom", "hidden").when(F.col("len") < tolerance * F.col("cut"), "degenerate").when((F.col("cut") > 1) & (F.col("len") < floor_m * F.col("cut")), "small").otherwise("kept")
+    """What the map drops and why; tolerance and smallest span grow with the coarseness set for the street."""
+    cut = F.coalesce(F.create_map(*[F.lit(v) for pair in COARSER.items() for v in pair])[F.col("site_id").cast("int")], F.lit(1.0))
+    rows = t.features.withColumn("cut", cut)
+    reason = F.when(F.col("object_class") == "utility.telecom", "hidden").when(F.col("len") < TOLERANCE_M * F.col("cut"), "degenerate").when((F.col("cut") > 1) & (F.col("len") < SPAN_FLOOR_M * F.col("cut")), "small").otherwise("kept")
     return rows.groupBy("object_class", reason.alias("reason")).agg(F.count(F.lit(1)).alias("features"))
 
 

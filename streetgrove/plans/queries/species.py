@@ -58,9 +58,9 @@ def city_assortment_mark(t):
     )
 
 
-def by_class(t: Tables, **search):
-    """Measured clearance of a planting to each class its rules look at, as far as a species norm reaches."""
-    rows = shared.facts(t, **(search or {"reach": shared.SPECIES_REACH})).where(F.col("measured_m").isNotNull())
+def by_class(t: Tables, *, bounded: bool = True):
+    """Measured clearance of a planting to each class its rules look at, if bounded as far as a species norm reaches."""
+    rows = shared.facts(t, **({"reach": shared.species_reach(t)} if bounded else {})).where(F.col("measured_m").isNotNull())
     return rows.groupBy("site_id", "point_id", "object_class").agg(F.min("measured_m").alias("measured_m"))
 
 
@@ -96,19 +96,17 @@ def filtered(t: Tables):
 
 @query(
     "site_context", uses=S.FACTS_USES, extra=BY_CLASS,
-    sql="""select site_id, point_id, min(measured_m) filter (object_class='curb' and measured_m<=20) as curb_m, min(measured_m) filter (object_class='building' and measured_m<=20) as building_m,
-      min(measured_m) filter (object_class='utility.heat' and measured_m<=20) as heat_m, min(measured_m) filter (object_class='utility.gas' and measured_m<=20) as gas_m,
-      min(measured_m) filter (object_class='pole' and measured_m<=20) as pole_m from byc group by all
-      having count(*) filter (measured_m<=19.9)>0""",
+    sql="""select site_id, point_id, min(measured_m) filter (object_class='curb') as curb_m, min(measured_m) filter (object_class='building') as building_m,
+      min(measured_m) filter (object_class='utility.heat') as heat_m, min(measured_m) filter (object_class='utility.gas') as gas_m,
+      min(measured_m) filter (object_class='pole') as pole_m from points left join byc using(site_id, point_id) group by all""",
 )
 def site_context(t):
-    """Per planting the smallest clearance to each class that was measured nearby."""
-    wide = by_class(t, rings=shared.NORM_REACH).where(F.col("measured_m") <= 20)
+    """Per planting the smallest clearance to each class, however far; a planting that nothing was measured for has nulls."""
+    wide = t.points.select("site_id", "point_id").join(by_class(t, bounded=False), ["site_id", "point_id"], "left")
     names = {"curb": "curb_m", "building": "building_m", "utility.heat": "heat_m", "utility.gas": "gas_m", "pole": "pole_m"}
     return wide.groupBy("site_id", "point_id").agg(
         *[F.min(F.when(F.col("object_class") == c, F.col("measured_m"))).alias(n) for c, n in names.items()],
-        F.count_if(F.col("measured_m") <= 19.9).alias("_near"),
-    ).where(F.col("_near") > 0).drop("_near")
+    )
 
 
 @query(

@@ -12,6 +12,7 @@ from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
 from streetgrove.plans.queries.selection import free_cells, free_sql, sample_cells
 from streetgrove.plans.registry import Tables, query
+from streetgrove.session import cut
 
 SIZE = 5.0
 CELL = U.CELL
@@ -104,14 +105,15 @@ def surface_summary(t):
     extra=free_sql(SIZE) + """,
   sd as (select label_id, site_id, case label_id%3 when 0 then 'soil' else 'paved' end as kind, cast(floor(y/5.0e0) as int) as "row", cast(floor((x-1000*site_id)/5.0e0) as int) as col from labels_t where label_id%3<2),
   mv as (select s.label_id, s.kind, s.site_id, min(row((f."row"-s."row")*(f."row"-s."row")+(f.col-s.col)*(f.col-s.col), f."row", f.col)) as m from sd s join free f on f.site_id=s.site_id and abs(f."row"-s."row")<=2 and abs(f.col-s.col)<=2 group by all)""",
-    sql="""select label_id, site_id, kind, m[2] as "row", m[3] as col, m[1]>0 as moved from mv""",
+    sql="""select s.label_id, s.site_id, s.kind, m[2] as "row", m[3] as col, m[1]>0 as moved from sd s left join mv using(label_id)""",
 )
 def material_seeds(t):
-    """Seeds of labels; one on a line moves to the nearest free cell within two cells."""
+    """Seeds of labels; one on a line moves to the nearest free cell within two cells, one without such a cell has no place."""
     around = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc"), F.lit(r * r + c * c).alias("d2")) for r in range(-2, 3) for c in range(-2, 3)])
     reach = seeds(t).withColumn("o", F.explode(around)).select("site_id", "label_id", "kind", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.col("o.d2").alias("d2"))
     best = reach.join(free_cells(t, SIZE).select(*CELL), CELL).groupBy("site_id", "label_id", "kind").agg(F.min(F.struct("d2", "row", "col")).alias("m"))
-    return best.select("label_id", "site_id", "kind", "m.row", "m.col", (F.col("m.d2") > 0).alias("moved"))
+    rows = seeds(t).select("site_id", "label_id", "kind").join(best, ["site_id", "label_id", "kind"], "left")
+    return rows.select("label_id", "site_id", "kind", "m.row", "m.col", (F.col("m.d2") > 0).alias("moved"))
 
 
 def free_seeds(t: Tables):
@@ -139,16 +141,17 @@ def soil_grid(t: Tables):
 
 
 DISTANCE = free_sql(SIZE) + """,
-og as (select g.site_id, g."row", g.col from grid g left join free f on f.site_id=g.site_id and f."row"=g."row" and f.col=g.col where f.site_id is null),
-of as (select dr, dc, dr*dr+dc*dc as d2 from range(-3,4) a(dr), range(-3,4) b(dc)),
-hit as (select og.site_id, og."row"+dr as "row", og.col+dc as col, min(d2) as d2 from og, of group by all),
-dist as (select f.site_id, f."row", f.col, sqrt(cast(least(coalesce(h.d2, 16), power(least(f."row"+1, 200-f."row", f.col+1, 200-f.col),2), 16) as double))*5.0e0 as distance_m from free f left join hit h on h.site_id=f.site_id and h."row"=f."row" and h.col=f.col)"""
+og as (select g.site_id, g."row", g.col, f.site_id is null as other from grid g left join free f on f.site_id=g.site_id and f."row"=g."row" and f.col=g.col),
+rg as (select site_id, "row", col, least(col-coalesce(last_value(case when other then col end ignore nulls) over (partition by site_id, "row" order by col), -1),
+    coalesce(first_value(case when other then col end ignore nulls) over (partition by site_id, "row" order by col rows between current row and unbounded following), 200)-col) as g from og),
+dist as (select f.site_id, f."row", f.col, sqrt(cast(least(min((r."row"-f."row")*(r."row"-f."row")+r.g*r.g), power(least(f."row"+1, 200-f."row"),2)) as double))*5.0e0 as distance_m
+   from free f join rg r on r.site_id=f.site_id and r.col=f.col group by f.site_id, f."row", f.col)"""
 
 
 @query("distance_to_nonsoil", uses=("sites", "segments", "rects"), extra=DISTANCE, sql='select site_id, round(distance_m,3) as distance_m, count(*) as cells from dist group by all')
 def distance_to_nonsoil(t):
-    """Distance from soil cells to the nearest other cell; 20 m stands for three cells and more."""
-    d = U.distance_to_other(soil_grid(t), 3, SIZE)
+    """Distance from soil cells to the nearest other cell or the edge of the grid."""
+    d = U.distance_to_other(soil_grid(t), SIZE)
     return d.groupBy("site_id", F.round("distance_m", 3).alias("distance_m")).agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -159,7 +162,7 @@ def distance_to_nonsoil(t):
 )
 def fits_soil(t):
     """Does the pit fit the soil raster: cell distance less half a diagonal and the offset of the point."""
-    d = U.distance_to_other(soil_grid(t), 3, SIZE)
+    d = U.distance_to_other(soil_grid(t), SIZE)
     points = t.points.select("site_id", "point_id", "planting_type", "x", "y", *local_cell()).join(d, CELL, "left")
     off = geom.hypot2(F.col("x") - (1000 * F.col("site_id") + (F.col("col") + 0.5) * SIZE), F.col("y") - (F.col("row") + 0.5) * SIZE)
     radius = F.when(F.col("planting_type") == "tree", 1.24).otherwise(0.5)
@@ -340,7 +343,8 @@ def lawn_kind_by_label(t):
     centre = cells.groupBy("site_id", "face").agg(
         (F.avg("col") * SIZE + 1000 * F.first("site_id") + SIZE / 2).alias("x"), (F.avg("row") * SIZE + SIZE / 2).alias("y"), (F.count(F.lit(1)) * SIZE * SIZE).alias("area_m2"))
     orphans = centre.join(said, "face", "left_anti")
-    near = spatial.near_points(orphans, labels.select("site_id", F.col("x").alias("bx"), F.col("y").alias("by"), "word", "label_id"), 40.0, spread=("face",)).groupBy("face").agg(F.min(F.struct("distance", "label_id", "word")).alias("n"))
+    said_at = spatial.as_segments(labels.select("site_id", "x", "y", "word", "label_id"))
+    near = spatial.nearest_segment(orphans, said_at, (40.0,), key=("site_id", "face"), payload=("label_id", "word")).select("face", F.struct("word").alias("n"))
     rows = centre.join(said, "face", "left").join(near, "face", "left")
     kind = F.when(F.col("lawn"), "lawn").when(F.col("bed"), "bed").when(F.col("lawn").isNotNull(), "ground").otherwise(F.coalesce("n.word", F.lit("undecided")))
     return rows.groupBy("site_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("faces"), F.sum("area_m2").alias("area_m2"))
@@ -348,10 +352,12 @@ def lawn_kind_by_label(t):
 
 def flowerbed_centres(t: Tables):
     """Lawn at least 3 m wide, by its distance to paving, thinned to 150 m."""
-    wide = U.distance_to_other(soil_grid(t), 3, SIZE).where(F.col("distance_m") >= 5)
+    wide = U.distance_to_other(soil_grid(t), SIZE).where(F.col("distance_m") >= 5)
     paved = zone_cells(t).where("material = 'paved'").select("site_id", (1000 * F.col("site_id") + (F.col("col") + 0.5) * SIZE).alias("bx"), ((F.col("row") + 0.5) * SIZE).alias("by"))
     cells = wide.select("site_id", *[F.col(c) for c in ("row", "col")], (1000 * F.col("site_id") + (F.col("col") + 0.5) * SIZE).alias("x"), ((F.col("row") + 0.5) * SIZE).alias("y")).withColumn("point_id", F.col("row").cast("long") * 1000 + F.col("col"))
-    near = spatial.near_points(cells, paved, 10.0).groupBy("site_id", "point_id", "row", "col", "x", "y").agg(F.round(F.min("distance"), 1).alias("walk"))
+    cells = cut(cells, "wide")
+    walk = spatial.nearest_segment(cells, spatial.as_segments(paved, "bx", "by"), (10.0,), payload=()).select("site_id", "point_id", F.round("distance", 1).alias("walk"))
+    near = cut(cells.join(walk, ["site_id", "point_id"]), "walk")
     kept = graph.first_spaced_points(near, 150.0, order=("walk", "x", "y", "point_id"))
     return near.join(kept, ["site_id", "point_id"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from streetgrove.functions import rulebook
 from streetgrove.operators import rules as R
 from streetgrove.operators import spatial
+from streetgrove.operators import species as P
 from streetgrove.plans.registry import Tables
 
 
@@ -34,11 +35,13 @@ def norm_reach(extra: float = 0.0, *, general: bool = True, floor: dict[str, flo
 
 
 GENERAL_REACH = norm_reach()
-# Crowns widen a norm by half of what they exceed 5 m: 10 m covers crowns up to 25 m. Salt is felt to 5 m.
-SPECIES_REACH = norm_reach(10.0, general=False)
 
-# No norm of the book reaches further than its largest distance plus the widest crown allowance.
-NORM_REACH = (max(row[3] for row in rulebook.distance_rule_rows()) + 10.01,)  # 20 m to the rounded millimetre
+
+def species_reach(t: Tables) -> dict[str, float]:
+    """Norms widened by half of what the widest crown of the catalogue exceeds 5 m; salt is felt to 5 m."""
+    widest = t.species.agg(F.max("crown_mature_m").alias("m")).first()["m"] or 0.0
+    reach = norm_reach(max(0.0, widest - 5.0) / 2 + 0.01, general=False)
+    return reach | {c: max(reach[c], P.SALT_ZONE_M + 0.01) for c in ("road", "curb") if c in reach}
 
 
 def presence(t: Tables) -> DataFrame:

@@ -39,6 +39,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+class Growing:
+    """Rows that are added round by round. Each round is written once to the shared folder; all rounds are read by one
+    scan, so the plan does not grow with their number."""
+
+    def __init__(self, label: str = "rounds") -> None:
+        self.label, self.path, self.last, self.rounds = label, "", None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` and returns it as read back."""
+        spark = df.sparkSession
+        self.path = self.path or f"{checkpoint_root(spark).rstrip('/')}/streetgrove/{self.label}-{uuid.uuid4().hex}"
+        part = f"{self.path}/round{self.rounds:06d}"
+        df.write.parquet(part)
+        self.rounds += 1
+        self.last = spark.read.schema(df.schema).parquet(part)
+        return self.last
+
+    def all(self) -> DataFrame:
+        """Every row added so far."""
+        return self.last.sparkSession.read.schema(self.last.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 

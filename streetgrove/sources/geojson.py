@@ -10,8 +10,6 @@ _GEOMETRY = "struct<type:string,coordinates:string>"
 _FEATURE = f"struct<type:string,geometry:{_GEOMETRY},properties:map<string,string>>"
 _DOCUMENT = f"struct<type:string,features:array<{_FEATURE}>,geometry:{_GEOMETRY},properties:map<string,string>,coordinates:string,crs:struct<properties:struct<name:string>>>"
 
-RING = "array<array<double>>"
-
 
 def records(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per feature with a geometry; every other column of ``documents`` is kept."""
@@ -35,10 +33,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rings(rows: DataFrame) -> DataFrame:
-    """Vertices of polygons and lines as segments (x1, y1, x2, y2) with ring and position."""
-    polygon = F.from_json(F.col("coordinates"), f"array<{RING}>")
-    line = F.array(F.from_json(F.col("coordinates"), RING))
-    parts = F.when(F.col("geometry_type") == "Polygon", polygon).when(F.col("geometry_type") == "LineString", line)
+    """Vertices of all geometries as segments (x1, y1, x2, y2) with ring and position; rings of several polygons are
+    numbered on, and a point is a segment of no length."""
+    parsed = lambda depth: F.from_json(F.col("coordinates"), "array<" * depth + "double" + ">" * depth)
+    kind, dot = F.col("geometry_type"), lambda p: F.array(p, p)
+    parts = (
+        F.when(kind.isin("Polygon", "MultiLineString"), parsed(3)).when(kind == "MultiPolygon", F.flatten(parsed(4))).when(kind == "LineString", F.array(parsed(2)))
+        .when(kind == "MultiPoint", F.transform(parsed(2), dot)).when(kind == "Point", F.array(dot(parsed(1))))
+    )
     rows = rows.select("*", F.posexplode(parts).alias("ring_id", "_ring"))
     vertices = rows.where(F.size("_ring") >= 2).select("*", F.explode(F.sequence(F.lit(0), F.size("_ring") - 2)).alias("seg_no"))
     at = lambda i, c: F.get(F.get(F.col("_ring"), i), F.lit(c))

@@ -172,6 +172,18 @@ def test_stream_decides_like_the_batch(spark, tmp_path):
     assert got == {(r.seq, r.accepted) for r in batch.collect()}
 
 
+def test_late_edits_are_refused_not_lost(spark, tmp_path):
+    from streetgrove.streaming import journal
+
+    source, schema = tmp_path / "late", "run_id long, seq long, target long, kind string"
+    for part in ([(0, 5, 1, "move")], [(0, 3, 1, "delete"), (0, 6, 1, "move")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)).withColumn("starts", F.lit(True))
+    query = journal.decisions(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.seq, r.accepted, r.late) for r in spark.table("late").collect()} == {(5, True, False), (3, False, True), (6, True, False)}
+
+
 def test_sun_is_highest_at_noon_in_the_south():
     elevation, azimuth = sun.position(172, 12.5)
     assert 56 < elevation < 59 and 170 < azimuth < 190
