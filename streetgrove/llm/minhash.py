@@ -6,9 +6,10 @@ ring, the second orders the ring, and coordinate k reads the second shifted by k
 coordinates of one shingle lie next to each other, so a signature is the minimum of a few slices.
 
 Documents with equal sets are one class. Classes that agree in a band meet in a bucket. No bucket lists its pairs:
-all members are confirmed against one leader, classes that are joined already are not compared again, and what is
-too far from the leader to be linked to the leader's near ones parts from them. The rounds go on until no bucket
-holds two components, so nothing that meets in a bucket is left out, however full it is.
+first all its members are confirmed against one leader, which joins a group of near copies at once. What remains are
+members outside the largest component of a bucket; they are compared only with those that share one of their rarest
+shingles, as many as two linked sets cannot all differ in. So nothing that meets in a bucket is left out, however full
+it is, and a text that was edited too much to be linked meets nobody.
 
 Empty and null texts have the empty set and are linked with nothing. Rows that repeat a doc_id count as one document
 that is linked when any of its texts is. Rows without doc_id help nothing and stay by themselves unless equal sets
@@ -23,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetgrove.llm.common import slices, texts
@@ -38,8 +39,6 @@ SEED = 20_240_229
 GATHER = 1 << 14
 MEMORY = 300_000
 CHUNK = 4 << 20
-#: A bucket lists the pairs between its components when they are at most so many times its members.
-DENSE = 8
 #: Classes in buckets up to this number go to the tasks by broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -152,10 +151,33 @@ def confirm(pairs: DataFrame, texts_of: DataFrame, shingle: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max_by(F.struct("common", "total"), F.col("common") / F.col("total")).alias("best")).select("a", "b", "best.*")
 
 
+def prefixes(chosen: DataFrame, texts_of: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """(rep, token): the rarest shingles of each text, so many that two texts with no common one cannot be linked.
+
+    A link needs ``percent`` hundredths of either set in common. In one order of all shingles, here from the rarest among
+    the chosen on, the first n - ceil(percent n / 100) + 1 of both sets then meet. Shingles of one text only are left
+    out at the end, they meet nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in slices(batches, "text", CHUNK):
+            found = [shingle_hashes(split_words(t), shingle, known).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("own"), pa.array(found, pa.list_(pa.int64()))], ["rep", "own", "tokens"])
+
+    rows = texts_of.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("own"), "text")
+    sets = cut(rows.mapInArrow(run, "rep long, own long, tokens array<long>"), "near-sets")
+    tokens = sets.select("rep", "own", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("rep", "own").orderBy("often", "token")
+    ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("rep", "token").distinct()
+
+
 def components(reps: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame | None:
-    """(rep, component) of the classes that meet others in a bucket; None if none do. ``reps``: (rep, n_shingles, buckets)."""
-    entries = reps.select("rep", "n_shingles", F.explode("buckets").alias("bucket"))
-    # Of the classes of a bucket the first and the last say whether there are two; combined before the shuffle.
+    """(rep, component) of the classes that meet others in a bucket; None if none do. ``reps``: (rep, buckets)."""
+    entries = reps.select("rep", F.explode("buckets").alias("bucket"))
+    # The first and the last class of a bucket say whether there are two; combined before the shuffle.
     full = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
     members = cut(entries.join(full.select("bucket", "leader"), "bucket"), "near-members")
     nodes = cut(members.select("rep").distinct(), "near-nodes")
@@ -165,56 +187,25 @@ def components(reps: DataFrame, docs: DataFrame, *, shingle: int, percent: int)
     wanted = nodes.withColumnRenamed("rep", "doc_id")
     texts_of = cut(docs.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").distinct(), "near-texts")
 
-    open_members = members.select("bucket", "rep", "n_shingles")
-    leaders = full.select("bucket", "leader")
-    listed = None
-    edges: list[DataFrame] = []
-    while True:
-        # Everyone in an open bucket against its leader, except those in the leader's component already.
-        star = open_members.join(leaders, "bucket").where("rep != leader")
-        if edges:
-            star = star.where("comp != leader_comp")
-        pairs = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        if listed is not None:
-            pairs = pairs.unionByName(listed)
-        found = cut(confirm(pairs.distinct(), texts_of, shingle), "near-confirmed")
-        edges.append(cut(found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "near-links"))
-        links = edges[0]
-        for more in edges[1:]:
-            links = links.unionByName(more)
-        labels = connected_components(nodes, links, key="rep")
-
-        # What can still be linked in each bucket: with likeness s the least, two that are s-near to the leader are in
-        # one component, and one with likeness under 2s - 1 to the leader has no link to such a one. The rest is grey.
-        measured = found.select(F.col("a").alias("p"), F.col("b").alias("q"), "common", "total")
-        measured = measured.unionByName(measured.select(F.col("q").alias("p"), F.col("p").alias("q"), "common", "total"))
-        now = open_members.select("bucket", "rep", "n_shingles").join(leaders.select("bucket", "leader"), "bucket").join(labels.withColumnRenamed("component", "comp"), "rep")
-        now = now.where("rep != leader").join(measured, (F.col("rep") == F.col("p")) & (F.col("leader") == F.col("q")), "left")
-        near = F.col("common") * 100 >= F.col("total") * percent
-        far = F.col("common") * 100 < F.col("total") * (2 * percent - 100)
-        kind = F.when(F.col("common").isNull(), "grey").when(near, "near").when(far, "far").otherwise("grey")
-        now = now.withColumn("kind", kind).select("bucket", "rep", "n_shingles", "comp", "kind")
-        grey = now.groupBy("bucket").agg(F.bool_or(F.col("kind") == "grey").alias("has_grey"))
-        now = now.join(grey, "bucket")
-        # Near with grey go on in one bucket, grey with far in another; near alone is settled.
-        sides = F.when(~F.col("has_grey"), F.when(F.col("kind") == "far", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-        sides = sides.when(F.col("kind") == "near", F.array(F.lit(0))).when(F.col("kind") == "far", F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-        parted = now.select(F.explode(sides).alias("side"), "bucket", "rep", "n_shingles", "comp").select(F.xxhash64("bucket", "side").alias("bucket"), "rep", "n_shingles", "comp")
-        by_comp = parted.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("first"))
-        stats = by_comp.groupBy("bucket").agg(
-            F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"),
-            F.min_by(F.struct(F.col("first").alias("leader"), F.col("comp").alias("leader_comp")), F.struct("c", "first")).alias("head"),
-        ).where("comps > 1").select("bucket", "size", "same", "head.*")
-        open_members = cut(parted.join(stats, "bucket"), "near-open")
-        if open_members.isEmpty():
-            return labels.withColumnRenamed("component", "component")
-        dense = (F.col("size") * F.col("size") - F.col("same")) / 2 <= DENSE * F.col("size")
-        few = open_members.where(dense).select("bucket", "rep", "comp")
-        other = few.select("bucket", F.col("rep").alias("other"), F.col("comp").alias("other_comp"))
-        listed = few.join(other, "bucket").where("rep < other and comp != other_comp").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        open_members = open_members.where(~dense)
-        leaders = open_members.select("bucket", "leader").distinct()
-        open_members = open_members.select("bucket", "rep", "n_shingles", "comp", "leader_comp")
+    def links(pairs: DataFrame) -> DataFrame:
+        found = confirm(pairs, texts_of, shingle)
+        return cut(found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "near-links")
+
+    # Everyone against the leader of the bucket.
+    first = links(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    labels = connected_components(nodes, first, key="rep")
+    # A link that is still unknown goes between two components of a bucket, so one end is outside its largest one.
+    placed = members.join(labels, "rep")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("top")).where("parts > 1")
+    left = cut(placed.join(largest, "bucket").groupBy("rep", "component").agg(F.max(F.col("component") != F.col("top")).alias("outside")), "near-left")
+    if left.isEmpty():
+        return labels
+    marks = cut(prefixes(left, texts_of, shingle=shingle, percent=percent).join(left, "rep"), "near-prefixes")
+    outer = marks.where("outside").select("token", F.col("rep").alias("p"), F.col("component").alias("of_p"))
+    met = outer.join(marks.select("token", F.col("rep").alias("q"), F.col("component").alias("of_q")), "token").where("of_p != of_q")
+    second = links(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    return connected_components(nodes, first.unionByName(second), key="rep")
 
 
 def near_duplicates(
@@ -225,13 +216,11 @@ def near_duplicates(
     Two sets with likeness s agree in no band with probability (1 - s**rows)**bands, 3e-6 at s = 0.8 with the
     defaults; every candidate is confirmed on the words themselves. The component carries its smallest doc_id.
     """
-    if percent <= 50:
-        raise ValueError("percent must be over 50")
     rows_of = texts(docs, id_col, text_col)
     sketch = cut(sketches(rows_of, shingle=shingle, bands=bands, rows=rows), "near-sketches")
     classes = cut(sketch.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     own = sketch.join(classes.select("set_digest", F.col("rep").alias("doc_id")), ["set_digest", "doc_id"], "left_semi")
-    reps = own.select(F.col("doc_id").alias("rep"), "n_shingles", "buckets")
+    reps = own.select(F.col("doc_id").alias("rep"), "buckets")
     labels = components(reps, rows_of, shingle=shingle, percent=percent)
     if labels is not None:
         classes = classes.join(labels, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("rep"))

@@ -51,9 +51,8 @@ def test_equals_all_pairs(spark, seed, shingle):
     assert got == brute(rows, shingle)
 
 
-def test_rounds_settle_full_buckets(spark, monkeypatch):
-    """One band for all puts unlike documents into the same buckets; leaders must part them without losing a link."""
-    monkeypatch.setattr(m, "DENSE", 0)
+def test_full_bucket_loses_no_link(spark, monkeypatch):
+    """One bucket for all: the leader links few, the rarest shingles must find every other link."""
     monkeypatch.setattr(m, "buckets_of", lambda low, bands: np.zeros(1, np.int64))
     rng = random.Random(7)
     words = [f"w{k}" for k in range(60)]
