@@ -75,7 +75,9 @@ def hard_filter(
     """(planting, species) rows with the first blocking reason, null when admitted.
 
     ``by_class`` holds the measured clearances (site, point, class). Distances are compared only
-    for pairs that were measured, not for every pair of planting and species.
+    for pairs that were measured, and what they block is gathered into one map a planting, at most
+    as long as the catalogue. So only plantings are shuffled; the catalogue is laid beside them at
+    the end, and its product with them is never dealt out.
     """
     forbids = species_rules.where(F.col("severity") == "forbid").select("species_no", "object_class", "rule_id", "min_distance_m")
     near = (
@@ -83,9 +85,11 @@ def hard_filter(
         .join(F.broadcast(forbids.join(species.select("species_no", "planting_type"), "species_no")), ["object_class", "planting_type"])
         .where(F.col("measured_m") + 1e-6 < F.col("min_distance_m"))
         .groupBy(*key, "species_no").agg(F.min("rule_id").alias("distance_rule"))
+        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("species_no", "distance_rule"))).alias("_blocked"))
     )
-    pairs = points.join(F.broadcast(species.drop("species_code")), "planting_type")
-    full = pairs.join(near, [*key, "species_no"], "left").join(salt_distance(by_class, key), list(key), "left")
+    placed = points.join(near, list(key), "left").join(salt_distance(by_class, key), list(key), "left")
+    pairs = placed.join(F.broadcast(species.drop("species_code")), "planting_type")
+    full = pairs.withColumn("distance_rule", F.col("_blocked")[F.col("species_no")]).drop("_blocked")
     reason = F.coalesce(
         F.concat(F.lit("norm:"), F.col("norm_block")), F.concat(F.lit("distance:"), F.col("distance_rule")),
         F.when(F.col("under_line") & (F.col("height_m") > MAX_HEIGHT_UNDER_LINES_M), "overhead"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streetgrove.functions import geom
 from streetgrove.operators import quality as Q
 from streetgrove.operators import rules as R
-from streetgrove.operators import spatial
+from streetgrove.operators import scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
 from streetgrove.plans.registry import Tables, query
@@ -295,12 +295,13 @@ def weights(t):
 
 
 @query(
-    "quality_index", uses=INDEX_USES, extra=f"{SIMPLE_TERMS},\n{LOST}",
-    sql="""select site_id, count(*) as n_terms, round(least(cast(1 as double), greatest(cast(0 as double), avg(score)-penalty)),4) as quality from terms join lostp using(site_id) where score is not null group by site_id, penalty""",
+    "quality_index", uses=tuple(dict.fromkeys((*INDEX_USES, *S.FACTS_USES))), extra=f"{SIMPLE_TERMS},\n{S.FACTS},\n{MARGIN},\n{LOST}",
+    sql=f"""select site_id, count(*) as n_terms, round(least(cast(1 as double), greatest(cast(0 as double), avg(score)-penalty)),4) as quality
+       from (select * from terms union all select site_id, 'margin', round(score,6) from {half_sums('v', 'mval')}) join lostp using(site_id) where score is not null group by site_id, penalty""",
 )
 def quality_index(t):
-    """Index with one undefined term (no network measured): its weight goes to the others."""
-    out = Q.index(terms(t), weights(t), lost(t).select("site_id", "penalty"))
+    """Index over all ten terms; the weight of an undefined term goes to the others."""
+    out = Q.index(terms(t, with_margin=True), weights(t), lost(t).select("site_id", "penalty"))
     return out.select("site_id", "n_terms", F.round("index", 4).alias("quality"))
 
 
@@ -416,13 +417,13 @@ def weight_robustness(t):
         (F.countDistinct("species_no") / 58.0).alias("s2"), (F.count_if(F.col("status") == "F") / F.count(F.lit(1))).alias("s3"),
     )
     scores = plans.select("plan_id", F.posexplode(F.array(*[F.round(f"s{i}", 6) for i in range(4)])).alias("k", "s"))
-    base = F.row_number().over(Window.orderBy(F.desc("mean"), "plan_id"))
-    based = scores.groupBy("plan_id").agg(F.round(F.avg("s"), 9).alias("mean")).select("plan_id", base.cast("long").alias("base"))
+    means = scores.groupBy("plan_id").agg((-F.round(F.avg("s"), 9)).alias("minus"))
+    based = scan.prefix_sum(means, F.lit(1), by=(), order=("minus", "plan_id"), name="base").select("plan_id", "base")
     drawn = scores.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(199))))
     jitter = 0.5 + ((F.col("draw") * 7919 + F.col("k") * 104729) % 1000) / 1000.0
     weight = F.when(F.col("k") == F.col("draw") % 5, 0.0).otherwise(jitter)
-    idx = drawn.groupBy("draw", "plan_id").agg(F.round(F.sum(F.col("s") * weight) / F.sum(weight), 9).alias("idx"))
-    placed = idx.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("idx"), "plan_id")))
+    idx = drawn.groupBy("draw", "plan_id").agg((-F.round(F.sum(F.col("s") * weight) / F.sum(weight), 9)).alias("minus"))
+    placed = scan.prefix_sum(idx, F.lit(1), by=("draw",), order=("minus", "plan_id"), name="place")
     return placed.join(based, "plan_id").groupBy("plan_id", "base").agg(
         F.percentile("place", F.lit(0.05)).alias("low"), F.percentile("place", F.lit(0.5)).alias("mid"), F.percentile("place", F.lit(0.95)).alias("high"),
         F.round(F.avg(F.abs(F.col("place") - F.col("base"))), 4).alias("mean_shift"),
