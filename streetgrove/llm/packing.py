@@ -151,20 +151,16 @@ def best_fit(
     count = estimated_tokens(F.col("text")) if tokens is None else F.col("own_tokens")
     salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")
     split = cut(pieces(source, count, max(sizes)).withColumn("salt", salt), "packing-pieces")
-    # At most the largest length times the salts.
-    counts = {(r["length"], r["salt"]): r["n"] for r in split.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}
-    histogram: dict[int, int] = {}
-    bases = []
-    for (length, part), n in sorted(counts.items()):
-        bases.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    spark = docs.sparkSession
-    base = spark.createDataFrame(bases, "length int, salt int, base long")
-    layout = spark.createDataFrame(plan(histogram, sizes, cost), "length int, first long, last long, shift long, bin_start int, bin_size int, bin_used int")
+    counts = split.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as salts
+    base = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # One row for each length up to the largest.
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    layout = docs.sparkSession.createDataFrame(plan(histogram, sizes, cost), "length int, first long, last long, shift long, bin_start int, bin_size int, bin_used int")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "part")
     ranked = split.where("length > 0").withColumn("nth", F.row_number().over(order) - 1)
-    # Both tables have a bound set by the permitted lengths and the salts, not by the corpus.
-    ranked = ranked.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # The layout's size is bound by the permitted lengths, not by the corpus.
     placed = ranked.join(F.broadcast(layout), "length").where("rank between first and last")
     placed = placed.select("doc_id", "part", "length", (F.col("rank") + F.col("shift")).alias("bin_id"), "bin_size", "bin_start", "bin_used")
     nothing = split.where("length = 0").select(
