@@ -320,7 +320,30 @@ def tree_neighbors(t):
     return tree_pairs(t).select("site_id", F.col("a_point_id").alias("a_id"), F.col("b_point_id").alias("b_id"), F.round("distance", 3).alias("distance_m"), "in_row")
 
 
-@query("enforce_spacing")
+def settled(earlier: str) -> str:
+    """Pairs that stand too close, and the trees kept by going through them in an order: rounds in recursive SQL.
+
+    ``earlier`` says when tree a of a pair comes before tree b.
+    """
+    return f"""{TREE_PAIRS},
+close as (select site_id, a_id, b_id, d, step from tp where d+0.000001e0 < greatest(step*0.95e0, least(step,5.0e0))),
+twoway as (select a_id as id, b_id as other, d, step from close union all select b_id, a_id, d, step from close),
+edges as (select a.point_id as other, b.point_id as id from twoway w join trees a on a.point_id=w.other join trees b on b.point_id=w.id where {earlier}),
+st as (select 0 as n, point_id as id, 0 as status from trees
+  union all
+  select st.n+1, st.id, case when st.status<>0 then st.status when coalesce(h.kept,0)>0 then 2 when coalesce(h.open,0)=0 then 1 else 0 end
+  from st left join (select e.id, count(*) filter (s2.status=1) as kept, count(*) filter (s2.status=0) as open from edges e join st s2 on s2.id=e.other group by e.id) h on h.id=st.id
+  where exists (select 1 from st s3 where s3.status=0)),
+chosen as (select id as point_id from st where n=(select max(n) from st) and status=1)"""
+
+
+@query(
+    "enforce_spacing", uses=("points", "species"), recursive=True, extra=settled("a.price>b.price or (a.price=b.price and a.point_id<b.point_id)"),
+    sql="""with nb as (select id, min(row(d, other, step)) as m from twoway w join chosen on chosen.point_id=w.other group by all)
+       select t.site_id, t.point_id, c.point_id is not null as kept, case when c.point_id is null then m[2] end as neighbour_id,
+         case when c.point_id is null then round(m[1],3) end as distance_m, case when c.point_id is null then round(m[3],3) end as step_m
+       from trees t left join chosen c on c.point_id=t.point_id left join nb on nb.id=t.point_id""",
+)
 def enforce_spacing(t):
     """Trees left after every too-close pair lost its lower-scored member, with the loser's reason."""
     trees = planted(t).where(F.col("planting_type") == "tree")
@@ -339,7 +362,10 @@ def enforce_spacing(t):
     )
 
 
-@query("drop_spacing_conflicts")
+@query(
+    "drop_spacing_conflicts", uses=("points", "species"), recursive=True, extra=settled("a.point_id<b.point_id"),
+    sql="select site_id, point_id from trees where point_id not in (select point_id from chosen)",
+)
 def drop_spacing_conflicts(t):
     """Of overlapping trees the later one goes: plantings are kept in the order of their ids."""
     trees = planted(t).where(F.col("planting_type") == "tree")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from streetgrove.functions import geom, rulebook
 from streetgrove.operators import graph, scan, selection as C, spatial
+from streetgrove.operators import planting as L
 from streetgrove.operators import surface as U
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
+from streetgrove.plans.queries.effect import CURB_PIECES
+from streetgrove.plans.queries.quality import split_curb
 from streetgrove.plans.queries.selection import free_cells, free_sql, sample_cells
 from streetgrove.plans.registry import Tables, query
 from streetgrove.session import cut
@@ -384,14 +387,20 @@ def flowerbed_plants(t):
     return beds.select("feature_id", "m.plant", F.rint(F.col("w") * F.col("d") * DENSITY * F.col("m.share")).cast("long").alias("units"))
 
 
-@query("curb_soil")
+SOIL_PROBES = L.ring_offsets((0.5, 1.0, 1.5, 2.0), 16)
+
+
+@query(
+    "curb_soil", uses=("sites", "segments", "rects"), extra=free_sql(SIZE) + ",\n" + CURB_PIECES.replace("{step}", "5.0e0") + ",\n" + rulebook.sql_values("probe", "dx, dy", [(dx, dy) for _, dx, dy in SOIL_PROBES]),
+    sql="""with m as (select site_id, feature_id, k, piece_m, (ax+ex)/2 as x, (ay+ey)/2 as y from pc),
+       w as (select distinct m.site_id, m.feature_id, m.k, cast(floor(round(m.y+o.dy,3)/5.0e0) as int) as r, cast(floor((round(m.x+o.dx,3)-1000*m.site_id)/5.0e0) as int) as c from m, probe o),
+       h as (select distinct w.feature_id, w.k from w join free f on f.site_id=w.site_id and f."row"=w.r and f.col=w.c)
+       select m.site_id, h.k is not null as soil, count(*) as pieces, round(sum(piece_m),3) as length_m from m left join h on h.feature_id=m.feature_id and h.k=m.k group by all""",
+)
 def curb_soil(t):
     """Kerb pieces whose middle has soil within 2 m: sixteen directions, rings of half a metre."""
-    from streetgrove.operators import planting as L
-    from streetgrove.plans.queries.quality import split_curb
-
     middle = split_curb(t, 5.0).select("site_id", "feature_id", F.col("k").alias("piece"), "piece_m", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    probes = L.at_offsets(middle, L.ring_offsets((0.5, 1.0, 1.5, 2.0), 16)).select("site_id", "feature_id", "piece", *local_cell()).distinct()
+    probes = L.at_offsets(middle, SOIL_PROBES).select("site_id", "feature_id", "piece", *local_cell()).distinct()
     soil = probes.join(free_cells(t, SIZE).select(*CELL), CELL, "left_semi").select("site_id", "feature_id", "piece").distinct().withColumn("soil", F.lit(True))
     rows = middle.join(soil, ["site_id", "feature_id", "piece"], "left").withColumn("soil", F.coalesce("soil", F.lit(False)))
     return rows.groupBy("site_id", "soil").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum("piece_m"), 3).alias("length_m"))
