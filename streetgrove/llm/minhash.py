@@ -8,7 +8,7 @@ coordinates of one shingle lie next to each other, so a signature is the minimum
 Documents with equal sets are one class. Classes that agree in a band meet in a bucket. No bucket lists its pairs:
 first all its members are confirmed against one leader, which joins a group of near copies at once. What remains are
 members outside the largest component of a bucket; they are compared only with those that share one of their rarest
-shingles, as many as two linked sets cannot all differ in. So nothing that meets in a bucket is left out, however full
+shingles, as many as two linked sets cannot all differ in, and early enough to share the rest. So nothing that meets in a bucket is left out, however full
 it is, and a text that was edited too much to be linked meets nobody.
 
 Empty and null texts have the empty set and are linked with nothing. Rows that repeat a doc_id count as one document
@@ -152,7 +152,7 @@ def confirm(pairs: DataFrame, texts_of: DataFrame, shingle: int) -> DataFrame:
 
 
 def prefixes(chosen: DataFrame, texts_of: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """(rep, token): the rarest shingles of each text, so many that two texts with no common one cannot be linked.
+    """(rep, token, rank, n): the rarest shingles of each text, so many that two texts with no common one cannot be linked.
 
     A link needs ``percent`` hundredths of either set in common. In one order of all shingles, here from the rarest among
     the chosen on, the first n - ceil(percent n / 100) + 1 of both sets then meet. Shingles of one text only are left
@@ -171,15 +171,14 @@ def prefixes(chosen: DataFrame, texts_of: DataFrame, *, shingle: int, percent: i
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     order = Window.partitionBy("rep", "own").orderBy("often", "token")
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("rep", "token").distinct()
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("rep", "token", "rank", "n").distinct()
 
 
 def components(reps: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame | None:
     """(rep, component) of the classes that meet others in a bucket; None if none do. ``reps``: (rep, buckets)."""
     entries = reps.select("rep", F.explode("buckets").alias("bucket"))
-    # The first and the last class of a bucket say whether there are two; combined before the shuffle.
-    full = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    members = cut(entries.join(full.select("bucket", "leader"), "bucket"), "near-members")
+    full = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    members = cut(entries.join(full.select("bucket", "size"), "bucket"), "near-members")
     nodes = cut(members.select("rep").distinct(), "near-nodes")
     count = nodes.count()
     if count == 0:
@@ -191,8 +190,13 @@ def components(reps: DataFrame, docs: DataFrame, *, shingle: int, percent: int)
         found = confirm(pairs, texts_of, shingle)
         return cut(found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "near-links")
 
-    # Everyone against the leader of the bucket.
-    first = links(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    # Everyone against the leader of the bucket: the class that meets most others over all its buckets. In a group of
+    # near copies that is one with few edits of its own, it leads in most buckets, and it links all that can be linked.
+    standing = members.groupBy("rep").agg(F.sum("size").alias("standing"))
+    head = F.max(F.struct("standing", (-F.col("rep")).alias("minus"))).alias("head")
+    leaders = members.join(standing, "rep").groupBy("bucket").agg(head).select("bucket", (-F.col("head.minus")).alias("leader"))
+    star = members.join(leaders, "bucket").where("rep != leader")
+    first = links(star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct())
     labels = connected_components(nodes, first, key="rep")
     # A link that is still unknown goes between two components of a bucket, so one end is outside its largest one.
     placed = members.join(labels, "rep")
@@ -202,9 +206,12 @@ def components(reps: DataFrame, docs: DataFrame, *, shingle: int, percent: int)
     if left.isEmpty():
         return labels
     marks = cut(prefixes(left, texts_of, shingle=shingle, percent=percent).join(left, "rep"), "near-prefixes")
-    outer = marks.where("outside").select("token", F.col("rep").alias("p"), F.col("component").alias("of_p"))
-    met = outer.join(marks.select("token", F.col("rep").alias("q"), F.col("component").alias("of_q")), "token").where("of_p != of_q")
-    second = links(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    outer = marks.where("outside").select("token", *(F.col(c).alias(f"{c}_p") for c in ("rep", "component", "rank", "n")))
+    met = outer.join(marks.select("token", *(F.col(c).alias(f"{c}_q") for c in ("rep", "component", "rank", "n"))), "token")
+    # The first shingle that two texts share, in the common order, leaves at most so many others to share.
+    most = 1 + F.least(F.col("n_p") - F.col("rank_p"), F.col("n_q") - F.col("rank_q"))
+    met = met.where((F.col("component_p") != F.col("component_q")) & (most * (100 + percent) >= (F.col("n_p") + F.col("n_q")) * percent))
+    second = links(met.select(F.least("rep_p", "rep_q").alias("a"), F.greatest("rep_p", "rep_q").alias("b")).distinct())
     return connected_components(nodes, first.unionByName(second), key="rep")
 
 
