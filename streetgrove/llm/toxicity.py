@@ -32,8 +32,8 @@ WINDOW, STRIDE = 64, 32
 CHARS, SHARED_CHARS = 592, 48
 #: Bounds of the sample that is learned from: rows of each label, code points of a row, and rows of any length that calibrate.
 TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, CALIBRATION_ROWS = 1500, 2500, 2000, 1500
-#: Steps of learning, texts in each, and their length.
-STEPS, BATCH, RATE, SEED = 400, 64, 0.01, 11
+#: Steps of learning, texts in each, their length, and after how many steps at least the strongest windows are chosen anew.
+STEPS, BATCH, RATE, CHOOSE, SEED = 400, 64, 0.01, 50, 11
 #: Words whose projections a worker remembers.
 MEMORY = 120_000
 CHUNK = 2 << 20
@@ -252,6 +252,15 @@ class Scorer:
 # ---- learning ----
 
 
+def add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row at its place; rows of one place are summed first."""
+    at, rows = at.reshape(-1), rows.reshape(-1, rows.shape[-1])
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+    into[places[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def gradients(net: Network, windows: list[list[str]], y: np.ndarray, rng: np.random.Generator | None = None):
     """(loss, gradients of the three parts) of logistic loss over windows."""
     distinct = sorted({w for ws in windows for w in ws}, key=lambda w: (len(w), w))
@@ -278,15 +287,15 @@ def gradients(net: Network, windows: list[list[str]], y: np.ndarray, rng: np.ran
     top = {"out": pooled.T @ d_logit, "bias": d_logit.sum(keepdims=True)}
     d_x, words = learn_layer(net.words, d_logit[:, None] * net.top["out"], own)
     d_distinct = np.zeros_like(x)
-    np.add.at(d_distinct, at, d_x)
+    add_rows(d_distinct, at, d_x)
     wide = net.top["word"].shape[1]
     top["word"] = np.zeros_like(net.top["word"])
-    np.add.at(top["word"], rows, d_distinct[:, :wide])
+    add_rows(top["word"], rows, d_distinct[:, :wide])
     top["char"] = np.zeros_like(net.top["char"])
     chars: Params = {}
     for k, (ids, state) in enumerate(kept):
         d_char, grads = learn_layer(net.chars, d_distinct[k * 512 : (k + 1) * 512, wide:], state)
-        np.add.at(top["char"], ids, d_char)
+        add_rows(top["char"], ids, d_char)
         chars = {n: g + chars[n] if chars else g for n, g in grads.items()}
     return loss, (chars, words, top)
 
@@ -294,7 +303,7 @@ def gradients(net: Network, windows: list[list[str]], y: np.ndarray, rng: np.ran
 def train(found: list[list[str]], toxic: np.ndarray, *, steps: int = STEPS, seed: int = SEED) -> Network:
     """A network from texts as word lists and their labels.
 
-    Only the text is labelled, so in each round a text is learned by its window that is strongest at that time.
+    Only the text is labelled, so a text is learned by its window that was strongest when they were last chosen.
     """
     counts = Counter(w for ws in found for w in set(ws))
     vocabulary = {w: k + 1 for k, w in enumerate(sorted(w for w, n in counts.items() if n >= 5))}
@@ -308,9 +317,12 @@ def train(found: list[list[str]], toxic: np.ndarray, *, steps: int = STEPS, seed
     distinct = sorted(set(flat))
     index = {w: k for k, w in enumerate(distinct)}
     ids = np.array([index[w] for w in flat], np.int64)
+    chosen = -CHOOSE
     for epoch in range(epochs):
-        logits = window_logits(net, project_words(net, distinct), ids, start, size) if epoch else rng.random(len(row)).astype(np.float32)
-        strongest = np.array([own[np.argmax(logits[own])] for own in places])
+        if step - chosen >= CHOOSE:
+            logits = window_logits(net, project_words(net, distinct), ids, start, size) if epoch else rng.random(len(row)).astype(np.float32)
+            strongest = np.array([own[np.argmax(logits[own])] for own in places])
+            chosen = step
         order = rng.permutation(len(found))
         for k in range(0, len(order), BATCH):
             own = strongest[order[k : k + BATCH]]
