@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetgrove.llm.common import slices
+from streetgrove.llm.common import slices, small_batches
 from streetgrove.session import cut
 
 #: Bytes of edges that one trie keeps in memory.
@@ -194,6 +194,7 @@ def combine_locally(docs: DataFrame, *, largest: bool, id_col: str, text_col: st
             arrays = [batch.column("doc_id"), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "owner", "copies", "length", "content_hash", "text_sha256", "content"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"))
     return rows.mapInArrow(run, LOCAL)
 

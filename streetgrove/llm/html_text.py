@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetgrove.llm.common import slices
+from streetgrove.llm.common import slices, small_batches
 
 CHUNK = 4 << 20
 
@@ -286,5 +286,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             columns = [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ RING = 22
 SEED = 20_240_229
 #: Shingles whose slices are gathered at once.
 GATHER = 1 << 14
-MEMORY = 300_000
+MEMORY = 150_000
 CHUNK = 4 << 20
 #: Classes in buckets up to this number go to the tasks by broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000

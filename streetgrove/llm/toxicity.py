@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetgrove.llm.common import slices, texts
+from streetgrove.llm.common import slices, small_batches, texts
+from streetgrove.session import cut
 
 PART = 24
 WORDS = re.compile(rf"\w{{1,{PART}}}")
@@ -32,6 +33,8 @@ WINDOW, STRIDE = 64, 32
 CHARS, SHARED_CHARS = 592, 48
 #: Bounds of the sample that is learned from: rows of each label, code points of a row, and rows of any length that calibrate.
 TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, CALIBRATION_ROWS = 1500, 2500, 2000, 1500
+#: Labels drawn for each row that is learned, as some texts are too long for that.
+SPARE = 4
 #: Steps of learning, texts in each, their length, and after how many steps at least the strongest windows are chosen anew.
 STEPS, BATCH, RATE, CHOOSE, SEED = 400, 64, 0.01, 50, 11
 #: Words whose projections a worker remembers.
@@ -376,31 +379,28 @@ def split_words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def fit(labelled: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_chars: int = ROW_CHARS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """A model from (text, toxic). The sample is bounded by the parameters: so many rows of each label with whole texts of
-    up to ``row_chars`` code points, and so many rows of any length for the calibration, all chosen by a hash of the text.
+def fit(learned: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_chars: int = ROW_CHARS) -> Model:
+    """A model from ``learned_rows``: of each label at most so many rows with whole texts of up to ``row_chars`` code points
+    teach the network, in the order of their draw, and the rows that calibrate have any length.
     """
-    known = labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    known = known.withColumn("draw", F.xxhash64("text"))
-    shares = known.agg(F.avg("toxic").alias("share"), F.min("toxic").alias("least"), F.max("toxic").alias("most")).first()
-    if shares["least"] is None or shares["least"] == shares["most"]:
-        return Model(None, 1.0, 0.0, float(shares["share"] or 0.0))
-    short = known.where(F.char_length("text").between(1, row_chars))
+    known = cut(learned, "labelled")
+    one = known.select("share").first()
+    if one is None or one["share"] in (0.0, 1.0):
+        return Model(None, 1.0, 0.0, float(one["share"]) if one else 0.0)
+    short = known.where(F.col("learns") & F.char_length("text").between(1, row_chars))
     drawn = []
     for label, rows in ((1, toxic_rows), (0, clean_rows)):
         drawn += [(split_words(r["text"]), label) for r in short.where(F.col("toxic") == label).orderBy("draw", "text").limit(rows).collect()]
     drawn = [(ws, label) for ws, label in drawn if ws]
     if len({label for _, label in drawn}) < 2:
-        return Model(None, 1.0, 0.0, float(shares["share"]))
+        return Model(None, 1.0, 0.0, float(one["share"]))
     net = train([ws for ws, _ in drawn], np.array([label for _, label in drawn]))
-    # Another draw, so that few rows are those that the network has seen.
-    whole = known.orderBy(F.xxhash64("draw"), "text").limit(calibration_rows)
     found, labels = [], []
     scorer = Scorer(net)
-    for r in whole.toLocalIterator():
+    for r in known.where("calibrates").orderBy("draw", "text").toLocalIterator():
         found.append(scorer([split_words(r["text"])])[0])
         labels.append(r["toxic"])
-    return Model(net, *calibrate(np.array(found, np.float32), np.array(labels)), float(shares["share"]))
+    return Model(net, *calibrate(np.array(found, np.float32), np.array(labels)), float(one["share"]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -408,10 +408,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents that may be learned from."""
-    known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return texts(docs).where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("text", "toxic")
+def learned_rows(
+    docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, calibration_rows: int = CALIBRATION_ROWS, spare: int = SPARE,
+) -> DataFrame:
+    """(text, toxic, learns, calibrates, draw, share) of a bounded draw of the labelled documents that may be learned from.
+
+    The draw goes by a hash of the identifier: ``spare`` times the rows of each label that are learned, as many texts are
+    long, and the rows that calibrate, in their natural mixture. It is made from the labels alone, so the texts of all
+    documents are scanned once and never shuffled. ``share`` is that of toxic rows among all labels.
+    """
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = known.where(~held_out(F.col("doc_id"))).withColumn("draw", F.xxhash64("doc_id"))
+    share = known.agg(F.avg("toxic").alias("share")).first()["share"]
+    parts = [known.where(F.col("toxic") == label).orderBy("draw").limit(spare * rows).withColumn("learns", F.lit(True)) for label, rows in ((1, toxic_rows), (0, clean_rows))]
+    parts.append(known.orderBy(F.xxhash64("draw")).limit(calibration_rows).withColumn("learns", F.lit(False)))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    drawn = every.groupBy("doc_id", "toxic", "draw").agg(F.max("learns").alias("learns"), F.min("learns").alias("only")).select(
+        "doc_id", "toxic", "draw", "learns", (~F.col("only")).alias("calibrates"))
+    # At most spare * (toxic_rows + clean_rows) + calibration_rows rows, whatever the corpus holds.
+    return texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "toxic", "learns", "calibrates", "draw", F.lit(share).cast("double").alias("share"))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,4 +453,5 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
             scores = model.scores(scorer(found) if scorer else np.full(len(found), np.nan))
             yield batch.filter(pa.array(scores < 0.5))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
