@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from streetgrove.llm import exact, minhash, packing, secrets, toxicity
 from streetgrove.llm.common import table, without
 from streetgrove.session import cut
 
+VOCABULARY = "byte_bpe_50k.json"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +41,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, part, length, bin_id, bin_size, bin_start, bin_used): where each piece of each document goes."""
-    return packing.best_fit(docs)
+    """(doc_id, part, length, bin_id, bin_size, bin_start, bin_used): where each piece of each document goes; lengths are tokens."""
+    return packing.best_fit(docs, vocab_path=public_tokenizers.path(VOCABULARY))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -235,6 +235,25 @@ def merge_all(v: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     return np.split(symbols[alive], upto[:-1])
 
 
+def lengths(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens) of each whole text, one row a row; the new pre-tokens of a chunk are merged together. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, whole = vocabulary(vocab_path), whole_tokens(vocab_path)
+        known = dict.fromkeys(whole, 1)
+        for batch in slices(batches, "text", CHUNK):
+            cut = [v.pre_tokens(text) for text in batch.column("text").to_pylist()]
+            if len(known) > len(whole) + MEMORY:
+                known = dict.fromkeys(whole, 1)
+            new = list({p for pieces in cut for p in pieces if p not in known})
+            for piece, ids in zip(new, merge_all(v, [p.encode() for p in new]), strict=True):
+                known[piece] = len(ids)
+            n_tokens = pa.array([sum(map(known.__getitem__, pieces)) for pieces in cut], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_tokens], ["doc_id", "n_tokens"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def encode_decode(docs: DataFrame, vocab_path: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of each whole text.
 

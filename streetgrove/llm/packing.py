@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streetgrove.llm import bpe
 from streetgrove.llm.common import texts
 from streetgrove.session import cut
 
@@ -139,18 +140,23 @@ def estimated_tokens(text: Column) -> Column:
 
 def best_fit(
     docs: DataFrame, *, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = sequence_cost, tokens: Column | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, part, length, bin_id, bin_size, bin_start, bin_used): one row a piece.
 
-    ``tokens`` counts the tokens of a row, by default estimated from the bytes of its text; null is 0. A piece of
+    ``vocab_path`` names the vocabulary that each text is counted with; ``tokens`` is a count that the rows have
+    already, null is 0. With neither, lengths are ``estimated_tokens``, no promise that a bin holds its pieces. A piece of
     length 0 is in no bin (nulls). Pieces of one length are ranked by doc_id within salted parts, so a length that a
     third of all pieces share is spread over tasks. Rows that repeat a doc_id are pieces of their own.
     """
-    source = texts(docs, id_col, text_col) if tokens is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("own_tokens"))
-    count = estimated_tokens(F.col("text")) if tokens is None else F.col("own_tokens")
+    if tokens is not None:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("own_tokens"))
+    elif vocab_path is not None:
+        source = bpe.lengths(docs, vocab_path, id_col=id_col, text_col=text_col).select("doc_id", F.col("n_tokens").alias("own_tokens"))
+    else:
+        source = texts(docs, id_col, text_col).select("doc_id", estimated_tokens(F.col("text")).alias("own_tokens"))
     salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")
-    split = cut(pieces(source, count, max(sizes)).withColumn("salt", salt), "packing-pieces")
+    split = cut(pieces(source, F.col("own_tokens"), max(sizes)).withColumn("salt", salt), "packing-pieces")
     counts = split.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as salts
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

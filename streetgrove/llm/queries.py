@@ -55,7 +55,7 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    return packing.best_fit(table(spark, sf_dir, "documents"), vocab_path=public_tokenizers.path(VOCABULARY))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,14 @@
 import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+import corpus_pipeline
 from streetgrove.llm import packing as p
+from streetgrove.llm import queries
 
 
 def walk(lengths, sizes, cost):
@@ -87,3 +91,17 @@ def test_plan_is_bounded():
     rows = p.plan({length: 10**9 // length for length in range(1, 4097)})
     assert len(rows) < 60_000
     assert sum(last - first + 1 for _, first, last, *_ in rows) == sum(10**9 // length for length in range(1, 4097))
+
+
+@pytest.mark.parametrize("pack", [queries.op8_best_fit_packing, lambda spark, sf: corpus_pipeline.pack(spark, queries.table(spark, sf, "documents"), sf)])
+def test_bins_hold_library_tokens(spark, tmp_path, pack):
+    texts = [None, "", "Straßenbäume überwölben die Gehwege. " * 900, "naïve façade déjà vu " * 40, "word " * 300, "<|endoftext|>x", "word " * 300]
+    ids = [0, 1, 2, 3, 4, 5, 4]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in zip(ids, texts, strict=True):
+        want[i] += len(library.encode(t or "", add_special_tokens=False).ids)
+    got = pack(spark, str(tmp_path)).collect()
+    assert Counter({i: sum(r.length for r in got if r.doc_id == i) for i in ids}) == want
+    contents(got)
