@@ -31,9 +31,11 @@ WORDS = re.compile(rf"\w{{1,{PART}}}")
 WINDOW, STRIDE = 64, 32
 #: Characters with vectors of their own; the rest share the last ones.
 CHARS, SHARED_CHARS = 592, 48
-#: Bounds of the sample that is learned from: rows of each label, code points of a row, and rows of any length that calibrate.
-TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS, CALIBRATION_ROWS = 1500, 2500, 2000, 1500
-#: Labels drawn for each row that is learned, as some texts are too long for that.
+#: Bounds of the sample that is learned from: rows of each label, code points of all of them, and rows of any length that calibrate.
+TOXIC_ROWS, CLEAN_ROWS, LEARNED_CHARS, CALIBRATION_ROWS = 1500, 2500, 16_000_000, 1500
+#: Code points of a passage, where a text is too long to be learned whole.
+SPAN = 512
+#: Labels drawn for each row that is learned, as some texts are missing or have no words.
 SPARE = 4
 #: Steps of learning, texts in each, their length, and after how many steps at least the strongest windows are chosen anew.
 STEPS, BATCH, RATE, CHOOSE, SEED = 400, 64, 0.01, 50, 11
@@ -379,18 +381,40 @@ def split_words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def fit(learned: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_chars: int = ROW_CHARS) -> Model:
-    """A model from ``learned_rows``: of each label at most so many rows with whole texts of up to ``row_chars`` code points
-    teach the network, in the order of their draw, and the rows that calibrate have any length.
+def share_out(sizes: list[int], total: int) -> int:
+    """The most that each may have so that all have ``total`` together; what small ones leave goes to the large ones."""
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > total:
+            return max(1, total // (len(sizes) - k))
+        total -= size
+    return max(sizes, default=1)
+
+
+def passages(text: Column, chars: Column, most: int) -> Column:
+    """The text, or if it has more than ``most`` code points, passages at even distances from its first to its last words."""
+    span = min(SPAN, most)
+    n = most // span
+    starts = F.sequence(F.lit(0), F.lit(n - 1))
+    start = lambda k: (F.floor(k * (chars - span) / max(1, n - 1)) + 1).cast("int")
+    return F.when(chars <= most, text).otherwise(F.array_join(F.transform(starts, lambda k: F.substring(text, start(k), F.lit(span))), " "))
+
+
+def fit(learned: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, learned_chars: int = LEARNED_CHARS) -> Model:
+    """A model from ``learned_rows``: of each label at most so many rows of any length teach the network, in the order of
+    their draw. Together they have at most ``learned_chars`` code points: only if they have more, the longest are learned
+    by ``passages``. The rows that calibrate are whole.
     """
     known = cut(learned, "labelled")
     one = known.select("share").first()
     if one is None or one["share"] in (0.0, 1.0):
         return Model(None, 1.0, 0.0, float(one["share"]) if one else 0.0)
-    short = known.where(F.col("learns") & F.char_length("text").between(1, row_chars))
+    spoken = known.where(F.col("learns") & F.rlike("text", F.lit(r"(?U)\w"))).withColumns({"chars": F.char_length("text"), "own": F.xxhash64("text")})
+    wanted = [(label, rows, spoken.where(F.col("toxic") == label)) for label, rows in ((1, toxic_rows), (0, clean_rows))]
+    sizes = [r["chars"] for _, rows, own in wanted for r in own.select("draw", "own", "chars").orderBy("draw", "own").limit(rows).collect()]
+    text = passages(F.col("text"), F.col("chars"), share_out(sizes, learned_chars)).alias("text")
     drawn = []
-    for label, rows in ((1, toxic_rows), (0, clean_rows)):
-        drawn += [(split_words(r["text"]), label) for r in short.where(F.col("toxic") == label).orderBy("draw", "text").limit(rows).collect()]
+    for label, rows, own in wanted:
+        drawn += [(split_words(r["text"]), label) for r in own.select("draw", "own", text).orderBy("draw", "own").limit(rows).collect()]
     drawn = [(ws, label) for ws, label in drawn if ws]
     if len({label for _, label in drawn}) < 2:
         return Model(None, 1.0, 0.0, float(one["share"]))
@@ -413,8 +437,8 @@ def learned_rows(
 ) -> DataFrame:
     """(text, toxic, learns, calibrates, draw, share) of a bounded draw of the labelled documents that may be learned from.
 
-    The draw goes by a hash of the identifier: ``spare`` times the rows of each label that are learned, as many texts are
-    long, and the rows that calibrate, in their natural mixture. It is made from the labels alone, so the texts of all
+    The draw goes by a hash of the identifier: ``spare`` times the rows of each label that are learned, as some texts are
+    missing or have no words, and the rows that calibrate, in their natural mixture. It is made from the labels alone, so the texts of all
     documents are scanned once and never shuffled. ``share`` is that of toxic rows among all labels.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))

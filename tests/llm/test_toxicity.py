@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from streetgrove.llm import toxicity as t
 
@@ -88,3 +89,24 @@ def test_no_labels(spark):
     many = spark.createDataFrame([(k, "text") for k in range(20)], "doc_id long, text string")
     assert {r.score for r in t.score(many, t.fit(t.learned_rows(many, one))).collect()} == {1.0}
     assert t.score(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_teach(spark):
+    rng = random.Random(3)
+    long = lambda k: " ".join(["scum"] * (k % 2) + [rng.choice(["the", "tree", "street", "grows", "beside", "walk"]) for _ in range(600)])
+    rows = [(k, long(k)) for k in range(120)]
+    assert min(len(text) for _, text in rows) > 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = t.fit(t.learned_rows(docs, labels))
+    assert model.net is not None
+    got = {r.doc_id: r.predicted for r in t.score(docs, model).collect()}
+    assert sum(got[k] == k % 2 for k, _ in rows) >= 100  # a constant score has 60
+
+
+def test_passages_reach_over_the_text(spark):
+    text = " ".join(str(k) for k in range(5000))
+    docs = spark.createDataFrame([(text,), ("short one",)], "text string")
+    long, short = (r[0] for r in docs.select(t.passages(F.col("text"), F.char_length("text"), 4096)).collect())
+    assert short == "short one" and len(long) == 8 * 512 + 7 and long.startswith("0 1 ") and long.endswith(" 4999")
+    assert t.share_out([10, 2, 10], 12) == 5 and t.share_out([3, 4], 100) == 4 and t.share_out([], 5) == 1
