@@ -27,7 +27,9 @@ from streetgrove.llm.common import slices, small_batches
 CHUNK = 4 << 20
 
 #: Elements of HTML by how they count here.
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title button".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements that are no text of the page, if they are closed; the start tag of an unclosed one is passed over.
+SKIPPED = frozenset("noscript template svg object canvas select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
@@ -87,6 +89,21 @@ def named(attributes: str) -> list[str]:
     return words
 
 
+def closed(page: str, tag: str) -> dict[int, int]:
+    """Where the content of each closed element of a kind begins, and where its own end tag ends; they may be nested."""
+    begun: list[int] = []
+    ends: dict[int, int] = {}
+    for mark in TOKEN.finditer(page):
+        if (mark[1] or "").lower() != tag:
+            continue
+        if mark[0][1] != "/":
+            if not mark[2].rstrip().endswith("/"):
+                begun.append(mark.end())
+        elif begun:
+            ends[begun.pop()] = mark.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order. A block ends where a block element begins or ends."""
     found: list[Block] = []
@@ -94,6 +111,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     links = count = 0
     at, end = 0, len(page)
+    skips: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         if parts:
@@ -133,6 +151,11 @@ def blocks(page: str) -> list[Block]:
             over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
             at = over.end() if over else end
             continue
+        if tag in SKIPPED:
+            if tag not in skips:
+                skips[tag] = closed(page, tag)
+            at = skips[tag].get(at, at)
+            continue
         if tag in BLOCK:
             close()
             for k in range(len(stack) - 1, -1, -1):

@@ -65,3 +65,13 @@ def test_nulls_and_empty_table(spark):
     got = sorted([tuple(r) for r in h.extract(pages).collect()], key=str)
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (None, "u", LONG, len(LONG)), (2, "u", LONG, len(LONG))], key=str)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def test_unclosed_and_nested_elements_cut_nothing():
+    said = "The street was planted with limes in spring, and all of them grew well over the summer."
+    rest = f"<p>{said}</p><p>{said}</p>"
+    for tag in ("button", "select", "object", "canvas", "noscript", "template", "svg"):
+        assert h.main_text(f"<article><div><{tag}></div>{rest}</article>").count(said) == 2, tag
+        assert h.main_text(f"<article><div><{tag}>Share</{tag}></div>{rest}<{tag}></article>") == f"{said}\n{said}", tag
+    assert h.main_text(f"<article><p><svg>a<svg>b</svg>c</svg>{said}</p>{rest}</article>") == "\n".join([said] * 3)
+    assert h.main_text(f"<article><p><math>x</math> is wide. {said}</p>{rest}</article>").startswith("x is wide. The")
