@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetgrove.llm import bpe, chat, exact, html_text, minhash, packing, secrets, toxicity, winnow
+from streetgrove.llm import bpe, chat, clusters, codes, exact, html_text, minhash, packing, secrets, shards, toxicity, winnow
 from streetgrove.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -66,15 +66,28 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_winnowing, op3_token_counts, op4_bpe_encode_decode, op5_exact_dedup, op6_reply_trees, op7_html_main_text,
-        op8_best_fit_packing, op9_secret_scan, op10_minhash_dedup,
+        op8_best_fit_packing, op9_secret_scan, op10_minhash_dedup, op11_virtual_slots, op12_vector_codes, op13_centroid_clusters,
     )
 }
 
-#: Scores, fingerprints, tokens, page labels and the packing are beyond SQL; tests hold them against brute force.
+#: Scores, fingerprints, tokens, page labels, the packing and the shards are beyond SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL, "op6_reply_trees": chat.CHECKING_SQL, "op9_secret_scan": secrets.checking_sql(), "op10_minhash_dedup": minhash.CHECKING_SQL,
+    "op12_vector_codes": codes.checking_sql(), "op13_centroid_clusters": clusters.checking_sql(),
 }
