@@ -25,10 +25,15 @@ from streetgrove.llm.common import slices, texts
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens remembered by a worker before it forgets all of them.
-MEMORY = 300_000
+#: Distinct pre-tokens or stretches remembered by a worker before it forgets all of them.
+MEMORY = 600_000
+#: Code points of the longest stretch that is remembered.
+LONGEST = 48
+#: Before it every letter of Unicode is old enough for all tables to agree on it.
+LATIN_END = "\u0250"
+MARKS = frozenset(".,;:!?)\"'-")
 #: UTF-8 bytes of text whose pre-tokens are merged together.
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 
 
 def byte_chars() -> list[str]:
@@ -112,59 +117,151 @@ def whole_tokens(path: str) -> frozenset[str]:
     Only strings that are valid UTF-8 can equal a pre-token. A special string is one token by definition.
     """
     v = vocabulary(path)
-    proved = set(v.special)
+    valid = []
     for piece in v.bytes_of:
         try:
-            text = piece.decode()
+            valid.append(piece.decode())
         except UnicodeDecodeError:
             continue
-        if piece and v.count(piece) == 1:
-            proved.add(text)
+    counts = merged_counts(v, [text.encode() for text in valid])
+    proved = set(v.special) | {text for text, n in zip(valid, counts, strict=True) if n == 1}
     return frozenset(proved)
 
 
-class _Counts(dict):
-    """Token counts of the pre-tokens that are no whole token; forgets all when full."""
+class Stretches:
+    """Token counts of texts by stretches, most of which come again and again.
+
+    A space before a non-space always begins a pre-token, so a text divides there into stretches whose tokens do not depend
+    on each other: mostly a space and a word. Counts of stretches are remembered, up to ``MEMORY`` of them, then all are
+    forgotten. Only stretches not met before are cut into pre-tokens; of these the proved whole tokens count one each, and
+    the rest, of all texts given together, is merged in one call.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.v = vocabulary(path)
+        self.spaced: dict[str, int] = {}
+        self.pieces: dict[str, int] = dict.fromkeys(whole_tokens(path), 1)
+        self.whole = len(self.pieces)
+        self.blank = blanks()
+
+    def divide(self, words: list[str]) -> list[str]:
+        """Words between spaces, put together where a space is not before a non-space."""
+        out = [words[0]]
+        for word in words[1:]:
+            if word and word[0] not in self.blank:
+                out.append(word)
+            else:
+                out[-1] += " " + word
+        return out
+
+    def learn(self, stretches: list[str], plain: list[str]) -> tuple[list[int], list[int]]:
+        """Counts of ``stretches`` as they stand in the text, and of ``plain``, a space and letters each; all merged in one call."""
+        if len(self.pieces) > self.whole + MEMORY:
+            self.pieces = dict(list(self.pieces.items())[: self.whole])
+        known = self.pieces
+        cut = [self.v.pieces.findall(s) for s in stretches]
+        rest = [s for s in plain if s not in known]
+        new = list(set().union(*cut).difference(known, rest))
+        counted = merged_counts(self.v, [s.encode() for s in (*rest, *new)])
+        found = dict(zip(rest, counted, strict=False))
+        known.update(zip(new, counted[len(rest) :], strict=True))
+        totals = [sum([known[p] if p in known else found[p] for p in pieces]) for pieces in cut]
+        return totals, [found[s] if s in found else known[s] for s in plain]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of every text; a special string is one."""
+        if len(self.spaced) > MEMORY:
+            self.spaced.clear()
+        found, runs = [0] * len(texts), []
+        for k, text in enumerate(texts):
+            parts = [text]
+            if self.v.cuts is not None and any(s in text for s in self.v.special):
+                parts = self.v.cuts.split(text)
+                found[k] = len(parts) // 2
+            runs += [(k, part.split(" ")) for part in parts[::2] if part]
+        new = set().union(*(words[1:] for _, words in runs)) - self.spaced.keys()
+        odd = {w for w in new if not w or w[0] in self.blank}
+        if odd:
+            runs = [(k, words if odd.isdisjoint(words[1:]) else self.divide(words)) for k, words in runs]
+            new = set().union(*(words[1:] for _, words in runs)) - self.spaced.keys()
+        # A word of long known letters is one pre-token; an ASCII mark after it is another, and one token as every single byte is.
+        letters = {w for w in new if w.isalpha() and max(w) < LATIN_END}
+        marked = {w: w[:-1] for w in new - letters if w[-1] in MARKS and w[:-1].isalpha() and max(w) < LATIN_END}
+        letters |= set(marked.values()) - self.spaced.keys()
+        heads, plain = list({words[0] for _, words in runs if words[0]}), list(letters)
+        other = list(new - letters - marked.keys())
+        mixed, alone = self.learn(heads + [" " + w for w in other], [" " + w for w in plain])
+        first = dict(zip(heads, mixed, strict=False)) | {"": 0}
+        self.spaced.update(zip(plain, alone, strict=True))
+        self.spaced.update(zip(other, mixed[len(heads) :], strict=True))
+        self.spaced.update((w, self.spaced[core] + 1) for w, core in marked.items())
+        for k, words in runs:
+            found[k] += first[words[0]] + sum(map(self.spaced.__getitem__, words[1:]))
+        for word in [w for w in new | letters if len(w) > LONGEST]:
+            del self.spaced[word]
+        return found
+
+
+@lru_cache(maxsize=1)
+def stretches(path: str) -> Stretches:
+    """What a worker remembers from task to task."""
+    return Stretches(path)
+
+
+@lru_cache(maxsize=1)
+def blanks() -> frozenset[str]:
+    """Code points that the pattern takes for white space."""
+    return frozenset(regex.findall(r"\s", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))))
 
-    def __init__(self, v: Vocabulary) -> None:
-        super().__init__()
-        self.v = v
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        n = self[piece] = self.v.count(piece.encode())
-        return n
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``max_bytes`` of ``column``, small batches put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, max_bytes):
+        n = pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0
+        if held and size + n > max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def token_counts(docs: DataFrame, vocab_path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): tokens of each whole text.
 
     Pre-tokens in the proved set count one each without any merging; only the rest is merged. No shuffle; a task
-    holds one slice of a batch.
+    holds one chunk of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, whole = vocabulary(vocab_path), whole_tokens(vocab_path)
-        merged = _Counts(v)
-        for batch in slices(batches, "text", CHUNK):
-            n_bytes, n_tokens = [], []
-            for text in batch.column("text").to_pylist():
-                pieces = v.pre_tokens(text)
-                rest = [p for p in pieces if p not in whole]
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(len(pieces) - len(rest) + sum(map(merged.__getitem__, rest)))
-            tokens = pa.array(n_tokens, pa.int64())
+        memory = stretches(vocab_path)
+        for batch in gathered(batches, "text", CHUNK):
+            n_bytes = pa.compute.cast(pa.compute.binary_length(batch.column("text")), pa.int64())
+            tokens = pa.array(memory.counts(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), tokens, pa.compute.greater(tokens, limit)],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column("doc_id"), n_bytes, tokens, pa.compute.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def merge_all(v: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    """Token ids of every piece, all pieces merged together.
+    """Token ids of every piece, all pieces merged together."""
+    ids, upto = merged(v, pieces)
+    return np.split(ids, upto[:-1]) if len(pieces) else []
+
+
+def merged_counts(v: Vocabulary, pieces: list[bytes]) -> list[int]:
+    """Tokens of every piece."""
+    return np.diff(merged(v, pieces)[1], prepend=0).tolist()
+
+
+def merged(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces one after another, and where each piece ends.
 
     Every pair of neighbours is indexed to the list of all its positions. Active ranks are taken in ascending order;
     one rank is applied at all its positions at once, and only the neighbours of a merged place enter new lists. A
@@ -175,7 +272,7 @@ def merge_all(v: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(pieces) else 0
     if total == 0:
-        return [np.zeros(0, np.int32) for _ in pieces]
+        return np.zeros(0, np.int32), ends
     symbols = v.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
     nxt = np.arange(1, total + 1, dtype=np.int64)
     prv = np.arange(-1, total - 1, dtype=np.int64)
@@ -231,24 +328,16 @@ def merge_all(v: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
         if len(fresh):
             index(np.unique(fresh))
     alive = symbols >= 0
-    upto = np.concatenate(([0], np.cumsum(alive)))[ends]
-    return np.split(symbols[alive], upto[:-1])
+    return symbols[alive], np.concatenate(([0], np.cumsum(alive)))[ends]
 
 
 def lengths(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of each whole text, one row a row; the new pre-tokens of a chunk are merged together. No shuffle."""
+    """(doc_id, n_tokens) of each whole text, one row a row; a chunk's new pre-tokens are merged together. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, whole = vocabulary(vocab_path), whole_tokens(vocab_path)
-        known = dict.fromkeys(whole, 1)
-        for batch in slices(batches, "text", CHUNK):
-            cut = [v.pre_tokens(text) for text in batch.column("text").to_pylist()]
-            if len(known) > len(whole) + MEMORY:
-                known = dict.fromkeys(whole, 1)
-            new = list({p for pieces in cut for p in pieces if p not in known})
-            for piece, ids in zip(new, merge_all(v, [p.encode() for p in new]), strict=True):
-                known[piece] = len(ids)
-            n_tokens = pa.array([sum(map(known.__getitem__, pieces)) for pieces in cut], pa.int64())
+        memory = stretches(vocab_path)
+        for batch in gathered(batches, "text", CHUNK):
+            n_tokens = pa.array(memory.counts(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_tokens], ["doc_id", "n_tokens"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")

@@ -1,6 +1,8 @@
 """Own BPE against the tokenizers library."""
 
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -65,6 +67,33 @@ def test_index_equals_merging_alone(pieces):
     assert [b"".join(v.bytes_of[i] for i in ids) for ids in bpe.merge_all(v, encoded)] == encoded
 
 
+def test_stretches_equal_library(library):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", " \n", "\n ", "\t", "\x1c", "\x85", "\u3000", "\u00a0", "a", "word", "Straße", "é", "ª", "²", "Ⅷ", "漢", "'s", " 's", "it's", ".", ",", "...", "9", "<|endoftext|>", "x" * 60]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    memory = bpe.Stretches(PATH)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert memory.counts(texts[:3000]) + memory.counts(texts[3000:]) == want
+    assert memory.counts(texts) == want and not any(len(s) > bpe.LONGEST for s in memory.spaced)
+
+
+def test_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    memory, rng = bpe.Stretches(PATH), random.Random(1)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcé.1") for _ in range(5)) for _ in range(10)) for _ in range(10)]
+        assert memory.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(memory.spaced) <= 50 + 250 and len(memory.pieces) <= memory.whole + 50 + 500
+
+
+def test_one_very_long_pre_token(library):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    start = time.time()
+    assert bpe.Stretches(PATH).counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert time.time() - start < 20
+
+
 def test_shortcut_is_proved(library):
     whole = bpe.whole_tokens(PATH)
     assert len(whole) > 40_000

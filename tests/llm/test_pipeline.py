@@ -3,11 +3,13 @@
 import random
 import re
 
+import public_tokenizers
 import pytest
 from compare import compare, duck
 from test_exact import brute as brute_exact
 from test_minhash import brute as brute_near
 from test_packing import contents, walk
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from streetgrove.llm import packing, queries, secrets, toxicity
@@ -82,7 +84,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         got = {r.doc_id: r for r in frame.collect()}
         assert {i: r.text for i, r in got.items()} == want
         assert all(r.n_chars == len(r.text or "") for r in got.values())
-    lengths = [min(4096, n - at) for t in now.values() for n in [-(-len((t or "").encode()) // 4)] for at in range(0, n, 4096)]
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    counts = [len(e.ids) for e in library.encode_batch([t or "" for t in now.values()], add_special_tokens=False)]
+    lengths = [min(4096, n - at) for n in counts for at in range(0, n, 4096)]
     want = walk(lengths, packing.SIZES, packing.sequence_cost)
     assert contents(corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()) == want
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
