@@ -353,5 +353,29 @@ def floors_by_area(area: Column) -> Column:
     return F.when(area < 150.0, 1).when(area < 600.0, 2).otherwise(LARGE_FLOORS)
 
 
+SHARED_WALL_M = 2.0  # fixed value: a neighbour lends its storeys along a wall from this length
+
+
+def heights(faces: DataFrame, walls: DataFrame) -> DataFrame:
+    """Storeys, source and height of ``faces(face, area, floors, wall, use, porch, container)``.
+
+    A face without a label takes the storeys of the labelled neighbour along the longest shared wall (``walls(a, b, shared_m)``,
+    ties to the smaller face). Only labels are lent, so storeys do not wander from house to house.
+    """
+    long_ = walls.where(F.round("shared_m", 6) >= SHARED_WALL_M)
+    both = long_.select(F.col("a").alias("face"), F.col("b").alias("_other"), "shared_m").unionByName(long_.select(F.col("b").alias("face"), F.col("a").alias("_other"), "shared_m"))
+    lent = both.join(faces.where("floors is not null").select(F.col("face").alias("_other"), F.col("floors").alias("_floors")), "_other")
+    donors = lent.groupBy("face").agg(F.max_by("_floors", F.struct(F.round("shared_m", 6), -F.col("_other"))).alias("_lent"))
+    known, lettered = F.col("floors").isNotNull(), F.col("wall").isNotNull() | F.col("use").isNotNull()
+    low = F.when(known, F.lit(None)).when(F.col("container"), "container").when(F.col("porch"), "porch")
+    rows = faces.join(donors, "face", "left").withColumn("_low", low)
+    source = F.when(known, "label").when(F.col("_low").isNotNull(), "letter").when(F.col("_lent").isNotNull(), "neighbor").when(lettered, "letter").otherwise("assumed")
+    by_letter = F.when(F.col("use") == "residential", RESIDENTIAL_FLOORS).otherwise(LETTER_FLOORS)
+    floors = F.when(known, F.col("floors")).when(F.col("_low").isNotNull(), F.lit(None)).when(F.col("_lent").isNotNull(), F.col("_lent")).when(lettered, by_letter).otherwise(floors_by_area(F.col("area")))
+    rows = rows.withColumn("source", source).withColumn("floors", floors)
+    height = F.when(F.col("floors").isNotNull(), storey_height(F.col("floors"))).when(F.col("_low") == "porch", PORCH_M).otherwise(CONTAINER_M)
+    return rows.withColumn("height_m", height).drop("_low", "_lent")
+
+
 def class_map(entries: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(v) for pair in entries.items() for v in pair])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ TREE_ROW_STEP = (5.0, 6.0)
 SHRUB_ROW_STEP = (0.3, 1.0)
 PI = 3.141592653589793
 
+COVER_STRETCH_M = 64.0  # part of a segment whose cover one pass decides
+
 
 def targets(streets: DataFrame, *, admissible: bool = True) -> DataFrame:
     """Trees and shrubs a street asks for; trees no more than its capacity, at least one each."""
@@ -145,19 +150,83 @@ def union_length(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     return intervals.withColumn("_fresh", fresh).groupBy(*by).agg(F.sum("_fresh").alias("length_m"))
 
 
+def skyline(group: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a, b, weight) of disjoint pieces with the best weight over each, per group; n log n whatever overlaps.
+
+    The ends of a group cut it into places. An interval of n places is two overlapping runs of 2^k places; runs hand their
+    best weight down to their two halves, from the longest to single places.
+    """
+    good = (weight > 0) & (b > a)
+    group, a, b, weight = group[good], a[good], b[good], weight[good]
+    if not len(a):
+        return group, a, b, weight
+    owner, end = np.concatenate((group, group)), np.concatenate((a, b))
+    order = np.lexsort((end, owner))
+    new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (end[order][1:] != end[order][:-1]))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    where, place = owner[order][new], end[order][new]
+    first, last = at[: len(a)], at[len(a) :]
+    size = np.floor(np.log2(last - first)).astype(np.int64)
+    best = np.zeros(len(where))
+    for k in range(int(size.max()), -1, -1):
+        own = size == k
+        np.maximum.at(best, first[own], weight[own])
+        np.maximum.at(best, last[own] - (1 << k), weight[own])
+        if k:
+            half = 1 << (k - 1)
+            best[half:] = np.maximum(best[half:], best[: len(best) - half].copy())
+    held = np.flatnonzero((best[:-1] > 0) & (where[:-1] == where[1:]))
+    # Neighbouring pieces of one weight are one piece.
+    starts = np.flatnonzero(np.append(True, (held[1:] != held[:-1] + 1) | (best[held[1:]] != best[held[:-1]])))
+    return where[held[starts]], place[held[starts]], place[held[np.append(starts[1:], len(held)) - 1] + 1], best[held[starts]]
+
+
+def _best_pieces(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The skyline of each batch: what is never best does not travel."""
+    for frame in frames:
+        codes = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        where = np.unique(codes, return_index=True)[1]
+        group, a, b, weight = skyline(codes, frame["a"].to_numpy(), frame["b"].to_numpy(), frame["weight"].to_numpy())
+        out = frame[keys].iloc[where[group]].reset_index(drop=True)
+        yield out.assign(a=a, b=b, weight=weight)
+
+
+def _best_of_sorted(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Weighted length per key of rows sorted by key; of the last key of a batch only its skyline so far is kept."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        new = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+        codes = np.cumsum(new) - 1
+        group, a, b, weight = skyline(codes, frame["a"].to_numpy(), frame["b"].to_numpy(), frame["weight"].to_numpy())
+        names, open_ = frame.loc[new, keys].reset_index(drop=True), group == codes[-1]
+        held = pd.concat([names.iloc[group[open_]].reset_index(drop=True), pd.DataFrame({"a": a[open_], "b": b[open_], "weight": weight[open_]})], axis=1)
+        done = np.bincount(group[~open_], (weight * (b - a))[~open_], minlength=len(names))[: len(names) - 1]
+        yield names.iloc[: len(names) - 1].assign(weighted_m=done)
+    if held is not None and len(held):
+        yield held[keys].head(1).assign(weighted_m=float((held["weight"] * (held["b"] - held["a"])).sum()))
+
+
 def weighted_cover(intervals: DataFrame, by: Sequence[str] = ("site_id",), segment: Sequence[str] = ("feature_id", "ring_id", "seg_no")) -> DataFrame:
     """Covered length where the best weight wins.
 
-    The weight is sliced into its distinct levels: the best cover contributes, level by level,
-    (level - level below) times the length covered by anything at least that good. Every slice is
-    a sorted sweep, so a segment under many crowns never meets itself in pairs.
+    Segments are cut into stretches of ``COVER_STRETCH_M``. A task keeps of its intervals only the skyline, the best weight over
+    each place, before the shuffle; the skylines of a stretch meet in one ordered pass, whose memory is one skyline. An
+    interval never meets the weights or intervals of the others one by one. Null ends or weights cover nothing.
     """
-    levels = intervals.where("weight > 0").select("weight").distinct()
-    below = F.coalesce(F.lag("weight").over(Window.orderBy("weight")), F.lit(0.0))
-    steps = levels.withColumn("slice", F.col("weight") - below).select(F.col("weight").alias("level"), "slice")
-    sliced = intervals.join(F.broadcast(steps), F.col("weight") >= F.col("level"))
-    lengths = union_length(sliced, [*by, *segment, "level", "slice"])
-    return lengths.groupBy(*by).agg(F.sum(F.col("slice") * F.col("length_m")).alias("weighted_m"))
+    keys = [*by, *segment, "_stretch"]
+    first, last = F.floor(F.col("a") / COVER_STRETCH_M).cast("long"), (F.ceil(F.col("b") / COVER_STRETCH_M) - 1).cast("long")
+    rows = intervals.where("weight > 0 and b > a").withColumn("_stretch", F.explode(F.sequence(first, F.greatest(first, last))))
+    edge = F.col("_stretch") * F.lit(COVER_STRETCH_M)
+    rows = rows.select(*keys, F.greatest("a", edge).alias("a"), F.least("b", edge + COVER_STRETCH_M).alias("b"), F.col("weight").cast("double").alias("weight"))
+    names = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    best = rows.mapInPandas(partial(_best_pieces, keys=keys), f"{names}, a double, b double, weight double")
+    ordered = best.repartition(*keys).sortWithinPartitions(*keys, "a")
+    lengths = ordered.mapInPandas(partial(_best_of_sorted, keys=keys), f"{names}, weighted_m double")
+    return lengths.groupBy(*by).agg(F.sum("weighted_m").alias("weighted_m"))
 
 
 def index(terms: DataFrame, weights: DataFrame, penalties: DataFrame, *, by: Sequence[str] = ("site_id",), gates: DataFrame | None = None) -> DataFrame:

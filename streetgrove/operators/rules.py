@@ -79,7 +79,8 @@ def nearest_clearance(
     a tie goes to the lowest feature id. Objects are searched within the ring plus their own
     reserve, so a clearance found inside a ring is final: the nearest wall need not belong to the
     nearest axis. Only pairs of point and class without an answer go on to the next, wider ring, and the
-    rings widen until every point has an answer for every class of its site.
+    rings widen until every point has an answer for every class of its site, or cover the site. A point without finite
+    coordinates has a row of nulls for every class searched on its site; a segment without them is none, a null error is 0.
     Each ring is a bucketed equi-join whose minima are combined before the shuffle. A caller that
     only compares with norms passes ``reach``, the largest norm of each class, instead: then a
     class is searched no further than its own norm, classes without a norm are not searched, and a
@@ -93,14 +94,16 @@ def nearest_clearance(
     )
     axis = F.struct(F.greatest(F.lit(0.0), F.col("distance") - F.col("_err")).alias("v"), F.col("feature_id"))
     wall = F.struct(F.greatest(F.lit(0.0), F.col("distance") - F.col("_err") - F.col("_half")).alias("v"), F.col("feature_id"))
-    todo = points.select("site_id", "point_id", "x", "y")
+    segments = segments.where(spatial.finite("x1", "y1", "x2", "y2")).withColumn("_err", F.coalesce("_err", F.lit(0.0)))
+    asked = points.select("site_id", "point_id", "x", "y")
+    todo = asked.where(spatial.finite("x", "y"))
     found = None
     if reach is not None:
         limit = F.create_map(*[v for cls, metres in reach.items() for v in (F.lit(cls), F.lit(float(metres)))])
         segments = segments.where(F.col("object_class").isin(*reach)).withColumn("_limit", limit[F.col("object_class")])
         pairs = spatial.near_segments(todo, segments, 0.0, cell=max(reach.values()), spread=("point_id",), reserve=F.col("_limit") + F.col("_err") + F.col("_half"))
-        found, rings = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall")), ()
-    for i, radius in enumerate(spatial.widening(rings)):
+        found = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall"))
+    for i, radius in enumerate(() if reach is not None else spatial.widening(rings, lambda: spatial.farthest(todo, segments))):
         on = ("site_id",) if i == 0 else ("site_id", "object_class")
         pairs = spatial.near_segments(todo, segments, radius, on=on, spread=("point_id",), reserve=F.col("_err") + F.col("_half"))
         best = pairs.groupBy(*key).agg(F.min(axis).alias("axis"), F.min(wall).alias("wall"))
@@ -114,7 +117,9 @@ def nearest_clearance(
         found = best if found is None else found.unionByName(best)
         if todo.isEmpty():
             break
-    result = found.select(
+    classes = segments.select("site_id", "object_class").distinct()
+    nowhere = asked.where(~spatial.finite("x", "y")).join(classes, "site_id").select(*key)
+    result = found.unionByName(nowhere, allowMissingColumns=True).select(
         "site_id", "point_id", "object_class",
         F.col("axis.v").alias("axis_m"), F.col("axis.feature_id").alias("axis_id"),
         F.col("wall.v").alias("wall_m"), F.col("wall.feature_id").alias("wall_id"),
@@ -138,7 +143,7 @@ def checks(
 ) -> DataFrame:
     """The fact table: one row per (point, rule) with outcome, threshold and measure.
 
-    ``rules`` may be general (joined on the planting type) or per species (``by`` names the key).
+    A point without finite coordinates has no data for any rule. ``rules`` may be general (joined on the planting type) or per species (``by`` names the key).
     """
     measured = F.when(F.col("measure_to") == "outer_wall", F.col("wall_m")).otherwise(F.col("axis_m"))
     nearest = F.when(F.col("measure_to") == "outer_wall", F.col("wall_id")).otherwise(F.col("axis_id"))
@@ -149,7 +154,8 @@ def checks(
     )
     passes = measured >= F.col("min_distance_m") + F.lit(margin_m) - geom.EPS_M
     outcome = (
-        F.when(measured.isNull() & is_utility() & ~F.coalesce("has_utility_data", F.lit(False)), "no_data")
+        F.when(~spatial.finite("x", "y"), "no_data")
+        .when(measured.isNull() & is_utility() & ~F.coalesce("has_utility_data", F.lit(False)), "no_data")
         .when(measured.isNull(), "pass").when(passes, "pass")
     )
     if barrier_m is not None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,13 +159,32 @@ def snap_cell(x: Column | str, y: Column | str, size: float) -> tuple[Column, Co
     return geom.cell_of(x, size), geom.cell_of(y, size)
 
 
-def widening(rings: Sequence[float]) -> Iterator[float]:
-    """The rings, and then ever wider ones without end; the caller stops when nothing is left to search."""
+def finite(*names: str) -> Column:
+    """All of the columns are numbers, neither null nor NaN nor infinite."""
+    span = sum((F.abs(F.col(n)) for n in names), F.lit(0.0))  # NaN is above infinity
+    return F.coalesce(span < float("inf"), F.lit(False))
+
+
+def widening(rings: Sequence[float], extent: Callable[[], float]) -> Iterator[float]:
+    """The rings, and then each four times as wide as the last until one covers ``extent``; the caller may stop earlier."""
     yield from rings
-    radius = rings[-1] if rings else 0.0
-    while radius:
-        radius *= 4
+    farthest = extent()
+    radius = rings[-1] if rings else farthest
+    while radius < farthest:
+        radius = min(radius * 4, farthest)
         yield radius
+    if not rings:
+        yield farthest
+
+
+def farthest(points: DataFrame, segments: DataFrame) -> float:
+    """No point is farther from a segment of its site: the longest diagonal of a site's points and segments, and a little more."""
+    xs, ys = [F.col("x1"), F.col("x2")], [F.col("y1"), F.col("y2")]
+    ends = segments.select("site_id", F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(xs, ys, strict=True)])).alias("e")).select("site_id", "e.*")
+    box = points.select("site_id", "x", "y").unionByName(ends).groupBy("site_id").agg(
+        (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    widest = box.agg(F.max(geom.hypot2(F.col("w"), F.col("h"))).alias("d")).first()["d"]
+    return (widest or 0.0) * 1.001 + 1.0
 
 
 def as_segments(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -177,20 +197,137 @@ def nearest_segment(
 ) -> DataFrame:
     """Nearest segment of every point with its ends, widening ring by ring; ties to the smallest payload.
 
-    The rings go on, each four times as wide, until every point has its answer; only points whose
-    site has no segment at all are absent from the result.
+    The rings go on, each four times as wide, until every point has its answer or a ring covers the site. Points whose
+    site has no segment are absent from the result; a point without finite coordinates has a row of nulls, and a segment
+    without them is no segment.
     """
     fields = [*payload, "x1", "y1", "x2", "y2"]
-    segments = segments.select("site_id", *fields)
-    todo = points.select(*key, "x", "y").join(segments.select("site_id").distinct(), "site_id", "left_semi")
+    segments = segments.where(finite("x1", "y1", "x2", "y2")).select("site_id", *fields)
+    asked = points.select(*key, "x", "y").join(segments.select("site_id").distinct(), "site_id", "left_semi")
+    todo = asked.where(finite("x", "y"))
     found = Growing("nearest")
-    for radius in widening(rings):
+    for radius in widening(rings, lambda: farthest(todo, segments)):
         pairs = near_segments(todo, segments, radius, spread=tuple(key))
         best = found.add(pairs.groupBy(*key).agg(F.min(F.struct("distance", *fields)).alias("n")))
         todo = cut(todo.join(best.select(*key), list(key), "left_anti"), "todo")
         if todo.isEmpty():
             break
-    return found.all().select(*key, "n.distance", *[F.col(f"n.{c}").alias(c) for c in fields])
+    nowhere = asked.where(~finite("x", "y")).select(*key)
+    return found.all().unionByName(nowhere, allowMissingColumns=True).select(*key, "n.distance", *[F.col(f"n.{c}").alias(c) for c in fields])
+
+
+def first_hits(rays: DataFrame, lines: DataFrame, *, key: Sequence[str], line_key: str = "feature_id", touch: float = 1e-6, cell: float = 16.0) -> DataFrame:
+    """(key..., along_m, hit): how far each ray (ax, ay, bx, by) runs until it meets a line of another ``line_key`` of its site.
+
+    Rays and lines meet in the cells that they pass through; the nearest hit beyond ``touch`` wins, then the smallest line.
+    A line in the ray's own direction is met at its nearer end.
+    """
+    key = list(key)
+    lhs = with_cells(rays, cell, F.lit(0.0), ("ax", "ay", "bx", "by"))
+    rhs = with_cells(lines.select("site_id", F.col(line_key).alias("_hit"), "x1", "y1", "x2", "y2"), cell, F.lit(0.0))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    size = F.nullif(geom.hypot2(dx, dy), F.lit(0.0))
+    ux, uy = dx / size, dy / size
+    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ox, oy = F.col("x1") - F.col("ax"), F.col("y1") - F.col("ay")
+    across = F.nullif(ux * ey - uy * ex, F.lit(0.0))
+    along, part = (ox * ey - oy * ex) / across, (ox * uy - oy * ux) / across
+    one, other = ox * ux + oy * uy, (F.col("x2") - F.col("ax")) * ux + (F.col("y2") - F.col("ay")) * uy
+    same = (F.abs(ox * uy - oy * ux) <= touch) & (F.greatest(one, other) >= 0)
+    met = F.when(across.isNull(), F.when(same, F.greatest(F.lit(0.0), F.least(one, other)))).when(part.between(0, 1), along)
+    hits = lhs.join(rhs, ["site_id", "_cx", "_cy"]).where(F.col("_hit") != F.col(line_key)).withColumn("_along", met).where((F.col("_along") > touch) & (F.col("_along") <= size))
+    return hits.groupBy(*key).agg(F.min(F.struct("_along", "_hit")).alias("m")).select(*key, F.col("m._along").alias("along_m"), F.col("m._hit").alias("hit"))
+
+
+def shared_walls(edges: DataFrame, *, key: str = "face", on: Sequence[str] = ("site_id",), gap: float = 0.02, tile: float = 16.0) -> DataFrame:
+    """(on..., a, b, shared_m): length that the edges of two faces run along each other, a < b, no farther apart than ``gap``.
+
+    Edges, cut to a length of 128 m, meet by the square of their middle, their direction, the distance of their line from the
+    corner of that square and the stretch of ``tile`` metres along it. Direction, distance and square are rounded, so one
+    side is entered beside its own values too, and the exact test follows. No two edges of a face are compared otherwise.
+    """
+    on = list(on)
+    turn, square, around = 1.0 / 512, 256.0, F.array(F.lit(-1), F.lit(0), F.lit(1))
+    half = math.floor(math.pi / 2 / turn)  # directions run from -half - 1 to half; the next one is the first, seen from behind
+    long_ = edges.where(finite("x1", "y1", "x2", "y2") & (geom.segment_length() > 0)).withColumn("_n", F.ceil(geom.segment_length() / 128.0))
+    part = long_.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    at = lambda p, q, k: F.col(p) + (F.col(q) - F.col(p)) * (k / F.col("_n").cast("double"))
+    rows = part.select(
+        *on, key, at("x1", "x2", F.col("_k")).alias("x1"), at("y1", "y2", F.col("_k")).alias("y1"), at("x1", "x2", F.col("_k") + 1).alias("x2"), at("y1", "y2", F.col("_k") + 1).alias("y2"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    back = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1.0).otherwise(1.0)
+    rows = rows.withColumns({"_a": F.floor(F.atan2(dy * back, dx * back) / turn), "_sx": F.floor(F.col("x1") / 2 / square + F.col("x2") / 2 / square), "_sy": F.floor(F.col("y1") / 2 / square + F.col("y2") / 2 / square), "_w": back})
+
+    def placed(frame: DataFrame, name: str, wide: bool) -> DataFrame:
+        if wide:
+            for c in ("_sx", "_sy", "_a"):
+                frame = frame.withColumn("_i", F.explode(around)).withColumn(c, F.col(c) + F.col("_i"))
+            over, under = F.col("_a") > half, F.col("_a") < -half - 1
+            frame = frame.withColumn("_w", F.when(over | under, -F.col("_w")).otherwise(F.col("_w")))
+            frame = frame.withColumn("_a", F.when(over, F.col("_a") - (2 * half + 2)).when(under, F.col("_a") + (2 * half + 2)).otherwise(F.col("_a")))
+        size = F.nullif(geom.segment_length(), F.lit(0.0))
+        ux, uy = dx * F.col("_w") / size, dy * F.col("_w") / size
+        x1, y1, x2, y2 = F.col("x1") - F.col("_sx") * square, F.col("y1") - F.col("_sy") * square, F.col("x2") - F.col("_sx") * square, F.col("y2") - F.col("_sy") * square
+        one, two = x1 * ux + y1 * uy, x2 * ux + y2 * uy
+        frame = frame.select(
+            *on, F.col(key).alias(name), "_sx", "_sy", "_a", F.least(one, two).alias("f" + name), F.greatest(one, two).alias("t" + name), ((x1 + x2) / 2 * uy - (y1 + y2) / 2 * ux).alias("o" + name),
+            ux.alias("u" + name), uy.alias("v" + name))
+        frame = frame.withColumn("_o", F.floor(F.col("o" + name) / (2 * gap))).withColumn("_t", F.explode(geom.cell_range(F.col("f" + name), F.col("t" + name), tile)))
+        return frame.withColumn("_i", F.explode(around)).withColumn("_o", F.col("_o") + F.col("_i")).drop("_i") if wide else frame
+
+    edge = F.col("_t") * F.lit(tile)
+    common = F.least("ta", "tb", edge + tile) - F.greatest("fa", "fb", edge)
+    alike = (F.abs(F.col("oa") - F.col("ob")) <= gap) & (F.abs(F.col("ua") * F.col("vb") - F.col("va") * F.col("ub")) <= turn)
+    met = placed(rows, "a", False).join(placed(rows, "b", True), [*on, "_sx", "_sy", "_a", "_o", "_t"]).where((F.col("a") < F.col("b")) & alike).withColumn("_m", common).where("_m > 0")
+    return met.groupBy(*on, "a", "b").agg(F.sum("_m").alias("shared_m"))
+
+
+def discs_covered(discs: DataFrame, rings: DataFrame, *, key: Sequence[str] = ("site_id", "point_id"), on: Sequence[str] = ("site_id",), widest: float, cell: float = 32.0) -> DataFrame:
+    """Keys of discs (x, y, radius) that lie wholly in the union of the areas ``rings(on..., feature_id, x1, y1, x2, y2)``.
+
+    A disc is covered when its centre is and no edge inside it has open ground on a side. An edge changes sides only where
+    another edge crosses or ends on it; between those places the middle of each stretch inside the disc is asked, a hair
+    to its left and right. Only edges nearer than the radius are asked, so a disc deep inside an area costs one test.
+    """
+    on, key = list(on), list(key)
+    hair, tiny = 1e-6, 1e-9
+    edges = rings.where(finite("x1", "y1", "x2", "y2")).select(*on, "x1", "y1", "x2", "y2").distinct().where(geom.segment_length() > 0)
+    edges = edges.withColumn("_edge", F.xxhash64(*on, "x1", "y1", "x2", "y2"))
+    centre = contained(discs.select(*key, "x", "y"), rings, point_key=[k for k in key if k not in on], area_key=("feature_id",), on=on).select(*key).distinct()
+    inner = discs.where(finite("x", "y", "radius")).join(centre, key, "left_semi")
+    near = near_segments(inner.select(*key, "x", "y", "radius"), edges, widest, on=on, cell=max(cell, widest), spread=tuple(key)).where(F.col("distance") < F.col("radius"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    size = F.nullif(geom.segment_length(), F.lit(0.0))
+    ux, uy = dx / size, dy / size
+    middle = (F.col("x") - F.col("x1")) * ux + (F.col("y") - F.col("y1")) * uy
+    off = (F.col("x") - F.col("x1")) * uy - (F.col("y") - F.col("y1")) * ux
+    half = F.sqrt(F.greatest(F.lit(0.0), F.col("radius") * F.col("radius") - off * off))
+    spans = near.withColumns({"_from": F.greatest(F.lit(0.0), middle - half), "_to": F.least(geom.segment_length(), middle + half)}).where(F.col("_to") - F.col("_from") > 2 * hair)
+    spans = cut(spans.select(*key, "_edge", "x1", "y1", "_from", "_to", ux.alias("_ux"), uy.alias("_uy")), "spans")
+    asked = edges.join(spans.select("_edge").distinct(), "_edge", "left_semi")
+    # Places on an edge where another one crosses or ends.
+    lhs = with_cells(asked, cell, F.lit(tiny))
+    rhs = with_cells(edges.select(*on, F.col("x1").alias("cx1"), F.col("y1").alias("cy1"), F.col("x2").alias("cx2"), F.col("y2").alias("cy2"), F.col("_edge").alias("_other")), cell, F.lit(tiny), ("cx1", "cy1", "cx2", "cy2"))
+    ex, ey = F.col("cx2") - F.col("cx1"), F.col("cy2") - F.col("cy1")
+    turn = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+    ox, oy = F.col("cx1") - F.col("x1"), F.col("cy1") - F.col("y1")
+    at = F.when(((ox * dy - oy * dx) / turn).between(-tiny, 1 + tiny), (ox * ey - oy * ex) / turn)
+    ends = [
+        F.when(F.abs(((F.col(x) - F.col("x1")) * dy - (F.col(y) - F.col("y1")) * dx) / size) <= hair, ((F.col(x) - F.col("x1")) * dx + (F.col(y) - F.col("y1")) * dy) / size / size)
+        for x, y in (("cx1", "cy1"), ("cx2", "cy2"))]
+    met = lhs.join(rhs, [*on, "_cx", "_cy"]).where("_edge <> _other").select("_edge", size.alias("_size"), F.explode(F.array(at, *ends)).alias("_part"))
+    breaks = met.where("_part is not null").select("_edge", (F.col("_size") * F.col("_part")).alias("_at")).distinct()
+    inside = spans.join(breaks, "_edge").where((F.col("_at") > F.col("_from")) & (F.col("_at") < F.col("_to"))).groupBy(*key, "_edge").agg(F.collect_set("_at").alias("_cuts"))  # crossings within one disc
+    marks = F.array_sort(F.concat(F.array("_from", "_to"), F.coalesce("_cuts", F.array().cast("array<double>"))))
+    pieces = F.arrays_zip(F.slice("_marks", F.lit(1), F.size("_marks") - 1).alias("p"), F.slice("_marks", F.lit(2), F.size("_marks") - 1).alias("q"))
+    stretches = spans.join(inside, [*key, "_edge"], "left").withColumn("_marks", marks).withColumn("_z", F.explode(pieces)).where(F.col("_z.q") - F.col("_z.p") > 2 * hair)
+    along = (F.col("_z.p") + F.col("_z.q")) / 2
+    sides = stretches.withColumn("_side", F.explode(F.array(F.lit(hair), F.lit(-hair)))).select(
+        *key, (F.col("x1") + F.col("_ux") * along - F.col("_uy") * F.col("_side")).alias("x"), (F.col("y1") + F.col("_uy") * along + F.col("_ux") * F.col("_side")).alias("y"))
+    probes = cut(sides.withColumn("_probe", F.xxhash64("x", "y")), "probes")
+    held = contained(probes.select(*on, "_probe", "x", "y").distinct(), rings, point_key=("_probe",), area_key=("feature_id",), on=on).select(*on, "_probe").distinct()
+    open_ = probes.join(held, [*on, "_probe"], "left_anti").select(*key).distinct()
+    return inner.select(*key).distinct().join(open_, key, "left_anti")
 
 
 def foot(px="x", py="y", x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[Column, Column]:

@@ -116,6 +116,14 @@ FIXTURES: dict[str, str] = {
         case s_suppkey%6 when 0 then 'territory.street' when 1 then 'territory.yard' when 2 then 'territory.square' when 3 then 'territory.park' when 4 then 'territory.protected_green' else 'territory.natural' end as object_class from supplier""",
     "zone_edges": """select site_id, feature_id, object_class, x as x1, y as y1, x+w as x2, y as y2 from {zones} union all select site_id, feature_id, object_class, x+w, y, x+w, y+d from {zones}
         union all select site_id, feature_id, object_class, x+w, y+d, x, y+d from {zones} union all select site_id, feature_id, object_class, x, y+d, x, y from {zones}""",
+    # the outline of a zone as a draughtsman leaves it: four strokes in any direction, the last one short of the start
+    "boundary_strokes": """select feature_id*4+k as piece_id, site_id, feature_id, cast(feature_id%5 as double)/10 as error_m,
+        case when (feature_id+k)%2=0 then ax else ex end as x1, case when (feature_id+k)%2=0 then ay else ey end as y1, case when (feature_id+k)%2=0 then ex else ax end as x2, case when (feature_id+k)%2=0 then ey else ay end as y2
+        from (select feature_id, site_id, 0 as k, x as ax, y as ay, round(x+w,3) as ex, y as ey from {zones} union all select feature_id, site_id, 1, round(x+w,3), y, round(x+w,3), round(y+d,3) from {zones}
+        union all select feature_id, site_id, 2, round(x+w,3), round(y+d,3), x, round(y+d,3) from {zones} union all select feature_id, site_id, 3, x, round(y+d,3), x, round(y+cast(feature_id%8 as double)*0.4,3) from {zones}) q""",
+    # parts of terraced houses, five in a row wall to wall, as deep as their number says
+    "house_parts": """select c_custkey as face, c_custkey%5 as site_id, cast(1000*(c_custkey%5)+24*(cast(floor(c_custkey/5) as bigint)%40)+2*(cast(floor(cast(floor(c_custkey/5) as bigint)%40/5) as bigint)) as double) as x,
+        cast(30*cast(floor(c_custkey/200) as bigint) as double) as y, cast(24 as double) as w, cast(10+c_custkey%11 as double) as d from customer""",
     "edits": """select user_id%7 as run_id, event_id as seq, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as target, ts, case event_type when 'click' then 'move' when 'purchase' then 'add' when 'error' then 'delete' else null end as kind,
         event_type, value, user_id, props from events""",
 }

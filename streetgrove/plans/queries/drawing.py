@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from streetgrove.functions import geom
 from streetgrove.operators import drawing as D
-from streetgrove.operators import graph, spatial
+from streetgrove.operators import chains, graph, scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans.queries.effect import CURB_PIECES
 from streetgrove.plans.queries.quality import split_curb
 from streetgrove.plans.registry import Tables, query
+from streetgrove.session import cut
 
 
 def matched(order: str, source: str, share: str) -> str:
@@ -33,14 +34,22 @@ pr as (select * from pr0 where d>1e-6 and d<={gap} and a_end not in (select e fr
 
 
 @query(
-    "line_gap_bridge", uses=("segments",), recursive=True, extra=ENDS.replace("{cond}", "is_area=0").replace("{gap}", "4.0e0") + ",\n" + matched("d, a_end, b_end", "pr", SHARE),
-    sql="select site_id, a_end, b_end, round(d,3) as gap_m from seqd join chosen using(pos)",
+    "line_gap_bridge", uses=("segments",), recursive=True, extra=ENDS.replace("{cond}", "is_area=0").replace("{gap}", "4.0e0") + ",\n" + matched("d, a_end, b_end", "pr", SHARE) + """,
+br as (select site_id, a_end, b_end, d from seqd join chosen using(pos)),
+fr as (select * from ends where e not in (select a_end from br) and e not in (select b_end from br) and e not in (select e from tch) and dx is not null),
+hit as (select f.e, f.site_id, s.feature_id as other, ((s.x1-f.x)*(s.y2-s.y1)-(s.y1-f.y)*(s.x2-s.x1))/nullif(f.dx*(s.y2-s.y1)-f.dy*(s.x2-s.x1),0) as m, ((s.x1-f.x)*f.dy-(s.y1-f.y)*f.dx)/nullif(f.dx*(s.y2-s.y1)-f.dy*(s.x2-s.x1),0) as u
+   from fr f join segments s on s.site_id=f.site_id and s.feature_id<>f.feature_id and greatest(s.x1,s.x2)>=f.x-4 and least(s.x1,s.x2)<=f.x+4 and greatest(s.y1,s.y2)>=f.y-4 and least(s.y1,s.y2)<=f.y+4),
+ext as (select site_id, e, min(row(m, other)) as h from hit where m>1e-6 and m<=4.0e0 and u between 0 and 1 group by all)""",
+    sql="""select site_id, a_end, b_end, cast(null as bigint) as hit, round(d,3) as gap_m from br
+      union all select site_id, e, null, h[2], round(h[1],3) from ext""",
 )
 def line_gap_bridge(t):
-    """Free ends of different lines joined, nearest pairs first, each end once."""
-    pairs = D.gap_pairs(t.segments.where("is_area = 0"), 4.0)
-    kept = D.match_ends(pairs, ("distance", "a_end_id", "b_end_id"))
-    return kept.select("site_id", F.col("a_end_id").alias("a_end"), F.col("b_end_id").alias("b_end"), F.round("distance", 3).alias("gap_m"))
+    """Free ends of different lines joined, nearest pairs first, each end once; an end that still hangs runs on to the first line it meets."""
+    lines, gap = t.segments.where("is_area = 0"), 4.0
+    kept = cut(D.match_ends(D.gap_pairs(lines, gap), ("distance", "a_end_id", "b_end_id")), "bridges")
+    bridges = kept.select("site_id", F.col("a_end_id").alias("a_end"), F.col("b_end_id").alias("b_end"), F.lit(None).cast("long").alias("hit"), F.round("distance", 3).alias("gap_m"))
+    runs = D.extensions(lines, t.segments, kept, gap)
+    return bridges.unionByName(runs.select("site_id", F.col("end_id").alias("a_end"), F.lit(None).cast("long").alias("b_end"), "hit", F.round("along_m", 3).alias("gap_m")))
 
 
 STRAIGHT = "(adx*(bx-ax)+ady*(by_-ay))/d>=0.5e0 and -(bdx*(bx-ax)+bdy*(by_-ay))/d>=0.5e0 and -(adx*bdx+ady*bdy)>=0.5e0"
@@ -166,10 +175,10 @@ def school_mark(t):
 def gis_alignment(t):
     """Median distance between the centres of layer buildings and their nearest drawing buildings; a street without a pair warns."""
     centre = lambda df: df.select("site_id", F.col("feature_id").alias("point_id"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("d") / 2).alias("y"))
-    near = spatial.nearest_segment(centre(t.zones), spatial.as_segments(centre(t.rects)), (150.0,), payload=()).withColumnRenamed("distance", "d")
-    median = F.percentile("d", F.lit(0.5))
-    return t.sites.select("site_id").join(near, "site_id", "left").groupBy("site_id").agg(
-        F.count("d").alias("paired"), F.round(median, 3).alias("median_m"), F.coalesce(median > 3, F.lit(True)).alias("warn"))
+    near = spatial.nearest_segment(centre(t.zones), spatial.as_segments(centre(t.rects)), (150.0,), payload=())
+    middle = scan.order_statistics(near, "distance", (0.5,), by=("site_id",))
+    rows = t.sites.select("site_id").join(middle, "site_id", "left")
+    return rows.select("site_id", F.coalesce("n", F.lit(0)).alias("paired"), F.round("q0", 3).alias("median_m"), F.coalesce(F.col("q0") > 3, F.lit(True)).alias("warn"))
 
 
 CONFLICT = f"""tr as (select site_id, round(x,2) as x, round(y,2) as y, min(stem_id) as id, count(*) as marks from stems group by all),
@@ -192,9 +201,9 @@ def source_conflicts(t):
 def work_area_infer(t):
     """Hull of the known objects of a site without far outliers, with its area."""
     centres = t.features.select("site_id", "x", "y")
-    middle = centres.groupBy("site_id").agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
-    away = centres.join(middle, "site_id").withColumn("away", geom.point_distance("x", "y", "mx", "my"))
-    fence = away.groupBy("site_id").agg(F.greatest(3 * F.percentile("away", F.lit(0.5)), F.lit(500.0)).alias("fence"))
+    median = lambda frame, column, name: scan.order_statistics(frame, column, (0.5,), by=("site_id",)).select("site_id", F.col("q0").alias(name))
+    away = centres.join(median(centres, "x", "mx"), "site_id").join(median(centres, "y", "my"), "site_id").withColumn("away", geom.point_distance("x", "y", "mx", "my"))
+    fence = median(away, "away", "mid").select("site_id", F.greatest(3 * F.col("mid"), F.lit(500.0)).alias("fence"))
     core = away.join(fence, "site_id").where(F.col("away") <= F.col("fence"))
     hull = D.convex_hulls(core)
     after = hull.select("site_id", (F.col("n") - 1).alias("n"), F.col("x").alias("nx"), F.col("y").alias("ny"))
@@ -291,14 +300,18 @@ def open_rings(t: Tables):
 
 
 @query(
-    "work_boundary_build", uses=("zones",), extra=BOUND,
-    sql="select feature_id, round(gap,3) as gap_m, gap=0 or (gap>0 and gap<=least(5.0e0, 0.01e0*length)) as closed, case when gap=0 or (gap>0 and gap<=least(5.0e0, 0.01e0*length)) then round(w*d,2) end as area_m2 from bd",
+    "work_boundary_build", uses=("zones",), extra=BOUND.replace("w, d,", "w, d, cast(feature_id%5 as double)/10 as e,"),
+    sql="""select site_id, feature_id*4 as line, 4::bigint as pieces, round(gap,3) as gap_m, gap=0 or gap<=least(5.0e0, 0.01e0*length) as closed, round(length,3) as length_m,
+      case when gap=0 or gap<=least(5.0e0, 0.01e0*length) then round(greatest(w-2*e,0.0e0)*greatest(d-2*e,0.0e0),2) end as area_m2 from bd""",
 )
 def work_boundary_build(t):
-    """Boundary lines closed by a chord when the gap is at most 5 m and one per cent of the length."""
-    rows = open_rings(t)
-    closed = (F.col("gap") == 0) | D.bridgeable(F.col("gap"), F.col("length"))
-    return rows.select("feature_id", F.round("gap", 3).alias("gap_m"), closed.alias("closed"), F.when(closed, F.round(F.col("w") * F.col("d"), 2)).alias("area_m2"))
+    """Strokes put together to boundary lines; a ring, or a line with a gap of at most 5 m and one per cent of it, encloses an
+    area, shrunk by the error of its strokes."""
+    strokes = t.boundary_strokes
+    lines = cut(chains.lines_of_pieces(strokes), "boundary")
+    errors = lines.join(strokes.select("piece_id", "error_m"), "piece_id").groupBy("line").agg(F.max("error_m").alias("error_m"))
+    areas = chains.closed_areas(lines, errors, D.bridgeable)
+    return areas.select("site_id", "line", "pieces", F.round("gap_m", 3).alias("gap_m"), "closed", F.round("length_m", 3).alias("length_m"), F.round("area_m2", 2).alias("area_m2"))
 
 
 @query(

@@ -394,14 +394,14 @@ sr as (select label_id, face, case when ok and try_cast(regexp_extract(pl,'^(С
 fc as (select face, max(floors) as floors, arg_min(wall, label_id) filter (wall is not null) as wall, case when bool_or(use='residential') then 'residential' else min(use) end as use, bool_or(porch) as porch, bool_or(container) as container, bool_or(ground) as ground from sr group by all)"""
 
 
-def signs_by_face(t: Tables):
+def signs_by_face(t: Tables, face: str = "p_partkey % 97"):
     k = F.col("p_partkey") % 9
     size = F.col("p_size").cast("string")
     text = (
         F.when(k == 0, F.concat(F.lit("К-"), size)).when(k == 1, size).when(k == 2, F.concat(F.lit("КЖ"), size)).when(k == 3, "Ж").when(k == 4, "Ц").when(k == 5, "М.Я.")
         .when(k == 6, "фунд.").when(k == 7, "CM – H 2").otherwise(F.col("p_name"))
     )
-    signs = t.part.select(F.col("p_partkey").alias("label_id"), (F.col("p_partkey") % 97).alias("face"), N.building_sign(text).alias("s")).select("label_id", "face", "s.*")
+    signs = t.part.select(F.col("p_partkey").alias("label_id"), F.expr(face).alias("face"), N.building_sign(text).alias("s")).select("label_id", "face", "s.*")
     return signs.groupBy("face").agg(
         F.max("floors").alias("floors"), F.min(F.when(F.col("wall").isNotNull(), F.struct("label_id", "wall")))["wall"].alias("wall"),
         F.when(F.max(F.coalesce(F.col("use") == "residential", F.lit(False))), "residential").otherwise(F.min("use")).alias("use"),
@@ -415,25 +415,23 @@ def building_label_parse(t):
 
 
 @query(
-    "building_height", extra=SIGN,
-    sql="""with f as (select face, floors, wall, use, porch, container, ground, lag(floors) over (order by face) as nb, 40.0e0+face*20.0e0 as area from fc),
-      k as (select *, case when floors is not null then null when container then 'container' when porch then 'porch' end as low from f),
-      h as (select face, case when floors is not null then floors when low is not null then null when nb is not null and face%2=0 then nb when wall is not null or use is not null then case when use='residential' then 5 else 1 end when area<150 then 1 when area<600 then 2 else 5 end as floors, low,
-        case when floors is not null then 'label' when low is not null then 'letter' when nb is not null and face%2=0 then 'neighbor' when wall is not null or use is not null then 'letter' else 'assumed' end as source from k)
-      select face, floors, source, case when floors=1 then 4.0e0 when floors is not null then round(3.0e0*floors+1.2e0,2) when low='porch' then 0.45e0 else 1.5e0 end as height_m from h""",
+    "building_height", uses=("house_parts",), extra=SIGN.replace("p_partkey%97", "cast(floor(p_partkey*7/10) as bigint)"),
+    sql="""with e as (select h.*, f.floors, f.wall, f.use, f.porch, f.container, w*d as area from house_parts h left join fc f using(face)),
+      sw as (select a.face, b.face as other, b.floors, least(a.y+a.d,b.y+b.d)-greatest(a.y,b.y) as shared from e a join e b on a.site_id=b.site_id and a.face<>b.face and (a.x+a.w=b.x or b.x+b.w=a.x) where b.floors is not null and least(a.y+a.d,b.y+b.d)-greatest(a.y,b.y)>=2
+        union all select a.face, b.face, b.floors, least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x) from e a join e b on a.site_id=b.site_id and a.face<>b.face and (a.y+a.d=b.y or b.y+b.d=a.y) where b.floors is not null and least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x)>=2),
+      nb as (select face, max(row(shared, -other, floors)) as m from sw group by face),
+      k as (select e.*, m[3] as nb, case when floors is not null then null when container then 'container' when porch then 'porch' end as low from e left join nb using(face)),
+      h as (select site_id, face, case when floors is not null then floors when low is not null then null when nb is not null then nb when wall is not null or use is not null then case when use='residential' then 5 else 1 end when area<150 then 1 when area<600 then 2 else 5 end as floors, low,
+        case when floors is not null then 'label' when low is not null then 'letter' when nb is not null then 'neighbor' when wall is not null or use is not null then 'letter' else 'assumed' end as source from k)
+      select site_id, face, floors, source, case when floors=1 then 4.0e0 when floors is not null then round(3.0e0*floors+1.2e0,2) when low='porch' then 0.45e0 else 1.5e0 end as height_m from h""",
 )
 def building_height(t):
-    """Height by the first basis that speaks: label, letter of a low part, neighbour, letter, area."""
-    faces = signs_by_face(t)
-    # Neighbouring faces of the fixture share a wall with the face before them; even ones long enough.
-    donors = faces.select((F.col("face") + 1).alias("face"), F.col("floors").alias("nb"))
-    rows = faces.join(donors, "face", "left").withColumn("area", 40.0 + F.col("face") * 20.0)
-    low = F.when(F.col("floors").isNotNull(), F.lit(None)).when(F.col("container"), "container").when(F.col("porch"), "porch")
-    inherited = F.col("nb").isNotNull() & (F.col("face") % 2 == 0)
-    lettered = F.col("wall").isNotNull() | F.col("use").isNotNull()
-    rows = rows.withColumn("low", low).withColumn("by_letter", F.when(F.col("use") == "residential", N.RESIDENTIAL_FLOORS).otherwise(N.LETTER_FLOORS))
-    source = F.when(F.col("floors").isNotNull(), "label").when(F.col("low").isNotNull(), "letter").when(inherited, "neighbor").when(lettered, "letter").otherwise("assumed")
-    floors = F.when(F.col("floors").isNotNull(), F.col("floors")).when(F.col("low").isNotNull(), F.lit(None)).when(inherited, F.col("nb")).when(lettered, F.col("by_letter")).otherwise(N.floors_by_area(F.col("area")))
-    out = rows.select("face", floors.alias("floors"), source.alias("source"), "low")
-    height = F.when(F.col("floors").isNotNull(), N.storey_height(F.col("floors"))).when(F.col("low") == "porch", N.PORCH_M).otherwise(N.CONTAINER_M)
-    return out.select("face", "floors", "source", height.alias("height_m"))
+    """Height by the first basis that speaks: label, letter of a low part, the neighbour along the longest shared wall, letter, area."""
+    parts = t.house_parts
+    signs = signs_by_face(t, "floor(p_partkey * 7 / 10)")
+    corner = {"x0": F.col("x"), "y0": F.col("y"), "xw": F.col("x") + F.col("w"), "yd": F.col("y") + F.col("d")}
+    wall = lambda x1, y1, x2, y2: F.struct(corner[x1].alias("x1"), corner[y1].alias("y1"), corner[x2].alias("x2"), corner[y2].alias("y2"))
+    walls = F.array(wall("x0", "y0", "xw", "y0"), wall("xw", "y0", "xw", "yd"), wall("xw", "yd", "x0", "yd"), wall("x0", "yd", "x0", "y0"))
+    edges = parts.withColumn("e", F.explode(walls)).select("site_id", "face", "e.*")
+    rows = parts.join(signs, "face", "left").withColumn("area", F.col("w") * F.col("d"))
+    return N.heights(rows, spatial.shared_walls(edges)).select("site_id", "face", "floors", "source", "height_m")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streetgrove.functions import geom
 from streetgrove.operators import quality as Q
 from streetgrove.operators import rules as R
-from streetgrove.operators import scan, spatial
+from streetgrove.operators import chains, scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
 from streetgrove.plans.registry import Tables, query
@@ -44,20 +44,34 @@ def plan_targets(t):
     return goals(t).select("site_id", "length_m", F.round("t_trees", 3).alias("t_trees"), F.round("t_shrubs", 3).alias("t_shrubs"))
 
 
+AXIS = """c0 as (select distinct site_id, feature_id, x1, y1, x2, y2, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as len from segments where object_class='curb'),
+pcs as (select site_id, (x1+(x2-x1)*(cast(k as double)/n)+x1+(x2-x1)*(cast(k+1 as double)/n))/2 as x, (y1+(y2-y1)*(cast(k as double)/n)+y1+(y2-y1)*(cast(k+1 as double)/n))/2 as y
+  from (select *, unnest(range(0,n)) as k from (select *, cast(ceil(len/5.0e0) as bigint) as n from c0 where len>0))),
+nd as (select site_id, cast(floor(y/25.0e0) as bigint) as r, cast(floor(x/25.0e0) as bigint) as c, sum(x)/count(*) as x, sum(y)/count(*) as y from pcs group by all),
+nb as (select a.site_id, row(a.r, a.c) as a, row(b.r, b.c) as b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as step from nd a join nd b on a.site_id=b.site_id and abs(a.r-b.r)<=1 and abs(a.c-b.c)<=1 and (a.r<>b.r or a.c<>b.c)),
+lb as (select 0 as n, site_id, row(r, c) as a, row(r, c) as root, true as moved from nd
+  union all select lb.n+1, lb.site_id, lb.a, least(lb.root, coalesce(m.root, lb.root)), coalesce(m.root<lb.root, false)
+    from lb left join (select nb.site_id, nb.a, min(l2.root) as root from nb join lb l2 on l2.site_id=nb.site_id and l2.a=nb.b group by all) m on m.site_id=lb.site_id and m.a=lb.a where exists (select 1 from lb l3 where l3.moved)),
+part as (select site_id, a, root from lb where n=(select max(n) from lb)),
+bf as (select 0 as n, site_id, a, root, case when a=root then 0 end as d from part
+  union all select bf.n+1, bf.site_id, bf.a, bf.root, case when bf.d is not null then bf.d when m.near is not null then bf.n+1 end
+    from bf left join (select nb.site_id, nb.a, min(b2.d) as near from nb join bf b2 on b2.site_id=nb.site_id and b2.a=nb.b and b2.d is not null group by all) m on m.site_id=bf.site_id and m.a=bf.a where exists (select 1 from bf b3 where b3.d is null)),
+lev as (select site_id, a, root, d from bf where n=(select max(n) from bf)),
+par as (select l.site_id, l.root, l.a, min(row(k.a, nb.step)) as p from lev l join nb on nb.site_id=l.site_id and nb.a=l.a join lev k on k.site_id=l.site_id and k.a=nb.b and k.d=l.d-1 group by all),
+und as (select site_id, root, a, p[1] as b, p[2] as step from par union all select site_id, root, p[1], a, p[2] from par),
+s1 as (select site_id, root, root as a, cast(null as struct(r bigint, c bigint)) as came, 0.0e0 as way from lev where a=root union all select s1.site_id, s1.root, u.b, s1.a, s1.way+u.step from s1 join und u on u.site_id=s1.site_id and u.a=s1.a and (s1.came is null or u.b<>s1.came)),
+fa as (select site_id, root, arg_min(a, row(-way, a)) as a from s1 group by all),
+s2 as (select site_id, root, a, cast(null as struct(r bigint, c bigint)) as came, 0.0e0 as way from fa union all select s2.site_id, s2.root, u.b, s2.a, s2.way+u.step from s2 join und u on u.site_id=s2.site_id and u.a=s2.a and (s2.came is null or u.b<>s2.came))"""
+
+
 @query(
-    "street_length", uses=("segments",),
-    sql="""with m as (select site_id, (x1+x2)/2 as x, (y1+y2)/2 as y from segments where object_class='curb'),
-       f as (select site_id, avg(x) as mx, avg(y) as my, 0.5e0*atan2(2*covar_pop(x,y), covar_pop(x,x)-covar_pop(y,y)) as a from m group by all)
-       select site_id, round(max((x-mx)*cos(a)+(y-my)*sin(a))-min((x-mx)*cos(a)+(y-my)*sin(a)),2) as length_m from m join f using(site_id) group by all""",
+    "street_length", uses=("segments",), recursive=True, extra=AXIS,
+    sql="select site_id, 25.0e0 as cell_m, round(sum(m),2) as length_m from (select site_id, root, max(way) as m from s2 group by all) group by site_id",
 )
 def street_length(t):
-    """Extent of the kerb line along the principal axis of the street."""
-    mid = t.segments.where(F.col("object_class") == "curb").select("site_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    frame = mid.groupBy("site_id").agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), (0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.covar_pop("x", "x") - F.covar_pop("y", "y"))).alias("a")
-    )
-    along = (F.col("x") - F.col("mx")) * F.cos("a") + (F.col("y") - F.col("my")) * F.sin("a")
-    return mid.join(frame, "site_id").groupBy("site_id").agg(F.round(F.max(along) - F.min(along), 2).alias("length_m"))
+    """Length of the axis of the kerbs: the longest way in a tree over their cells, so a bend counts."""
+    middles = split_curb(t, 5.0).select("site_id", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    return chains.axis_lengths(middles).select("site_id", "cell_m", F.round("length_m", 2).alias("length_m"))
 
 
 def term(name: str, frame):

@@ -173,23 +173,28 @@ def fits_soil(t):
     return points.select("site_id", "point_id", F.coalesce(lower >= radius, F.lit(False)).alias("fits"))
 
 
-CONFIRMED = f"""cin as (select p.site_id, p.point_id, z.feature_id from points p join zone_edges z on z.site_id=p.site_id and z.object_class in ('territory.square','territory.park') where ((z.y1>p.y)<>(z.y2>p.y)) and p.x < z.x1+(p.y-z.y1)/(z.y2-z.y1)*(z.x2-z.x1) group by all having count(*)%2=1),
-ced as (select c.site_id, c.point_id, c.feature_id, min({S.seg_dist(s='s')}) as edge from cin c join points p using(point_id) join zone_edges s on s.feature_id=c.feature_id group by all)"""
+CONFIRMED = """dc as (select point_id, site_id, x as px, y as py, case when planting_type='tree' then 1.24e0 else 0.5e0 end as rad from points),
+so as (select distinct site_id, x as ax, y as ay, x+w as bx, y+d as by_ from zones where object_class in ('territory.square','territory.park')),
+nr as (select dc.*, so.ax, so.ay, so.bx, so.by_ from dc join so on so.site_id=dc.site_id and ax<px+rad and bx>px-rad and ay<py+rad and by_>py-rad),
+gx as (select point_id, px-rad as v from dc union select point_id, px+rad from dc union select point_id, ax from nr where ax>px-rad union select point_id, bx from nr where bx<px+rad),
+gy as (select point_id, py-rad as v from dc union select point_id, py+rad from dc union select point_id, ay from nr where ay>py-rad union select point_id, by_ from nr where by_<py+rad),
+ix as (select point_id, v as x0, lead(v) over (partition by point_id order by v) as x1 from gx), iy as (select point_id, v as y0, lead(v) over (partition by point_id order by v) as y1 from gy),
+bx_ as (select dc.point_id, dc.px, dc.py, dc.rad, x0, x1, y0, y1 from dc join ix on ix.point_id=dc.point_id and x1 is not null join iy on iy.point_id=dc.point_id and y1 is not null where dc.point_id in (select point_id from nr)
+   and power(greatest(x0-px, px-x1, 0.0e0),2)+power(greatest(y0-py, py-y1, 0.0e0),2) < rad*rad),
+opn as (select distinct b.point_id from bx_ b where not exists (select 1 from nr where nr.point_id=b.point_id and (b.x0+b.x1)/2 between nr.ax and nr.bx and (b.y0+b.y1)/2 between nr.ay and nr.by_)),
+fit as (select distinct point_id from nr where point_id not in (select point_id from opn))"""
 
 
 @query(
-    "fits_confirmed_soil", uses=("points", "zone_edges"), extra=CONFIRMED,
-    sql="""with f as (select distinct site_id, point_id from ced join points p using(site_id, point_id) where edge >= case when planting_type='tree' then 1.24e0 else 0.5e0 end)
-       select p.site_id, count(*) as points, count(f.point_id) as confirmed, count(*)-count(f.point_id) as inferred from points p left join f using(site_id, point_id) group by all""",
+    "fits_confirmed_soil", uses=("points", "zones"), extra=CONFIRMED,
+    sql="select p.site_id, count(*) as points, count(f.point_id) as confirmed, count(*)-count(f.point_id) as inferred from points p left join fit f using(point_id) group by all",
 )
 def fits_confirmed_soil(t):
-    """Pits wholly inside drawn soil areas, against those that rest on inference."""
-    points = t.points.select("site_id", "point_id", "x", "y", F.when(F.col("planting_type") == "tree", 1.24).otherwise(0.5).alias("radius"))
+    """Pits wholly inside drawn soil, areas that touch or overlap taken together, against those that rest on inference."""
+    discs = t.points.select("site_id", "point_id", "x", "y", F.when(F.col("planting_type") == "tree", 1.24).otherwise(0.5).alias("radius"))
     soil = t.zone_edges.where(F.col("object_class").isin("territory.square", "territory.park"))
-    inside = spatial.contained(points.select("site_id", "point_id", "x", "y"), soil, point_key=("point_id",), area_key=("feature_id",))
-    near = spatial.near_segments(points, soil.select("site_id", "feature_id", "x1", "y1", "x2", "y2"), 1.24, cell=32.0).where(F.col("distance") < F.col("radius")).select("site_id", "point_id", "feature_id").distinct()
-    fit = inside.join(near, ["site_id", "point_id", "feature_id"], "left_anti").select("site_id", "point_id").distinct().withColumn("ok", F.lit(1))
-    return points.join(fit, ["site_id", "point_id"], "left").groupBy("site_id").agg(
+    fit = spatial.discs_covered(discs, soil, widest=1.24).withColumn("ok", F.lit(1))
+    return discs.join(fit, ["site_id", "point_id"], "left").groupBy("site_id").agg(
         F.count(F.lit(1)).alias("points"), F.count("ok").alias("confirmed"), (F.count(F.lit(1)) - F.count("ok")).alias("inferred"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streetgrove.operators import scan
+
 # Fixed values.
 ASSUMED_ERROR_M = 0.5
 LONLAT_SPAN = 1.0
@@ -55,8 +57,9 @@ def unit_scale(files: DataFrame) -> DataFrame:
 
     ``files(file, header_m, x, y, text_h)``: anchors of the model, one row each.
     """
-    stats = files.groupBy("file", "header_m").agg(
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("size"), F.percentile("text_h", F.lit(0.5)).alias("text"), F.count(F.lit(1)).alias("anchors"))
+    stats = files.groupBy("file", "header_m").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("size"), F.count(F.lit(1)).alias("anchors"))
+    heights = scan.order_statistics(files, "text_h", (0.5,), by=("file",)).select("file", F.col("q0").alias("text"))
+    stats = stats.join(heights, "file", "left")
     size, text, header = F.col("size"), F.col("text"), F.col("header_m")
     enough = F.col("anchors") >= MIN_ANCHORS
     small_text, big_text = text.isNull() | (text < METRE_TEXT), text.isNull() | (text >= METRE_TEXT)
