@@ -66,29 +66,32 @@ def review_needed(*names: Column) -> Column:
     return found
 
 
-def rule_decision(rules: Sequence[tuple[str, str, str, str, int]], layer: str = "layer", block: str = "block", kind: str = "kind") -> tuple[Column, Column]:
-    """(class, method) from ordered name rules (pattern, target, geometry, class, priority).
+def rule_decisions(names: DataFrame, rules: Sequence[tuple[str, str, str, str, int]], *, layer: str = "layer", block: str = "block", kind: str = "kind") -> DataFrame:
+    """(layer, block, kind, object_class, method) of distinct names from name rules (pattern, target, geometry, class, priority).
 
     Block matches beat layer matches, then the highest priority; disagreement at that priority
     leaves the object unknown, and a lawn under work wording needs a review. The rules are
-    configuration, so they become one expression and no join.
+    configuration: a name becomes a row for each rule that it meets, and the few rows of a name are judged together.
     """
-    hits = []
+    key = [layer, block, kind]
+    base = names.select(*key).distinct().withColumns({"_layer": local_name(F.col(layer)), "_block": local_name(F.col(block))})
+    base = cut(base.withColumn("_review", review_needed(F.col(layer), F.col(block))), "names")
+    met = []
     for pattern, target, geometry, cls, priority in rules:
-        value = local_name(F.col(block if target == "block" else layer))
-        test = F.coalesce(value.rlike(pattern), F.lit(False))
+        test = F.coalesce(F.col("_block" if target == "block" else "_layer").rlike(pattern), F.lit(False))
         if geometry != "any":
             test = test & (F.col(kind) == geometry)
-        hits.append(F.when(test, F.struct(F.lit(target == "block").alias("block"), F.lit(priority).alias("priority"), F.lit(cls).alias("cls"))))
-    found = F.array_compact(F.array(*hits))
-    blocks = F.filter(found, lambda h: h["block"])
-    chosen = F.when(F.size(blocks) > 0, blocks).otherwise(found)
-    top = F.array_max(F.transform(chosen, lambda h: h["priority"]))
-    kinds = F.array_distinct(F.transform(F.filter(chosen, lambda h: h["priority"] == top), lambda h: h["cls"]))
-    review = (F.element_at(kinds, 1) == "lawn") & review_needed(F.col(layer), F.col(block))
-    cls = F.when(F.size(found) == 0, "unknown").when(F.size(kinds) != 1, "unknown").when(review, "unknown").otherwise(kinds[0])
-    method = F.when(F.size(found) == 0, "unmatched").when(F.size(kinds) != 1, "conflict").when(review, "material_context").otherwise("name_rule")
-    return cls, method
+        met.append(F.when(test, F.struct(F.lit(target == "block").alias("_b"), F.lit(priority).alias("_p"), F.lit(cls).alias("_c"))))
+    hits = base.select(*key, F.explode(F.array_compact(F.array(*met))).alias("h")).select(*key, "h.*")
+    # Block before layer, then priority: the best rank of a name, and how many classes hold it.
+    ranked = hits.groupBy(*key, F.struct("_b", "_p").alias("_rank")).agg(F.min("_c").alias("_c"), F.max("_c").alias("_other"))
+    best = ranked.groupBy(*key).agg(F.max(F.struct("_rank", "_c", "_other")).alias("_top")).select(
+        *[F.col(c).alias("k_" + c) for c in key], F.col("_top._c").alias("_cls"), (F.col("_top._c") == F.col("_top._other")).alias("_one"))
+    rows = base.join(best, [F.col(c).eqNullSafe(F.col("k_" + c)) for c in key], "left")
+    review = F.col("_one") & (F.col("_cls") == "lawn") & F.col("_review")
+    method = F.when(F.col("_cls").isNull(), "unmatched").when(~F.col("_one"), "conflict").when(review, "material_context").otherwise("name_rule")
+    rows = rows.select(*key, "_cls", method.alias("method"))
+    return rows.select(*key, F.when(F.col("method") == "name_rule", F.col("_cls")).otherwise("unknown").alias("object_class"), "method")
 
 
 def geometry_fallback(kind: str = "kind") -> tuple[Column, Column]:
@@ -105,7 +108,7 @@ def with_overrides(features: DataFrame, overrides: DataFrame) -> DataFrame:
     out = features
     for target, column in (("feature", F.col("feature_id").cast("string")), ("block", F.lower("block")), ("layer", F.lower("layer"))):
         part = overrides.where(F.col("target") == target).select(F.lower("key").alias(f"_{target}_key"), F.col("class").alias(f"_{target}"))
-        out = out.join(F.broadcast(part), column == F.col(f"_{target}_key"), "left").drop(f"_{target}_key")  # typed in by a person
+        out = out.join(part, column == F.col(f"_{target}_key"), "left").drop(f"_{target}_key")
     cls = F.coalesce("_feature", "_block", "_layer", "object_class")
     method = F.when(F.col("_feature").isNotNull(), "explicit_feature").when(F.col("_block").isNotNull(), "explicit_block").when(
         F.col("_layer").isNotNull(), "explicit_layer").otherwise(F.col("method"))
@@ -149,6 +152,7 @@ def report(features: DataFrame) -> DataFrame:
     from streetgrove.operators import scan
 
     keys = ["layer", "block", "kind", "object_class", "method"]
+    features = cut(features.select(*keys, "error_m", "feature_id"), "features")
     groups = features.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("features"), F.when(F.count_if(F.col("error_m").isNull()) > 0, F.lit(None)).otherwise(F.max("error_m")).alias("max_error_m"))
     firsts = scan.top_k(features.select(*keys, "feature_id"), 5, by=keys, order=(F.col("feature_id"),)).groupBy(*keys).agg(F.sort_array(F.collect_list("feature_id")).alias("refs"))
@@ -319,6 +323,20 @@ def label_material(text: Column) -> Column:
     return F.when(plain.isin(*PAVED_LABELS), "paved").when(plain.isin(*SOIL_LABELS), "soil").when(paved & ~soil, "paved").when(soil & ~paved, "soil")
 
 
+BED_PHRASE, LAWN_PHRASE = r"ЦВЕТНИК|КЛУМБ", r"ГАЗОН"
+
+
+def label_is_functional(text: Column) -> Column:
+    """Does a label name a playground, a sports ground or the like?"""
+    return F.coalesce(F.upper(F.trim(text)).rlike(FUNCTIONAL_PHRASE), F.lit(False))
+
+
+def label_planting(text: Column) -> Column:
+    """lawn, bed or null: what a label of drawn soil says grows there; both words say lawn."""
+    plain = F.upper(text)
+    return F.when(plain.rlike(LAWN_PHRASE), "lawn").when(plain.rlike(BED_PHRASE), "bed")
+
+
 # Signs in building labels.
 PORCH_TEXTS = ("А", "Б", "Ц")
 CONTAINER_TEXTS = ("М.Я", "МЯ")

@@ -18,13 +18,13 @@ def split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Se
     """Salt the cells of ``left`` that hold more than ``hot_rows`` rows.
 
     The left rows of a hot cell are scattered over ``ceil(n / hot_rows)`` salts and only the
-    right rows of that very cell are repeated. The table of hot cells has at most
-    ``rows / hot_rows`` rows; its join strategy is left to adaptive execution, which knows its size.
+    right rows of that very cell are repeated. Cells are counted once; the table of hot ones has at most
+    ``rows / hot_rows`` rows, and where it is empty nothing is joined.
     """
-    hot = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = cut(counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot-cells")
+    if hot.isEmpty():
+        return left, right, list(keys)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left_salted = (
         left.join(hot, list(keys), "left")

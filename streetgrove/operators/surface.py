@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetgrove.operators import graph
+from streetgrove.operators import graph, spatial
 from streetgrove.session import Growing, cut
 
 # Fixed values.
@@ -125,3 +125,80 @@ def majority_fill(cells: DataFrame, *, minority: float = DISPLAY_MINORITY) -> Da
 def narrow_price(depth: Column) -> Column:
     """Price of a cell by its distance to linework in cells: up to eleven steps at the line."""
     return 1 + NARROW_COST * F.greatest(F.lit(0.0), 1 - depth / NARROW_CELLS)
+
+
+def placed_seeds(seeds: DataFrame, free: DataFrame, *, key: str = "label_id") -> DataFrame:
+    """``seeds(site_id, key, row, col, ...)`` moved to the nearest free cell, ties to the smallest row and column.
+
+    A label on a line speaks for the ground beside it. The search widens until a free cell is found; only on a site without
+    one a seed has no place (nulls). ``moved`` says whether it stood on a free cell.
+    """
+    at = seeds.select("site_id", key, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    ground = free.select("site_id", "row", "col", F.col("col").cast("double").alias("bx"), F.col("row").cast("double").alias("by"))
+    near = spatial.nearest_segment(at, spatial.as_segments(ground, "bx", "by"), (2.0, 8.0), key=("site_id", key), payload=("row", "col"))
+    rest = [c for c in seeds.columns if c not in ("row", "col")]
+    return seeds.select(*rest).join(near.select("site_id", key, "row", "col", (F.col("distance") > 0).alias("moved")), ["site_id", key], "left")
+
+
+def face_materials(faces: DataFrame, seeds: DataFrame, rows: Column, cols: Column) -> DataFrame:
+    """(site_id, face, cells, soil, paved, material) from the labels in a face: one material decides, two leave it unresolved.
+
+    A face that reaches the frame of its grid of ``rows`` by ``cols`` is open and decides nothing.
+    """
+    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == rows - 1) | (F.col("col") == cols - 1)
+    size = faces.groupBy("site_id", "face").agg(F.count(F.lit(1)).alias("cells"), F.max(edge).alias("open"))
+    said = faces.select(*CELL, "face").join(seeds, CELL).groupBy("site_id", "face").agg(F.count_if(F.col("kind") == "soil").alias("soil"), F.count_if(F.col("kind") == "paved").alias("paved"))
+    out = size.join(said, ["site_id", "face"], "left").fillna(0, ["soil", "paved"])
+    soil, paved = F.col("soil") > 0, F.col("paved") > 0
+    return out.withColumn("material", F.when(F.col("open"), "open").when(soil & paved, "unresolved").when(soil, "soil").when(paved, "paved").otherwise("unlabelled"))
+
+
+def functional_faces(faces: DataFrame, labels: DataFrame, cell: float) -> DataFrame:
+    """(site_id, face, area_m2, label_id, reason): faces under a functional label and smaller than the limit close as paved.
+
+    ``labels(site_id, label_id, text, row, col)``; the smallest label of a face gives the reason.
+    """
+    area = faces.groupBy("site_id", "face").agg((F.count(F.lit(1)) * F.lit(cell * cell)).alias("area_m2")).where(F.col("area_m2") < FUNCTIONAL_MAX_M2)
+    hit = faces.select(*CELL, "face").join(labels, CELL).groupBy("site_id", "face").agg(F.min(F.struct("label_id", "text")).alias("l"))
+    return area.join(hit, ["site_id", "face"]).select("site_id", "face", "area_m2", "l.label_id", F.concat(F.lit("label: "), F.col("l.text")).alias("reason"))
+
+
+def islands(materials: DataFrame, soil: DataFrame, beds: DataFrame, cell: float) -> DataFrame:
+    """(site_id, face, area_m2, paved, other, flowerbed): soil parts by what lies around them.
+
+    ``materials(cell, material)`` of all drawn cells, ``soil(cell, face)`` the parts, ``beds(cell)`` the places of bed labels. A part
+    that touches nothing but paving and holds a bed label is a flowerbed.
+    """
+    moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (0, -1), (1, 0), (-1, 0))])
+    around = soil.withColumn("m", F.explode(moves)).select("site_id", "face", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"))
+    beside = around.join(soil.select(*CELL, F.col("face").alias("_own")), CELL, "left").where("_own is null").join(materials, CELL, "left")
+    paved = F.coalesce(F.col("material") == "paved", F.lit(False))
+    border = beside.groupBy("site_id", "face").agg(F.count_if(paved).alias("paved"), F.count_if(~paved).alias("other"))
+    held = soil.join(beds.select(*CELL).distinct(), CELL).select("site_id", "face").distinct().withColumn("_bed", F.lit(True))
+    area = soil.groupBy("site_id", "face").agg((F.count(F.lit(1)) * F.lit(cell * cell)).alias("area_m2"))
+    rows = border.join(area, ["site_id", "face"]).join(held, ["site_id", "face"], "left")
+    return rows.select("site_id", "face", "area_m2", "paved", "other", ((F.col("other") == 0) & F.coalesce("_bed", F.lit(False))).alias("flowerbed"))
+
+
+def part_words(parts: DataFrame, labels: DataFrame, cell: float) -> DataFrame:
+    """(site_id, face, area_m2, kind, labels): parts with the word that most of their labels say, ties to the last in order."""
+    size = parts.groupBy("site_id", "face").agg((F.count(F.lit(1)) * F.lit(cell * cell)).alias("area_m2"))
+    votes = parts.select(*CELL, "face").join(labels, CELL).groupBy("site_id", "face", "word").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("site_id", "face").agg(F.max(F.struct("n", "word")).alias("b"))
+    return size.join(best, ["site_id", "face"], "left").select("site_id", "face", "area_m2", F.coalesce("b.word", F.lit("none")).alias("kind"), F.coalesce("b.n", F.lit(0)).alias("labels"))
+
+
+def planting_of_faces(faces: DataFrame, labels: DataFrame, cell: float) -> DataFrame:
+    """(site_id, face, area_m2, kind, by): a lawn word in a face makes a lawn, a bed word without one a bed, else the nearest label decides.
+
+    ``labels(site_id, label_id, row, col, word)``; the way to a label is measured from the middle of the face, in cells.
+    """
+    said = faces.select(*CELL, "face").join(labels, CELL).groupBy("site_id", "face").agg(F.max(F.col("word") == "lawn").alias("lawn"), F.max(F.col("word") == "bed").alias("bed"))
+    middle = faces.groupBy("site_id", "face").agg(F.avg("col").alias("x"), F.avg("row").alias("y"), (F.count(F.lit(1)) * F.lit(cell * cell)).alias("area_m2"))
+    orphans = middle.join(said, ["site_id", "face"], "left_anti")
+    at = labels.select("site_id", "label_id", "word", F.col("col").cast("double").alias("bx"), F.col("row").cast("double").alias("by"))
+    near = spatial.nearest_segment(orphans, spatial.as_segments(at, "bx", "by"), (8.0,), key=("site_id", "face"), payload=("label_id", "word")).select("site_id", "face", F.col("word").alias("_near"))
+    rows = middle.join(said, ["site_id", "face"], "left").join(near, ["site_id", "face"], "left")
+    kind = F.when(F.col("lawn"), "lawn").when(F.col("bed"), "bed").otherwise(F.coalesce("_near", F.lit("undecided")))
+    by = F.when(F.col("lawn").isNotNull(), "label").when(F.col("_near").isNotNull(), "nearest").otherwise("none")
+    return rows.select("site_id", "face", "area_m2", kind.alias("kind"), by.alias("by"))

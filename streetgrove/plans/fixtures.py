@@ -47,6 +47,13 @@ _LAYER = "p_name"
 for _word, _drawn in _DRAWN_WORDS:
     _LAYER = f"replace({_LAYER},'{_word}','{_drawn}')"
 
+_GROUND_WORDS = (
+    ("gizmo", "Газон"), ("widget", "цветник."), ("gear", "А"), ("plate", "плитка бетонная"), ("anvil", "Дет.пл."), ("ring", "щ"), ("bolt", "к.кирп"), ("rod", "ГАЗОН на ПЛОЩАДКЕ"),
+)
+_GROUND = "regexp_replace(p_name, '^[a-z]+ ', '')"
+for _word, _drawn in _GROUND_WORDS:
+    _GROUND = f"replace({_GROUND},'{_word}','{_drawn}')"
+
 FIXTURES: dict[str, str] = {
     "sites": """select cast(r_regionkey as bigint) as site_id, cast(1000*r_regionkey as double) as x0,
         cast(1000*r_regionkey+1000 as double) as x1, cast(0 as double) as y0, cast(1000 as double) as y1,
@@ -84,6 +91,10 @@ FIXTURES: dict[str, str] = {
         round(3+cast(c_custkey%6 as double),1) as crown_m, c_mktsegment as genus, c_nationkey as nation_no, c_acctbal as acctbal from customer""",
     "labels_t": f"""select p_partkey as label_id, p_partkey%5 as site_id, {_place('p_partkey', 'p_partkey%5', 141650939, 179424673)},
         p_type as layer, case when p_partkey%2=0 then concat('d=', cast(p_size*20 as varchar(12))) else p_name end as text from part""",
+    # what is written on the ground of a drawing, worded by the part's name
+    "ground_labels": f"""select p_partkey as label_id, p_partkey%5 as site_id, {_place('p_partkey', 'p_partkey%5', 141650939, 179424673)}, {{ground}} as text from part""".replace("{ground}", _GROUND),
+    # the drawn area of works: the largest zone of a site
+    "works": """select site_id, x as x0, y as y0, x+w as x1, y+d as y1 from (select *, row_number() over (partition by site_id order by w*d desc, feature_id) as rn from {zones}) q where rn=1""",
     "names": """select p_partkey as feature_id, p_name as layer, p_brand as block, p_type as kind, p_size as size from part""",
     # objects of a drawing before classification, layers named as draughtsmen name them
     "drawn": f"""select p_partkey as feature_id, p_partkey%5 as site_id, concat('tp$0$', {_LAYER}) as layer, concat('xr|', p_brand, '_', cast(p_size as varchar(4))) as block,

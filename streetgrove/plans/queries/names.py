@@ -9,6 +9,7 @@ from streetgrove.operators import names as N
 from streetgrove.operators import scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans.registry import Tables, query
+from streetgrove.session import cut
 
 # Rules of the fixture: pattern, target, geometry, class, priority.
 RULES = (
@@ -37,8 +38,7 @@ fb as (select d.feature_id, d.site_id, d.layer, d.block, d.kind, d.error_m, d.si
 
 def decided(t: Tables):
     """Distinct names are judged once and joined back."""
-    cls, method = N.rule_decision(RULES)
-    return t.drawn.select("layer", "block", "kind").distinct().withColumn("object_class", cls).withColumn("method", method)
+    return cut(N.rule_decisions(t.drawn.select("layer", "block", "kind"), RULES), "decided")
 
 
 def classified(t: Tables):
@@ -311,9 +311,9 @@ def label_material_parse(t):
 def label_role_classify(t):
     """Role of a label: its own assignment, an annotation among its blocks, work wording, a conflict."""
     rules = (("ring$", "layer", "any", "ignore", 0), ("9$", "block", "any", "ignore", 0), ("^red g", "layer", "any", "road", 1), ("gear|gizmo", "layer", "any", "sidewalk", 1))
-    cls, method = N.rule_decision(rules, layer="layer", block="ancestor", kind="layer")
     labels = texts(t).withColumn("chain", F.array("p_brand", F.lit("frame")))
-    judged = labels.withColumn("ancestor", F.explode("chain")).withColumn("cls", cls).withColumn("why", method)
+    asked = labels.withColumn("ancestor", F.explode("chain")).withColumn("kind", F.lit("label"))
+    judged = asked.join(N.rule_decisions(asked, rules, block="ancestor"), ["layer", "ancestor", "kind"]).withColumnsRenamed({"object_class": "cls", "method": "why"})
     per = judged.groupBy("label_id", "layer").agg(
         F.max(F.when(F.col("cls") == "ignore", 1).otherwise(0)).alias("annotation"), F.max(F.when(F.col("why") == "conflict", 1).otherwise(0)).alias("conflict"))
     explicit = F.col("label_id") % 50 == 0

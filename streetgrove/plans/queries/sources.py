@@ -183,10 +183,10 @@ def tile_layer_scan(t):
 
 
 @query(
-    "context_without_survey", uses=("zones", "rects", "stems"),
+    "context_without_survey", uses=("zones", "rects", "stems", "works"),
     sql="""with k as (select * from zones z where w*d>=1500 and not exists (select 1 from rects r where r.site_id=z.site_id and r.x<=z.x+z.w and r.x+r.w>=z.x and r.y<=z.y+z.d and r.y+r.d>=z.y)),
        b as (select site_id, count(*) as buildings from k group by all),
-       t as (select site_id, count(*) as trees from stems where not (x between 1000*site_id+300 and 1000*site_id+700 and y between 300 and 700) group by all), n as (select site_id, count(*) as n from zones group by all)
+       t as (select site_id, count(*) as trees from stems s join works b using(site_id) where not (s.x between b.x0 and b.x1 and s.y between b.y0 and b.y1) group by all), n as (select site_id, count(*) as n from zones group by all)
        select n.site_id, coalesce(buildings,0) as buildings, n-coalesce(buildings,0) as dropped, trees from n left join b using(site_id) left join t using(site_id)""",
 )
 def context_without_survey(t):
@@ -202,8 +202,9 @@ def context_without_survey(t):
     meets = (F.col("rx0") <= F.col("zx1")) & (F.col("rx1") >= F.col("zx0")) & (F.col("ry0") <= F.col("zy1")) & (F.col("ry1") >= F.col("zy0"))
     hit = boxed(large, "z").join(boxed(t.rects, "r").drop("feature_id"), ["site_id", "cx", "cy"]).where(meets).select("site_id", "feature_id").distinct()
     kept = large.join(hit, ["site_id", "feature_id"], "left_anti").groupBy("site_id").agg(F.count(F.lit(1)).alias("buildings"))
-    lx = F.col("x") - 1000 * F.col("site_id")
-    trees = t.stems.where(~(lx.between(300, 700) & F.col("y").between(300, 700))).groupBy("site_id").agg(F.count(F.lit(1)).alias("trees"))
+    works = t.works.select("site_id", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    surveyed = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
+    trees = t.stems.join(works, "site_id").where(~surveyed).groupBy("site_id").agg(F.count(F.lit(1)).alias("trees"))
     total = t.zones.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
     rows = total.join(kept, "site_id", "left").join(trees, "site_id", "left").fillna(0, ["buildings"])
     return rows.select("site_id", "buildings", (F.col("n") - F.col("buildings")).alias("dropped"), "trees")

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from streetgrove.functions import geom, rulebook
-from streetgrove.operators import graph, scan, selection as C, spatial
+from streetgrove.operators import graph, selection as C, spatial
+from streetgrove.operators import names as N
 from streetgrove.operators import planting as L
 from streetgrove.operators import surface as U
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
 from streetgrove.plans.queries.effect import CURB_PIECES
+from streetgrove.plans.queries.names import MATERIAL
 from streetgrove.plans.queries.quality import split_curb
 from streetgrove.plans.queries.selection import free_cells, free_sql, sample_cells
 from streetgrove.plans.registry import Tables, query
@@ -25,10 +27,27 @@ def local_cell(x: str = "x", y: str = "y", size: float = SIZE):
     return F.floor(F.col(y) / size).cast("int").alias("row"), F.floor((F.col(x) - 1000 * F.col("site_id")) / size).cast("int").alias("col")
 
 
+GROUND = f"""gl as (select *, rtrim(upper(trim(text)),'.') as u, cast(floor(y/5.0e0) as int) as "row", cast(floor((x-1000*site_id)/5.0e0) as int) as col from ground_labels),
+sd as (select * from (select *, {MATERIAL} as kind from gl) where kind is not null)"""
+PLACED = """near0 as (select s.label_id, min(row((f."row"-s."row")*(f."row"-s."row")+(f.col-s.col)*(f.col-s.col), f."row", f.col)) as m from sd s join free f on f.site_id=s.site_id and abs(f."row"-s."row")<=4 and abs(f.col-s.col)<=4 group by all),
+near1 as (select * from near0 where m[1]<=16),
+far as (select s.label_id, min(row((f."row"-s."row")*(f."row"-s."row")+(f.col-s.col)*(f.col-s.col), f."row", f.col)) as m from sd s join free f on f.site_id=s.site_id where s.label_id not in (select label_id from near1) group by all),
+mv as (select * from near1 union all select * from far)"""
+
+
+def labels(t: Tables):
+    """Labels of the ground at their cells."""
+    return t.ground_labels.select("site_id", "label_id", "text", *local_cell())
+
+
 def seeds(t: Tables):
-    """Labels that name a material, at their cells: a third says soil, a third paved."""
-    kind = F.when(F.col("label_id") % 3 == 0, "soil").when(F.col("label_id") % 3 == 1, "paved")
-    return t.labels_t.withColumn("kind", kind).where("kind is not null").select("site_id", "label_id", *local_cell(), "kind")
+    """Labels whose text names a material."""
+    return labels(t).withColumn("kind", N.label_material(F.col("text"))).where("kind is not null").select("site_id", "label_id", "row", "col", "kind")
+
+
+def frame(size: float = SIZE):
+    """Rows and columns of a site's grid."""
+    return F.lit(int(1000 / size)), F.lit(int(1000 / size))
 
 
 def grid(t: Tables, size: float = SIZE):
@@ -36,15 +55,16 @@ def grid(t: Tables, size: float = SIZE):
 
 
 @query(
-    "near_extent_filter", uses=("segments",),
-    sql="""select object_class, count(*) as kept from segments where sqrt(power(greatest(1000*site_id+400-greatest(x1,x2), least(x1,x2)-(1000*site_id+600), 0.0e0),2)+power(greatest(400-greatest(y1,y2), least(y1,y2)-600, 0.0e0),2))<=200 group by all""",
+    "near_extent_filter", uses=("segments", "works"),
+    sql="""select object_class, count(*) as kept from segments s join works b using(site_id) where sqrt(power(greatest(b.x0-greatest(s.x1,s.x2), least(s.x1,s.x2)-b.x1, 0.0e0),2)+power(greatest(b.y0-greatest(s.y1,s.y2), least(s.y1,s.y2)-b.y1, 0.0e0),2))<=200 group by all""",
 )
 def near_extent_filter(t):
-    """Objects within 200 m of a site box (400..600 on both axes); the box test comes first."""
-    x0, x1 = 1000 * F.col("site_id") + 400.0, 1000 * F.col("site_id") + 600.0
-    dx = F.greatest(x0 - F.greatest(F.col("x1"), F.col("x2")), F.least(F.col("x1"), F.col("x2")) - x1, F.lit(0.0))
-    dy = F.greatest(400.0 - F.greatest(F.col("y1"), F.col("y2")), F.least(F.col("y1"), F.col("y2")) - 600.0, F.lit(0.0))
-    return t.segments.where(geom.hypot2(dx, dy) <= 200).groupBy("object_class").agg(F.count(F.lit(1)).alias("kept"))
+    """Objects within 200 m of the box of their site's works; the box test comes first."""
+    works = t.works.select("site_id", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    rows = t.segments.join(works, "site_id")
+    dx = F.greatest(F.col("bx0") - F.greatest(F.col("x1"), F.col("x2")), F.least(F.col("x1"), F.col("x2")) - F.col("bx1"), F.lit(0.0))
+    dy = F.greatest(F.col("by0") - F.greatest(F.col("y1"), F.col("y2")), F.least(F.col("y1"), F.col("y2")) - F.col("by1"), F.lit(0.0))
+    return rows.where((dx <= 200) & (dy <= 200) & (geom.hypot2(dx, dy) <= 200)).groupBy("object_class").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("line_rasterize", uses=("sites", "segments", "rects"), extra=free_sql(SIZE), sql='select site_id, "row", col from barrier')
@@ -91,51 +111,46 @@ def point_material(t):
 
 
 @query(
-    "surface_summary", uses=("sites", "segments", "rects", "labels_t"), extra=free_sql(SIZE),
-    sql="""with s as (select site_id, count(*) filter (label_id%3=0) as soil_labels, count(*) filter (label_id%3=1) as paved_labels from labels_t group by all)
+    "surface_summary", uses=("sites", "segments", "rects", "ground_labels"), extra=f"{free_sql(SIZE)},\n{GROUND}",
+    sql="""with s as (select site_id, count(*) filter (kind='soil') as soil_labels, count(*) filter (kind='paved') as paved_labels from sd group by all)
        select g.site_id, count(*) as cells, count(f.site_id) as soil, count(*)-count(f.site_id) as other, any_value(soil_labels) as soil_labels, any_value(paved_labels) as paved_labels from grid g left join free f on f.site_id=g.site_id and f."row"=g."row" and f.col=g.col left join s on s.site_id=g.site_id group by g.site_id""",
 )
 def surface_summary(t):
     """Cells by material and labels by kind."""
     soil = free_cells(t, SIZE).select(*CELL, F.lit(1).alias("soil"))
     cells = grid(t).join(soil, CELL, "left").groupBy("site_id").agg(F.count(F.lit(1)).alias("cells"), F.count("soil").alias("soil"))
-    said = t.labels_t.groupBy("site_id").agg(F.count_if(F.col("label_id") % 3 == 0).alias("soil_labels"), F.count_if(F.col("label_id") % 3 == 1).alias("paved_labels"))
+    said = seeds(t).groupBy("site_id").agg(F.count_if(F.col("kind") == "soil").alias("soil_labels"), F.count_if(F.col("kind") == "paved").alias("paved_labels"))
     return cells.join(said, "site_id", "left").select("site_id", "cells", "soil", (F.col("cells") - F.col("soil")).alias("other"), "soil_labels", "paved_labels")
 
 
 @query(
-    "material_seeds", uses=("sites", "segments", "rects", "labels_t"),
-    extra=free_sql(SIZE) + """,
-  sd as (select label_id, site_id, case label_id%3 when 0 then 'soil' else 'paved' end as kind, cast(floor(y/5.0e0) as int) as "row", cast(floor((x-1000*site_id)/5.0e0) as int) as col from labels_t where label_id%3<2),
-  mv as (select s.label_id, s.kind, s.site_id, min(row((f."row"-s."row")*(f."row"-s."row")+(f.col-s.col)*(f.col-s.col), f."row", f.col)) as m from sd s join free f on f.site_id=s.site_id and abs(f."row"-s."row")<=2 and abs(f.col-s.col)<=2 group by all)""",
+    "material_seeds", uses=("sites", "segments", "rects", "ground_labels"), extra=f"{free_sql(SIZE)},\n{GROUND},\n{PLACED}",
     sql="""select s.label_id, s.site_id, s.kind, m[2] as "row", m[3] as col, m[1]>0 as moved from sd s left join mv using(label_id)""",
 )
 def material_seeds(t):
-    """Seeds of labels; one on a line moves to the nearest free cell within two cells, one without such a cell has no place."""
-    around = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc"), F.lit(r * r + c * c).alias("d2")) for r in range(-2, 3) for c in range(-2, 3)])
-    reach = seeds(t).withColumn("o", F.explode(around)).select("site_id", "label_id", "kind", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.col("o.d2").alias("d2"))
-    best = reach.join(free_cells(t, SIZE).select(*CELL), CELL).groupBy("site_id", "label_id", "kind").agg(F.min(F.struct("d2", "row", "col")).alias("m"))
-    rows = seeds(t).select("site_id", "label_id", "kind").join(best, ["site_id", "label_id", "kind"], "left")
-    return rows.select("label_id", "site_id", "kind", "m.row", "m.col", (F.col("m.d2") > 0).alias("moved"))
+    """Seeds of labels by their text; one on a line moves to the nearest free cell."""
+    return U.placed_seeds(seeds(t), free_cells(t, SIZE)).select("label_id", "site_id", "kind", "row", "col", "moved")
 
 
-def free_seeds(t: Tables):
-    return seeds(t).select(*CELL, "kind").distinct()
+def free_seeds(t: Tables, free=None):
+    """Places of the seeds on free ground."""
+    placed = U.placed_seeds(seeds(t), free_cells(t, SIZE) if free is None else free)
+    return placed.where("row is not null").select(*CELL, "kind").distinct()
 
 
 @query(
-    "label_spread", uses=("sites", "segments", "rects", "labels_t"), recursive=True,
-    extra=free_sql(SIZE) + """,
-  sd as (select distinct site_id, case label_id%3 when 0 then 'soil' else 'paved' end as kind, cast(floor(y/5.0e0) as int) as "row", cast(floor((x-1000*site_id)/5.0e0) as int) as col from labels_t where label_id%3<2),
-  rc as (select sd.site_id, sd."row", sd.col, sd.kind, 0 as d from sd join free f on f.site_id=sd.site_id and f."row"=sd."row" and f.col=sd.col
+    "label_spread", uses=("sites", "segments", "rects", "ground_labels"), recursive=True,
+    extra=f"{free_sql(SIZE)},\n{GROUND},\n{PLACED}" + """,
+  ps as (select distinct s.site_id, m[2] as "row", m[3] as col, s.kind from sd s join mv using(label_id)),
+  rc as (select site_id, "row", col, kind, 0 as d from ps
      union select rc.site_id, rc."row"+m.dr, rc.col+m.dc, rc.kind, rc.d+1 from rc, (values (0,1),(0,-1),(1,0),(-1,0)) m(dr,dc), free f where rc.d<6 and f.site_id=rc.site_id and f."row"=rc."row"+m.dr and f.col=rc.col+m.dc),
   ds as (select site_id, "row", col, min(case when kind='paved' then d end) as paved, min(case when kind='soil' then d end) as soil from rc group by all)""",
     sql="""select site_id, "row", col, case when coalesce(paved,1000000)+0.2e0<coalesce(soil,1000000) then 'paved' when coalesce(soil,1000000)+0.2e0<coalesce(paved,1000000) then 'soil' else 'unknown' end as material from ds""",
 )
 def label_spread(t):
-    """Materials flow from labels over free cells up to 30 m and compete; a tie stays unknown."""
-    costs = U.spread(free_cells(t, SIZE), free_seeds(t), int(U.SPREAD_M / SIZE))
-    return U.contest(costs, U.AMBIGUITY_M / SIZE)
+    """Materials flow from the places of labels over free cells up to 30 m and compete; a tie stays unknown."""
+    free = cut(free_cells(t, SIZE), "free")
+    return U.contest(U.spread(free, free_seeds(t, free), int(U.SPREAD_M / SIZE)), U.AMBIGUITY_M / SIZE)
 
 
 def soil_grid(t: Tables):
@@ -204,35 +219,30 @@ def faces(t: Tables):
 
 @query("closed_face_material")
 def closed_face_material(t):
-    """Faces of free cells with the labels inside: one material decides, two leave it unresolved.
+    """Faces of free cells with the labels in them: one material decides, two leave it unresolved.
 
     Faces are connected cells (the raster stand-in for noded linework); a face that reaches the
     frame is open and decides nothing.
     """
-    cells = faces(t)
-    size = cells.groupBy("site_id", "face").agg(
-        F.count(F.lit(1)).alias("cells"), F.max((F.col("row") == 0) | (F.col("row") == 199) | (F.col("col") == 0) | (F.col("col") == 199)).alias("open"))
-    said = cells.join(seeds(t), CELL).groupBy("face").agg(F.count_if(F.col("kind") == "soil").alias("soil"), F.count_if(F.col("kind") == "paved").alias("paved"))
-    material = F.when(F.col("open"), "open").when((F.col("soil") > 0) & (F.col("paved") > 0), "unresolved").when(F.col("soil") > 0, "soil").when(F.col("paved") > 0, "paved").otherwise("unlabelled")
-    return size.join(said, "face", "left").withColumn("material", material).groupBy("site_id", "material").agg(F.count(F.lit(1)).alias("faces"), F.sum("cells").alias("cells"))
+    found = U.face_materials(faces(t), free_seeds(t), *frame())
+    return found.groupBy("site_id", "material").agg(F.count(F.lit(1)).alias("faces"), F.sum("cells").alias("cells"))
 
 
 @query("functional_area_mark")
 def functional_area_mark(t):
     """Components under a playground label and smaller than 3000 m2 close as paved, with the label."""
-    cells = faces(t)
-    sized = cells.groupBy("face").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SIZE * SIZE < U.FUNCTIONAL_MAX_M2)
-    labels = t.labels_t.where("label_id % 5 = 0").select("site_id", "label_id", *local_cell())
-    hit = cells.join(labels, CELL).join(sized, "face").groupBy("site_id", "face", "n").agg(F.min("label_id").alias("label_id"))
-    return hit.select("site_id", "label_id", (F.col("n") * SIZE * SIZE).alias("area_m2"))
+    marks = U.placed_seeds(labels(t).where(N.label_is_functional(F.col("text"))), free_cells(t, SIZE)).where("row is not null")
+    return U.functional_faces(faces(t), marks, SIZE).select("site_id", "label_id", "area_m2", "reason")
 
 
 @query("display_majority_fill")
 def display_majority_fill(t):
     """Spread materials tidied per face: a small unlabelled minority takes the majority."""
-    material = U.contest(U.spread(free_cells(t, SIZE), free_seeds(t), int(U.SPREAD_M / SIZE)), U.AMBIGUITY_M / SIZE)
-    own = free_seeds(t).select(*CELL, F.col("kind").alias("material"), F.lit(True).alias("_own"))
-    cells = faces(t).join(material, CELL, "left").withColumn("material", F.coalesce("material", F.lit("unknown"))).join(own, [*CELL, "material"], "left").withColumn("labelled", F.coalesce("_own", F.lit(False)))
+    free = cut(free_cells(t, SIZE), "free")
+    own = cut(free_seeds(t, free), "seeds")
+    material = U.contest(U.spread(free, own, int(U.SPREAD_M / SIZE)), U.AMBIGUITY_M / SIZE)
+    said = own.select(*CELL, F.col("kind").alias("material"), F.lit(True).alias("_own"))
+    cells = U.components(free).join(material, CELL, "left").withColumn("material", F.coalesce("material", F.lit("unknown"))).join(said, [*CELL, "material"], "left").withColumn("labelled", F.coalesce("_own", F.lit(False)))
     return U.majority_fill(cells).groupBy("site_id", "material", "shown").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -249,33 +259,38 @@ def soil_polygons(t):
     return merged.select("site_id", "c0", "c1", "r0", "r1", ((F.col("c1") - F.col("c0") + 1) * (F.col("r1") - F.col("r0") + 1) * SIZE * SIZE).alias("area_m2"))
 
 
-STAGE = """lin as (select l.label_id, l.site_id, z.feature_id, z.object_class from labels_t l join zone_edges z on z.site_id=l.site_id where ((z.y1>l.y)<>(z.y2>l.y)) and l.x < z.x1+(l.y-z.y1)/(z.y2-z.y1)*(z.x2-z.x1) group by all having count(*)%2=1),
-sup as (select label_id, bool_or((label_id%3=0 and object_class='territory.street') or (label_id%3=1 and object_class in ('territory.square','territory.park'))) as superseded from lin group by all)"""
+STAGE = f"""{GROUND},
+gm as (select gl.*, sd.kind from gl left join sd using(label_id)),
+lin as (select l.label_id, l.kind, l.site_id, z.feature_id, z.object_class from gm l join zone_edges z on z.site_id=l.site_id where ((z.y1>l.y)<>(z.y2>l.y)) and l.x < z.x1+(l.y-z.y1)/(z.y2-z.y1)*(z.x2-z.x1) group by all having count(*)%2=1),
+sup as (select label_id, bool_or((kind='soil' and object_class='territory.street') or (kind='paved' and object_class in ('territory.square','territory.park'))) as superseded from lin group by all)"""
 
 
-@query("stage_label_supersede", uses=("labels_t", "zone_edges"), extra=STAGE, sql="select site_id, case label_id%3 when 0 then 'soil' when 1 then 'paved' else 'none' end as material, count(*) as labels, count(*) filter (superseded) as superseded from labels_t left join sup using(label_id) group by all")
+@query("stage_label_supersede", uses=("ground_labels", "zone_edges"), extra=STAGE, sql="select site_id, coalesce(kind, 'none') as material, count(*) as labels, count(*) filter (superseded) as superseded from gm left join sup using(label_id) group by all")
 def stage_label_supersede(t):
     """Survey labels inside a projected area of the other material are superseded."""
-    labels = t.labels_t.select("site_id", F.col("label_id").alias("point_id"), "x", "y")
-    inside = spatial.contained(labels, t.zone_edges, point_key=("point_id",), area_key=("feature_id", "object_class"))
-    soil, paved = F.col("point_id") % 3 == 0, F.col("point_id") % 3 == 1
-    opposite = (soil & (F.col("object_class") == "territory.street")) | (paved & F.col("object_class").isin("territory.square", "territory.park"))
+    said = t.ground_labels.select("site_id", F.col("label_id").alias("point_id"), "x", "y", F.coalesce(N.label_material(F.col("text")), F.lit("none")).alias("material"))
+    inside = spatial.contained(said, t.zone_edges, point_key=("point_id", "material"), area_key=("feature_id", "object_class"))
+    opposite = ((F.col("material") == "soil") & (F.col("object_class") == "territory.street")) | ((F.col("material") == "paved") & F.col("object_class").isin("territory.square", "territory.park"))
     hit = inside.where(opposite).select("site_id", "point_id").distinct().withColumn("gone", F.lit(1))
-    material = F.when(soil, "soil").when(paved, "paved").otherwise("none")
-    return labels.join(hit, ["site_id", "point_id"], "left").groupBy("site_id", material.alias("material")).agg(F.count(F.lit(1)).alias("labels"), F.count("gone").alias("superseded"))
+    return said.join(hit, ["site_id", "point_id"], "left").groupBy("site_id", "material").agg(F.count(F.lit(1)).alias("labels"), F.count("gone").alias("superseded"))
 
 
 @query(
-    "open_ground_fallback", uses=("sites", "segments", "rects", "labels_t", "zones"), extra=free_sql(SIZE),
-    sql="""with k as (select site_id, count(*) as said from labels_t where label_id%3<2 and text like 'd=2%' group by all), z as (select site_id, count(*) as lawns from zones where object_class in ('territory.square','territory.park') and w>80 group by all)
-       select s.site_id, coalesce(said,0) as labels, coalesce(lawns,0) as lawns, coalesce(said,0)=0 and coalesce(lawns,0)=0 as applies, case when coalesce(said,0)=0 and coalesce(lawns,0)=0 then (select count(*) from free f where f.site_id=s.site_id)*25.0e0 else 0.0e0 end as inferred_m2
+    "open_ground_fallback", uses=("sites", "segments", "rects", "ground_labels", "zones", "works"), extra=f"{free_sql(SIZE)},\n{GROUND}",
+    sql="""with k as (select s.site_id, count(*) as said from sd s join works b on b.site_id=s.site_id and s.x between b.x0 and b.x1 and s.y between b.y0 and b.y1 group by all),
+       z as (select z.site_id, count(*) as lawns from zones z join works b on b.site_id=z.site_id and z.x+z.w/2 between b.x0 and b.x1 and z.y+z.d/2 between b.y0 and b.y1 where object_class in ('territory.square','territory.park') group by all)
+       select s.site_id, coalesce(said,0) as labels, coalesce(lawns,0) as lawns, coalesce(said,0)=0 and coalesce(lawns,0)=0 as applies,
+         case when coalesce(said,0)=0 and coalesce(lawns,0)=0 then (select count(*) from free f join works b on b.site_id=f.site_id and f.x between b.x0 and b.x1 and f.y between b.y0 and b.y1 where f.site_id=s.site_id)*25.0e0 else 0.0e0 end as inferred_m2
        from sites s left join k using(site_id) left join z using(site_id)""",
 )
 def open_ground_fallback(t):
-    """Only where nothing names the ground: open cells count as inferred soil, with their area."""
-    said = t.labels_t.where((F.col("label_id") % 3 < 2) & F.col("text").startswith("d=2")).groupBy("site_id").agg(F.count(F.lit(1)).alias("labels"))
-    lawns = t.zones.where(F.col("object_class").isin("territory.square", "territory.park") & (F.col("w") > 80)).groupBy("site_id").agg(F.count(F.lit(1)).alias("lawns"))
-    free = free_cells(t, SIZE).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    """Only where nothing in the area of works names the ground: its open cells count as inferred soil, with their area."""
+    works = t.works.select("site_id", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    within = lambda x, y: x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
+    said = t.ground_labels.where(N.label_material(F.col("text")).isNotNull()).join(works, "site_id").where(within(F.col("x"), F.col("y"))).groupBy("site_id").agg(F.count(F.lit(1)).alias("labels"))
+    zones = t.zones.where(F.col("object_class").isin("territory.square", "territory.park")).join(works, "site_id")
+    lawns = zones.where(within(F.col("x") + F.col("w") / 2, F.col("y") + F.col("d") / 2)).groupBy("site_id").agg(F.count(F.lit(1)).alias("lawns"))
+    free = free_cells(t, SIZE).join(works, "site_id").where(within(F.col("x"), F.col("y"))).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
     rows = t.sites.select("site_id").join(said, "site_id", "left").join(lawns, "site_id", "left").join(free, "site_id", "left").fillna(0)
     applies = (F.col("labels") == 0) & (F.col("lawns") == 0)
     return rows.select("site_id", "labels", "lawns", applies.alias("applies"), F.when(applies, F.col("n") * SIZE * SIZE).otherwise(0.0).alias("inferred_m2"))
@@ -287,39 +302,34 @@ def zone_cells(t: Tables):
 
 @query("paved_parts_by_label")
 def paved_parts_by_label(t):
-    """Paved parts with the label they hold most of."""
+    """Paved parts with the paving that most of their labels name."""
     parts = U.components(zone_cells(t).where("material = 'paved'").select(*CELL))
-    size = parts.groupBy("site_id", "face").agg((F.count(F.lit(1)) * SIZE * SIZE).alias("area_m2"))
-    labels = t.labels_t.select("site_id", F.col("layer").alias("word"), *local_cell())
-    votes = parts.join(labels, CELL).groupBy("face", "word").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("face").agg(F.max(F.struct("n", "word")).alias("b"))
-    return size.join(best, "face", "left").select("site_id", "area_m2", F.coalesce("b.word", F.lit("none")).alias("kind"), F.coalesce("b.n", F.lit(0)).alias("labels"))
+    said = labels(t).where(N.label_material(F.col("text")) == "paved").select(*CELL, F.rtrim(F.upper(F.trim("text")), F.lit(".")).alias("word"))
+    return U.part_words(parts, said, SIZE).select("site_id", "area_m2", "kind", "labels")
 
 
 @query("lawn_islands")
 def lawn_islands(t):
     """Soil parts that touch nothing but paving and hold a bed label are flowerbeds."""
-    material = zone_cells(t)
+    material = cut(zone_cells(t), "materials")
     soil = U.components(material.where("material = 'soil'").select(*CELL))
-    moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    around = soil.withColumn("m", F.explode(moves)).select("site_id", "face", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"))
-    beside = around.join(soil.select(*CELL, F.col("face").alias("own")), CELL, "left").where("own is null").join(material, CELL, "left")
-    border = beside.groupBy("site_id", "face").agg(F.count_if(F.col("material") == "paved").alias("paved"), F.count_if(F.coalesce(F.col("material") != "paved", F.lit(True))).alias("other"))
-    beds = soil.join(t.labels_t.where("label_id % 4 = 0").select("site_id", *local_cell()), CELL).select("face").distinct().withColumn("bed", F.lit(True))
-    area = soil.groupBy("face").agg((F.count(F.lit(1)) * SIZE * SIZE).alias("area_m2"))
-    rows = border.join(area, "face").join(beds, "face", "left")
-    return rows.select("site_id", "area_m2", "paved", "other", ((F.col("other") == 0) & F.coalesce("bed", F.lit(False))).alias("flowerbed"))
+    beds = labels(t).where(N.label_planting(F.col("text")) == "bed")
+    return U.islands(material, soil, beds, SIZE).select("site_id", "area_m2", "paved", "other", "flowerbed")
 
 
 @query(
-    "lawns_outside_note", uses=("sites", "zones"), extra=AREA,
-    sql="""with c as (select site_id, (col between 60 and 140 and "row" between 60 and 140) as inside from zc where p=1), s as (select site_id, count(*) filter (inside)*25.0e0 as inside_m2, count(*) filter (not inside)*25.0e0 as outside_m2 from c group by all)
+    "lawns_outside_note", uses=("sites", "zones", "works"), extra=AREA,
+    sql="""with c as (select zc.site_id, 1000*zc.site_id+(col+0.5e0)*5.0e0 between x0 and x1 and ("row"+0.5e0)*5.0e0 between y0 and y1 as inside from zc join works using(site_id) where p=1),
+       s as (select site_id, count(*) filter (inside)*25.0e0 as inside_m2, count(*) filter (not inside)*25.0e0 as outside_m2 from c group by all)
        select site_id, inside_m2, outside_m2, outside_m2>=500 and inside_m2<=0.05e0*(inside_m2+outside_m2) as warn from s""",
 )
 def lawns_outside_note(t):
-    """Lawn area inside and outside a boundary box; nearly all outside means the wrong boundary."""
-    inside = F.col("col").between(60, 140) & F.col("row").between(60, 140)
-    areas = zone_cells(t).where("material = 'soil'").groupBy("site_id").agg((F.count_if(inside) * SIZE * SIZE).alias("inside_m2"), (F.count_if(~inside) * SIZE * SIZE).alias("outside_m2"))
+    """Lawn area inside and outside the area of works; nearly all outside means the wrong boundary."""
+    works = t.works.select("site_id", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    x, y = 1000 * F.col("site_id") + (F.col("col") + 0.5) * SIZE, (F.col("row") + 0.5) * SIZE
+    inside = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
+    cells = zone_cells(t).where("material = 'soil'").join(works, "site_id")
+    areas = cells.groupBy("site_id").agg((F.count_if(inside) * SIZE * SIZE).alias("inside_m2"), (F.count_if(~inside) * SIZE * SIZE).alias("outside_m2"))
     warn = (F.col("outside_m2") >= 500) & (F.col("inside_m2") <= 0.05 * (F.col("inside_m2") + F.col("outside_m2")))
     return areas.withColumn("warn", warn)
 
@@ -345,17 +355,9 @@ def lawn_partition(t):
 def lawn_kind_by_label(t):
     """Faces of drawn soil: a lawn word makes a lawn, a bed word without one a bed, else the nearest label decides."""
     cells = U.components(zone_cells(t).where("material = 'soil'").select(*CELL))
-    word = F.when(F.col("label_id") % 3 == 0, "lawn").when(F.col("label_id") % 3 == 1, "bed").otherwise("ground")
-    labels = t.labels_t.select("site_id", "label_id", "x", "y", word.alias("word"), *local_cell())
-    said = cells.join(labels, CELL).groupBy("face").agg(F.max(F.col("word") == "lawn").alias("lawn"), F.max(F.col("word") == "bed").alias("bed"))
-    centre = cells.groupBy("site_id", "face").agg(
-        (F.avg("col") * SIZE + 1000 * F.first("site_id") + SIZE / 2).alias("x"), (F.avg("row") * SIZE + SIZE / 2).alias("y"), (F.count(F.lit(1)) * SIZE * SIZE).alias("area_m2"))
-    orphans = centre.join(said, "face", "left_anti")
-    said_at = spatial.as_segments(labels.select("site_id", "x", "y", "word", "label_id"))
-    near = spatial.nearest_segment(orphans, said_at, (40.0,), key=("site_id", "face"), payload=("label_id", "word")).select("face", F.struct("word").alias("n"))
-    rows = centre.join(said, "face", "left").join(near, "face", "left")
-    kind = F.when(F.col("lawn"), "lawn").when(F.col("bed"), "bed").when(F.col("lawn").isNotNull(), "ground").otherwise(F.coalesce("n.word", F.lit("undecided")))
-    return rows.groupBy("site_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("faces"), F.sum("area_m2").alias("area_m2"))
+    said = labels(t).withColumn("word", N.label_planting(F.col("text"))).where("word is not null")
+    kinds = U.planting_of_faces(cells, said.select("site_id", "label_id", "row", "col", "word"), SIZE)
+    return kinds.groupBy("site_id", "kind", "by").agg(F.count(F.lit(1)).alias("faces"), F.sum("area_m2").alias("area_m2"))
 
 
 def flowerbed_centres(t: Tables):
