@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from streetgrove.functions import rulebook
 from streetgrove.operators import graph, spatial
+from streetgrove.session import cut
 
 # Weights of suitability factors, scales and steps.
 SUITABILITY_WEIGHTS = {
     "site": 0.30, "function": 0.20, "decor": 0.15, "longevity": 0.15, "care": 0.10, "pilot": 0.10, "category": 0.20, "shade": 0.15,
 }
 SALT_ZONE_M = 5.0
+OVERHEAD = "power_line_overhead"
 REGION_ZONE = 4
 MAX_HEIGHT_UNDER_LINES_M = 4.0
 SHADE_SUN_MAX = 0.5
@@ -65,39 +67,75 @@ def species_norms(checked: DataFrame, *, allergen_act_priority: bool = True) ->
     return checked.withColumn("norm_block", block).withColumn("conditions", conditions)
 
 
+def under_lines(facts: DataFrame, key: Sequence[str] = ("site_id", "point_id")) -> DataFrame:
+    """(key..., under_line): does a planting break the distance to an overhead line?"""
+    return facts.where(F.col("object_class") == OVERHEAD).groupBy(*key).agg(F.max(F.col("outcome") == "fail").alias("under_line"))
+
+
 def salt_distance(by_class: DataFrame, key: Sequence[str]) -> DataFrame:
     return by_class.where(F.col("object_class").isin("road", "curb")).groupBy(*key).agg(F.min("measured_m").alias("salt_m"))
 
 
-def hard_filter(
-    points: DataFrame, by_class: DataFrame, species: DataFrame, species_rules: DataFrame, *, key: Sequence[str] = ("site_id", "point_id"),
-) -> DataFrame:
-    """(planting, species) rows with the first blocking reason, null when admitted.
+def blocked_pairs(points: DataFrame, by_class: DataFrame, species: DataFrame, species_rules: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key..., species_no, distance_rule): the first norm by name that keeps a species off a place; only measured pairs are looked at.
 
-    ``by_class`` holds the measured clearances (site, point, class). Distances are compared only
-    for pairs that were measured, and what they block is gathered into one map a planting, at most
-    as long as the catalogue. So only plantings are shuffled; the catalogue is laid beside them at
-    the end, and its product with them is never dealt out.
+    Clearances are dealt by planting once; the norms are laid beside them, and all that follows is grouped where it lies.
     """
-    forbids = species_rules.where(F.col("severity") == "forbid").select("species_no", "object_class", "rule_id", "min_distance_m")
-    near = (
-        points.select(*key, "planting_type").join(by_class, list(key))
-        .join(F.broadcast(forbids.join(species.select("species_no", "planting_type"), "species_no")), ["object_class", "planting_type"])
-        .where(F.col("measured_m") + 1e-6 < F.col("min_distance_m"))
-        .groupBy(*key, "species_no").agg(F.min("rule_id").alias("distance_rule"))
-        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("species_no", "distance_rule"))).alias("_blocked"))
-    )
-    placed = points.join(near, list(key), "left").join(salt_distance(by_class, key), list(key), "left")
-    pairs = placed.join(F.broadcast(species.drop("species_code")), "planting_type")
-    full = pairs.withColumn("distance_rule", F.col("_blocked")[F.col("species_no")]).drop("_blocked")
-    reason = F.coalesce(
-        F.concat(F.lit("norm:"), F.col("norm_block")), F.concat(F.lit("distance:"), F.col("distance_rule")),
+    kinds = species.select("species_no", "planting_type").distinct()
+    forbids = species_rules.where(F.col("severity") == "forbid").select("species_no", "object_class", "rule_id", "min_distance_m").join(kinds, "species_no")
+    measured = by_class.join(points.select(*key, "planting_type"), list(key)).repartition(*key)
+    near = measured.join(F.broadcast(forbids), ["object_class", "planting_type"])  # norms by species of the catalogue
+    return near.where(F.col("measured_m") + 1e-6 < F.col("min_distance_m")).groupBy(*key, "species_no").agg(F.min("rule_id").alias("distance_rule"))
+
+
+def later_reason() -> Column:
+    """What keeps a species off a place when its norms and distances do not: line, frost, shade, salt."""
+    return F.coalesce(
         F.when(F.col("under_line") & (F.col("height_m") > MAX_HEIGHT_UNDER_LINES_M), "overhead"),
         F.when(F.col("hardiness_zone") > REGION_ZONE, "hardiness"),
         F.when((F.col("light") == "sun") & (F.col("shade") >= SHADE_SUN_MAX), "light"),
         F.when((F.col("salt") == 0) & (F.col("salt_m") < SALT_ZONE_M), "salt"),
     )
-    return full.withColumn("reason", reason)
+
+
+def hard_filter(
+    points: DataFrame, by_class: DataFrame, species: DataFrame, species_rules: DataFrame, *, key: Sequence[str] = ("site_id", "point_id"),
+) -> DataFrame:
+    """(planting, species) rows with the first blocking reason, null when admitted.
+
+    ``points(key..., planting_type, territory, under_line, shade, ...)`` carries what lies over a place, ``species`` the norms of
+    each territory. ``by_class`` holds the measured clearances (site, point, class). What distances block is gathered into one
+    map a planting, at most as long as the catalogue; the catalogue is laid beside the plantings last, and its product with
+    them is never dealt out.
+    """
+    blocked = blocked_pairs(points, by_class, species, species_rules, key).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("species_no", "distance_rule"))).alias("_blocked"))
+    placed = points.join(blocked, list(key), "left").join(salt_distance(by_class, key), list(key), "left")
+    pairs = placed.join(F.broadcast(species.drop("species_code")), ["planting_type", "territory"])
+    full = pairs.withColumn("distance_rule", F.col("_blocked")[F.col("species_no")]).drop("_blocked")
+    return full.withColumn("reason", F.coalesce(F.concat(F.lit("norm:"), F.col("norm_block")), F.concat(F.lit("distance:"), F.col("distance_rule")), later_reason()))
+
+
+def filter_counts(
+    points: DataFrame, by_class: DataFrame, species: DataFrame, species_rules: DataFrame, *, key: Sequence[str] = ("site_id", "point_id"),
+) -> DataFrame:
+    """(species_no, reason, n): ``hard_filter`` counted without its rows; admitted places have a null reason.
+
+    Places alike in all but their distances are counted together and judged once a species. The pairs that a distance
+    blocks are few; they are counted by that norm and taken off the reason that they would have had without it.
+    """
+    placed = points.join(salt_distance(by_class, key), list(key), "left")
+    alike = ["planting_type", "territory", "under_line", "shade", "salt_m"]
+    classes = cut(placed.select(
+        *key, "planting_type", "territory", F.coalesce("under_line", F.lit(False)).alias("under_line"),
+        F.when(F.col("shade") >= SHADE_SUN_MAX, SHADE_SUN_MAX).alias("shade"), F.when(F.col("salt_m") < SALT_ZONE_M, 0.0).alias("salt_m")), "alike")
+    traits = F.broadcast(species.select("species_no", "planting_type", "territory", "norm_block", "height_m", "hardiness_zone", "light", "salt"))  # the catalogue
+    norm = F.concat(F.lit("norm:"), F.col("norm_block"))
+    judged = classes.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")).join(traits, ["planting_type", "territory"]).select("species_no", F.coalesce(norm, later_reason()).alias("reason"), "n")
+    pairs = blocked_pairs(points, by_class, species, species_rules, key).join(classes, list(key)).join(traits, ["species_no", "planting_type", "territory"]).where("norm_block is null")
+    held = pairs.groupBy("species_no", "distance_rule", later_reason().alias("otherwise")).agg(F.count(F.lit(1)).alias("n"))
+    moved = held.select("species_no", F.explode(F.array(
+        F.struct(F.concat(F.lit("distance:"), F.col("distance_rule")).alias("reason"), F.col("n").alias("n")), F.struct(F.col("otherwise").alias("reason"), (-F.col("n")).alias("n")))).alias("m")).select("species_no", "m.*")
+    return judged.unionByName(moved).groupBy("species_no", "reason").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def suitability(weights: Mapping[str, float] | None = None) -> Column:

@@ -74,6 +74,9 @@ FIXTURES: dict[str, str] = {
           when 6 then 'curb' when 7 then 'fence' when 8 then 'pavement_edge' else 'pole' end as object_class,
         round(cast(dc as double)*4,3) as diameter_m, round(cast(tx as double)/10,3) as error_m
         from {{line_rows}}""",
+    # wires between poles: every pole line of some weight
+    "overhead_lines": """select site_id, feature_id, 'power_line_overhead' as object_class, diameter_m, error_m, x as x1, y as y1,
+        case when vertical=0 then x+len else x end as x2, case when vertical=0 then y else y+len end as y2 from {lines} where kind_no=9 and diameter_m>=0.2""",
     "rects": f"""select 1000000000+s_suppkey as feature_id, s_suppkey%5 as site_id, {_place('s_suppkey', 's_suppkey%5', 49979687, 67867967)},
         cast(8+s_suppkey%20 as double) as w, cast(6+s_suppkey%15 as double) as d, s_suppkey as suppkey,
         s_nationkey, s_acctbal from supplier""",

@@ -22,6 +22,8 @@ hid as (select distinct n.point_id from nr n join segments b on b.site_id=n.site
 plc as (select p.site_id, p.point_id, case when z.zone is not null and z.zone<>'territory.street' then substring(z.zone, 11) when n.d<=10 then 'roadside'
     when h.point_id is not null and z.zone is null then 'yard' else 'street' end as place
   from points p left join nr n using(point_id) left join zoned z using(point_id) left join hid h using(point_id))"""
+ZONED_IN, PLACE_AFTER_ZONES = PLACE.split("\nzoned", 1)
+ZONED_IN, PLACE_AFTER_ZONES = ZONED_IN.rstrip(","), "zoned" + PLACE_AFTER_ZONES
 PLACE_USES = ("points", "zone_edges", "road_edges", "segments")
 
 
@@ -49,7 +51,7 @@ def place_classify(t):
 
 
 @query(
-    "territory_classify", uses=PLACE_USES, extra=PLACE.split("\nzoned")[0].rstrip(","),
+    "territory_classify", uses=PLACE_USES, extra=ZONED_IN,
     sql="""select p.site_id, p.point_id, case when bool_or(object_class='territory.protected_green') then 'protected_green' when bool_or(object_class='territory.natural') then 'natural' else 'profile' end as territory
        from points p left join zin z using(point_id) group by all""",
 )
@@ -115,13 +117,13 @@ def shade_share(t):
     """
     hours = sun.shadow_hours()
     stretch = max((dx * dx + dy * dy) ** 0.5 for _, _, dx, dy in hours)
-    table = t.spark.createDataFrame(hours, "day int, hour int, ux double, uy double")
     boxes = t.rects.select(
         "site_id", F.col("x").alias("bx0"), (F.col("x") + F.col("w")).alias("bx1"), F.col("y").alias("by0"), (F.col("y") + F.col("d")).alias("by1"), (3.0 * (1 + F.col("suppkey") % 9)).alias("h"))
     reach = F.col("h") * stretch
     cell = 64.0
     spread = boxes.withColumn("cx", F.explode(geom.cell_range(F.col("bx0") - reach, F.col("bx1") + reach, cell))).withColumn("cy", F.explode(geom.cell_range(F.col("by0") - reach, F.col("by1") + reach, cell)))
     points = t.points.select("site_id", "point_id", "x", "y").withColumn("cx", geom.cell_of("x", cell)).withColumn("cy", geom.cell_of("y", cell))
+    table = t.spark.createDataFrame([(1 << k, ux, uy) for k, (_, _, ux, uy) in enumerate(hours)], "bit long, ux double, uy double")
     pairs = points.join(spread, ["site_id", "cx", "cy"]).join(F.broadcast(table))  # the table of hours has 2 x 17 rows at most
 
     def slab(p: str, low: str, high: str, unit: str):
@@ -131,8 +133,9 @@ def shade_share(t):
 
     x_in, x_out = slab("x", "bx0", "bx1", "ux")
     y_in, y_out = slab("y", "by0", "by1", "uy")
-    shaded = pairs.where(F.greatest(F.lit(0.0), x_in, y_in) < F.least(F.lit(1.0), x_out, y_out)).select("site_id", "point_id", "day", "hour").distinct()
-    counts = shaded.groupBy("site_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
+    # The hours of shadow are bits of one number a point, put together before anything is shuffled.
+    shaded = pairs.where(F.greatest(F.lit(0.0), x_in, y_in) < F.least(F.lit(1.0), x_out, y_out)).select("site_id", "point_id", "bit")
+    counts = shaded.groupBy("site_id", "point_id").agg(F.bit_count(F.bit_or("bit")).alias("n"))
     return t.points.select("site_id", "point_id").join(counts, ["site_id", "point_id"], "left").select(
         "site_id", "point_id", F.round(F.coalesce("n", F.lit(0)) / float(len(hours)), 3).alias("shade"))
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetgrove.functions import rulebook
+from streetgrove.functions import rulebook, sun
 from streetgrove.operators import graph, scan, spatial
+from streetgrove.operators import rules as R
 from streetgrove.operators import species as P
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
+from streetgrove.plans.queries import effect
 from streetgrove.plans.queries.rules import SPECIES_RULES
 from streetgrove.plans.registry import Tables, query
+from streetgrove.session import cut
 
 INVASIVE = rulebook.sql_values("inv", "rule_id, species_lat, grp", rulebook.invasive_rows())
 NORMS = f"""{INVASIVE},
@@ -24,9 +29,15 @@ norms as (select *, case when invasive_decision='forbidden' then 'invasive' when
    when allergen>=2 and not coalesce(category_mark in ('plus','limited'), false) then 'mass_allergen' end as norm_block from norms0)"""
 
 
-def checked_species(t: Tables):
+def checked_species(t: Tables, territory: str = "green_fund"):
     listed = rulebook.invasive(t.spark)
-    return P.species_norms(P.invasive_check(shared.species(t), listed, "green_fund"))
+    return P.species_norms(P.invasive_check(shared.species(t), listed, territory))
+
+
+def species_by_territory(t: Tables):
+    """The catalogue with the norms of every kind of territory; ``profile`` stands for ordinary green land."""
+    lands = {"profile": "green_fund", "protected_green": "protected_green", "natural": "natural"}
+    return reduce(DataFrame.unionByName, [checked_species(t, land).withColumn("territory", F.lit(name)) for name, land in lands.items()])
 
 
 @query("invasive_check", uses=("species",), extra=NORMS, sql="select species_no, name_lat, invasive_rule, cast(invasive_group as int) as invasive_group, invasive_decision from norms")
@@ -59,11 +70,24 @@ def city_assortment_mark(t):
 
 
 def by_class(t: Tables, *, bounded: bool = True):
-    """Measured clearance of a planting to each class its rules look at, if bounded as far as a species norm reaches."""
-    rows = shared.facts(t, **({"reach": shared.species_reach(t)} if bounded else {})).where(F.col("measured_m").isNotNull())
-    return rows.groupBy("site_id", "point_id", "object_class").agg(F.min("measured_m").alias("measured_m"))
-
+    """Measured clearance of a planting to each class its rules look at, if bounded as far as a species norm reaches.
 
+    A class is measured to the outer wall where one of its rules is; that is one row a planting and class, whatever the number of rules.
+    """
+    kinds = shared.strict_rules(t).groupBy("object_class", "planting_type").agg(F.max(F.col("measure_to") == "outer_wall").alias("_wall"))
+    near = shared.clearance(t, **({"reach": shared.species_reach(t)} if bounded else {}))
+    rows = near.join(t.points.select("site_id", "point_id", "planting_type"), ["site_id", "point_id"]).join(F.broadcast(kinds), ["object_class", "planting_type"])  # classes of the rule book
+    measured = F.round(F.when(F.col("_wall"), F.least("wall_m", "axis_m")).otherwise(F.col("axis_m")), 3)
+    return rows.select("site_id", "point_id", "object_class", measured.alias("measured_m")).where("measured_m is not null")
+
+
+HOURS = len(sun.shadow_hours())
+CONTEXT = f"""{effect.SHADE},
+shp as (select p.point_id, round(count(s.hour)/{HOURS}.0e0,3) as shade from points p left join sh s using(point_id) group by p.point_id),
+{effect.ZONED_IN},
+ter as (select p.point_id, case when bool_or(object_class='territory.protected_green') then 'protected_green' when bool_or(object_class='territory.natural') then 'natural' else 'profile' end as territory from points p left join zin z using(point_id) group by all),
+und as (select distinct p.point_id from points p join overhead_lines s on s.site_id=p.site_id join rules r on r.object_class='power_line_overhead' and r.planting_type=p.planting_type where greatest(0.0e0, {S.seg_dist()}-s.error_m) < r.min_distance_m-0.001e0),
+ctx as (select p.site_id, p.point_id, u.point_id is not null as under_line, shade, territory from points p left join und u using(point_id) left join shp using(point_id) left join ter using(point_id))"""
 BY_CLASS = f"""{S.FACTS},
 byc as (select site_id, point_id, object_class, min(measured_m) as measured_m from chk where measured_m is not null group by all)"""
 KIND = "case when mode in ('alley','existing_row') then 'row' when mode='groups' then 'group' else 'single' end"
@@ -78,43 +102,68 @@ dblock as (select p.point_id, r.species_no, min(r.rule_id) as drule from points
    join sp_rules r on r.object_class=b.object_class and r.planting_type=p.planting_type and r.severity='forbid'
    where b.measured_m+cast(0.000001 as double) < r.threshold group by all),
 saltd as (select point_id, min(measured_m) as salt_m from byc where object_class in ('road','curb') group by all),
-filt as (select p.site_id, p.point_id, p.planting_type, {KIND} as structure_kind, salt_m, p.species_no as own_no, n.*, coalesce('norm:'||norm_block, 'distance:'||drule,
-    case when hardiness_zone>4 then 'hardiness' end, case when salt=0 and salt_m<5 then 'salt' end) as reason
-  from points p join norms n on n.life_type=p.planting_type left join dblock d on d.point_id=p.point_id and d.species_no=n.species_no
+{CONTEXT},
+terr as (select * from (values ('profile', true), ('protected_green', false), ('natural', false)) v(territory, eased)),
+normst as (select n.* exclude (invasive_decision, norm_block), territory, case when invasive_group is null then null when invasive_group=3 and eased then 'conditional' else 'forbidden' end as invasive_decision,
+   case when invasive_group is not null and not (invasive_group=3 and eased) then 'invasive' when norm_block='invasive' then null else norm_block end as norm_block0 from norms n, terr),
+normt as (select * exclude (norm_block0), coalesce(norm_block0, case when invasive_decision='forbidden' then 'invasive' when category_mark='minus' then 'planting_category' when fluff and not male_clone then 'female_fluff' when fruit_litter then 'fruit_litter'
+   when allergen>=2 and not coalesce(category_mark in ('plus','limited'), false) then 'mass_allergen' end) as norm_block from normst),
+filt as (select p.site_id, p.point_id, p.planting_type, {KIND} as structure_kind, salt_m, p.species_no as own_no, x.under_line, x.shade, n.*, coalesce('norm:'||norm_block, 'distance:'||drule,
+    case when x.under_line and height_m>4 then 'overhead' end, case when hardiness_zone>4 then 'hardiness' end, case when light='sun' and x.shade>=0.5e0 then 'light' end, case when salt=0 and salt_m<5 then 'salt' end) as reason
+  from points p join ctx x on x.point_id=p.point_id join normt n on n.life_type=p.planting_type and n.territory=x.territory left join dblock d on d.point_id=p.point_id and d.species_no=n.species_no
   left join saltd on saltd.point_id=p.point_id)"""
+FILTER_USES = tuple(dict.fromkeys((*S.FACTS_USES, "species", "overhead_lines", "rects", "zone_edges", "road_edges")))
+
+
+def place_context(t: Tables):
+    """What lies over and around a planting besides distances: wires, shade of buildings, kind of territory, category of the place."""
+    points = t.points.select("site_id", "point_id", "planting_type", "x", "y")
+    wires = t.overhead_lines
+    rules = shared.strict_rules(t).where(F.col("object_class") == P.OVERHEAD)
+    reach = {P.OVERHEAD: max(r[3] for r in rulebook.distance_rule_rows() if r[1] == P.OVERHEAD)}
+    facts = R.checks(points, rules, R.nearest_clearance(points, wires, reach=reach), shared.presence(t))
+    under = P.under_lines(facts)
+    return (
+        t.points.select("site_id", "point_id").join(under, ["site_id", "point_id"], "left").withColumn("under_line", F.coalesce("under_line", F.lit(False)))
+        .join(effect.shade_share(t), ["site_id", "point_id"], "left").join(effect.territory_classify(t), ["site_id", "point_id"], "left")
+    )
 
 
-def filtered(t: Tables):
+def filter_inputs(t: Tables):
     kind = F.when(F.col("mode").isin("alley", "existing_row"), "row").when(F.col("mode") == "groups", "group").otherwise("single")
-    points = t.points.select(
-        "site_id", "point_id", "planting_type", F.col("species_no").alias("own_no"), "mode", kind.alias("structure_kind"),
-        F.lit(False).alias("under_line"), F.lit(None).cast("double").alias("shade"),
-    )
+    points = t.points.select("site_id", "point_id", "planting_type", F.col("species_no").alias("own_no"), "mode", kind.alias("structure_kind"))
+    placed = cut(points.join(place_context(t), ["site_id", "point_id"]), "context")
     rules = shared.species_rules(t).select("species_no", "object_class", "rule_id", "min_distance_m", "severity")
-    return P.hard_filter(points, by_class(t), checked_species(t), rules)
+    return placed, cut(by_class(t), "by-class"), cut(species_by_territory(t), "catalogue"), rules
+
+
+def filtered(t: Tables):
+    return P.hard_filter(*filter_inputs(t))
 
 
 @query(
-    "site_context", uses=S.FACTS_USES, extra=BY_CLASS,
-    sql="""select site_id, point_id, min(measured_m) filter (object_class='curb') as curb_m, min(measured_m) filter (object_class='building') as building_m,
+    "site_context", uses=tuple(dict.fromkeys((*S.FACTS_USES, "overhead_lines", "rects", "zone_edges", "road_edges"))), extra=f"{BY_CLASS},\n{CONTEXT},\n{effect.PLACE_AFTER_ZONES}",
+    sql=f"""select p.site_id, p.point_id, {KIND} as structure_kind, x.under_line, x.shade, x.territory, pl.place as category, min(measured_m) filter (object_class='curb') as curb_m, min(measured_m) filter (object_class='building') as building_m,
       min(measured_m) filter (object_class='utility.heat') as heat_m, min(measured_m) filter (object_class='utility.gas') as gas_m,
-      min(measured_m) filter (object_class='pole') as pole_m from points left join byc using(site_id, point_id) group by all""",
+      min(measured_m) filter (object_class='pole') as pole_m from points p join ctx x on x.point_id=p.point_id join plc pl on pl.point_id=p.point_id left join byc b on b.point_id=p.point_id group by all""",
 )
 def site_context(t):
-    """Per planting the smallest clearance to each class, however far; a planting that nothing was measured for has nulls."""
-    wide = t.points.select("site_id", "point_id").join(by_class(t, bounded=False), ["site_id", "point_id"], "left")
+    """Per planting the smallest clearance to each class, however far, its structure, and what lies over and around it."""
+    kind = F.when(F.col("mode").isin("alley", "existing_row"), "row").when(F.col("mode") == "groups", "group").otherwise("single")
+    wide = t.points.select("site_id", "point_id", kind.alias("structure_kind")).join(by_class(t, bounded=False), ["site_id", "point_id"], "left")
     names = {"curb": "curb_m", "building": "building_m", "utility.heat": "heat_m", "utility.gas": "gas_m", "pole": "pole_m"}
-    return wide.groupBy("site_id", "point_id").agg(
-        *[F.min(F.when(F.col("object_class") == c, F.col("measured_m"))).alias(n) for c, n in names.items()],
-    )
+    measured = wide.groupBy("site_id", "point_id", "structure_kind").agg(*[F.min(F.when(F.col("object_class") == c, F.col("measured_m"))).alias(n) for c, n in names.items()])
+    place = effect.place_classify_frame(t).withColumnRenamed("place", "category")
+    return measured.join(place_context(t), ["site_id", "point_id"]).join(place, ["site_id", "point_id"])
 
 
 @query(
-    "species_hard_filter", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "species_hard_filter", uses=FILTER_USES, extra=FILTERED,
     sql="select species_no, coalesce(reason,'admitted') as reason, count(*) as n_points from filt group by all",
 )
 def species_hard_filter(t):
-    return filtered(t).groupBy("species_no", F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count(F.lit(1)).alias("n_points"))
+    counts = P.filter_counts(*filter_inputs(t))
+    return counts.select("species_no", F.coalesce("reason", F.lit("admitted")).alias("reason"), F.col("n").alias("n_points"))
 
 
 SCORE = """((0.30e0*case when salt_m<5 then (compaction/2.0e0+(1.0e0-allergen/2.0e0)+salt/2.0e0+gas/2.0e0)/4.0e0 else (compaction/2.0e0+(1.0e0-allergen/2.0e0))/2.0e0 end
@@ -127,7 +176,7 @@ SCORE = """((0.30e0*case when salt_m<5 then (compaction/2.0e0+(1.0e0-allergen/2.
 
 
 @query(
-    "suitability_score", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "suitability_score", uses=FILTER_USES, extra=FILTERED,
     sql=f"select site_id, point_id, species_no, round({SCORE},4) as score, reason from filt where own_no=species_no",
 )
 def suitability_score(t):
@@ -136,7 +185,7 @@ def suitability_score(t):
 
 
 @query(
-    "condition_penalty", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "condition_penalty", uses=FILTER_USES, extra=FILTERED,
     sql=f"""with sc as (select site_id, point_id, species_no, round({SCORE},4) as score,
           cast(invasive_decision is not null and invasive_decision='conditional' as int)+cast(allergen>=2 as int) as marks from filt where reason is null and own_no=species_no)
         select site_id, point_id, species_no, cast(marks as int) as marks, round(greatest(cast(0 as double), score-cast(0.2 as double)*marks),4) as score from sc""",
@@ -152,7 +201,7 @@ def condition_penalty(t):
 
 
 @query(
-    "alternatives_topk", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "alternatives_topk", uses=FILTER_USES, extra=FILTERED,
     sql=f"""select site_id, point_id, cast(rn as int) as place, species_no, percent from (
         select site_id, point_id, species_no, round(100*round({SCORE},4),0) as percent, row_number() over (partition by site_id, point_id order by round({SCORE},4) desc, species_no) as rn
         from filt where reason is null and species_no<>own_no) where rn<=3""",
@@ -164,7 +213,7 @@ def alternatives_topk(t):
 
 
 @query(
-    "single_species_mode", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "single_species_mode", uses=FILTER_USES, extra=FILTERED,
     sql=f"""select site_id, count(*) filter (reason is null) as admitted, count(*) filter (reason is not null) as rejected,
       round(avg(round({SCORE},4)) filter (reason is null),3) as mean_score from filt where species_no=0 group by all""",
 )
@@ -190,7 +239,7 @@ def assignment_conditions(t):
 
 
 @query(
-    "reassess_species", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "reassess_species", uses=FILTER_USES, extra=FILTERED,
     sql=f"""select site_id, coalesce(reason,'kept') as reason, count(*) as n, round(sum(round({SCORE},4)),2) as score from filt where own_no=species_no group by all""",
 )
 def reassess_species(t):
@@ -271,7 +320,7 @@ def trim_to_quotas(t):
 
 
 @query(
-    "quota_adapt", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "quota_adapt", uses=FILTER_USES, extra=FILTERED,
     sql="""with per as (select point_id, count(distinct species_no) as a, count(distinct genus) as b, count(distinct family) as c from filt where reason is null group by all),
       long as (select 'species' as level, cast(0.4 as double) as share, a as n from per union all select 'genus', cast(0.5 as double), b from per union all select 'family', cast(0.7 as double), c from per),
       med as (select level, share, list_sort(list(n)) as l from long group by all)
@@ -413,7 +462,7 @@ def composition_refresh(t):
 
 
 @query(
-    "drop_unplanted", uses=(*S.FACTS_USES, "species"), extra=FILTERED,
+    "drop_unplanted", uses=FILTER_USES, extra=FILTERED,
     sql="""with best as (select site_id, point_id, count(*) filter (reason is null) as ok, min(reason) as why from filt group by all)
       select site_id, case when ok>0 then 'planted' else why end as outcome, count(*) as n from best group by all""",
 )
