@@ -210,8 +210,10 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]
     """``docs`` with each span, overlapping ones together, replaced by ``mark`` and n_chars counted again; all rows and columns stay."""
     spans = secret_spans(docs, rules).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("own_spans"))
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "own_spans")
-    text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("span_id")) & (F.xxhash64(text) == F.col("span_hash")), "left")
+    # The document is one column until the end, so that no column of its own can be mistaken for one of these.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+    text = F.coalesce(F.col("document.text"), F.lit(""))
+    joined = whole.join(spans, F.col("document.doc_id").cast("long").eqNullSafe(F.col("span_id")) & (F.xxhash64(text) == F.col("span_hash")), "left")
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
         .otherwise(acc["out"]).alias("out"), s["end"].alias("at"),
@@ -220,10 +222,11 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.char_length(text)))
     new = F.aggregate("own_spans", start, step, rest)
     hit = F.col("own_spans").isNotNull()
-    out = joined.select(*docs.columns, F.when(hit, new).otherwise(docs["text"]).alias("new_text"), hit.alias("was_hit"))
+    out = joined.select("document", F.when(hit, new).otherwise(F.col("document.text")).alias("new_text"), hit.alias("was_hit"))
+    old = lambda c: F.col("document").getField(c)
     return out.select(*(
         F.col("new_text").alias(c) if c == "text"
-        else F.when(F.col("was_hit"), F.char_length("new_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+        else F.when(F.col("was_hit"), F.char_length("new_text")).otherwise(old(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else old(c).alias(c)
         for c in docs.columns
     ))
 

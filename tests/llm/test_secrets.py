@@ -109,3 +109,11 @@ def test_keys_equal_checking_sql(spark):
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
     assert sorted(con.execute(s.checking_sql()).fetchall()) == sorted(tuple(r) for r in s.scan(docs(spark, rows)).collect())
+
+
+def test_redact_beside_columns_of_any_name(spark):
+    names = "doc_id long, text string, n_chars long, new_text string, own_spans string, span_id int, span_hash string, was_hit string, document string, `a.b` int"
+    frame = spark.createDataFrame([(1, "password=hunter22", 17, "n", "o", 3, "h", "w", "d", 5), (2, None, 0, None, None, None, None, None, None, None)], names)
+    got = sorted(map(tuple, s.redact(frame).collect()))
+    assert got == [(1, "[SECRET]", 8, "n", "o", 3, "h", "w", "d", 5), (2, None, 0, None, None, None, None, None, None, None)]
+    assert s.redact(frame).dtypes == frame.dtypes
