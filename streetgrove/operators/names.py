@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetgrove.functions import vocabulary
+from streetgrove.operators import spatial
 from streetgrove.session import cut
 
 # Fixed values.
@@ -277,7 +278,7 @@ def trigrams(names: DataFrame, name: str = "name") -> DataFrame:
     return rows.select(name, grams.alias("gram")).groupBy(name, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_names(queries: DataFrame, training: DataFrame, *, k: int = NEIGHBOURS) -> DataFrame:
+def nearest_names(queries: DataFrame, training: DataFrame, *, k: int = NEIGHBOURS, hot_rows: int = spatial.HOT_ROWS) -> DataFrame:
     """Class by the five most similar training names (trigram cosine) over an inverted index.
 
     ``queries(name)``, ``training(name, object_class)``; names with fewer than three letters are
@@ -291,8 +292,9 @@ def nearest_names(queries: DataFrame, training: DataFrame, *, k: int = NEIGHBOUR
     q, t = cut(trigrams(lettered), "grams"), cut(trigrams(training.select("name").distinct()), "grams")
     qn = q.groupBy("name").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("qn"))
     tn = t.groupBy("name").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("tn"))
-    dots = q.alias("q").join(t.alias("t"), F.col("q.gram") == F.col("t.gram")).groupBy(F.col("q.name").alias("name"), F.col("t.name").alias("near")).agg(
-        F.sum(F.col("q.n") * F.col("t.n")).alias("dot"))
+    # A trigram that half of all names share is dealt over salts, as a hot cell is.
+    asked, known, on = spatial.split_hot(q, t.select(F.col("name").alias("near"), "gram", F.col("n").alias("m")), ["gram"], ["name"], hot_rows)
+    dots = asked.join(known, on).groupBy("name", "near").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     scored = dots.join(qn, "name").join(tn.withColumnRenamed("name", "near"), "near").withColumn("similarity", F.round(F.col("dot") / (F.col("qn") * F.col("tn")), 9))
     best = scan.top_k(scored, k, by=("name",), order=(F.desc("similarity"), F.col("near")))
     votes = best.join(training.withColumnRenamed("name", "near"), "near").groupBy("name", "object_class").agg(F.sum("similarity").alias("votes"), F.max("similarity").alias("top"))

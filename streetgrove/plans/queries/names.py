@@ -36,14 +36,19 @@ fb as (select d.feature_id, d.site_id, d.layer, d.block, d.kind, d.error_m, d.si
   from drawn d join dec e using(layer, block, kind))"""
 
 
-def decided(t: Tables):
+#: What the layer's name alone says; a model of names learns from that, a block would teach it nothing.
+LAYER_RULES = tuple(r for r in RULES if r[1] == "layer")
+BY_LAYER = DECIDED.replace(RULES_SQL, rulebook.sql_values("lr", "pattern, target, geometry, cls, priority", [tuple(r) for r in LAYER_RULES]))
+
+
+def decided(t: Tables, rules=RULES):
     """Distinct names are judged once and joined back."""
-    return cut(N.rule_decisions(t.drawn.select("layer", "block", "kind"), RULES), "decided")
+    return cut(N.rule_decisions(t.drawn.select("layer", "block", "kind"), rules), "decided")
 
 
-def classified(t: Tables):
+def classified(t: Tables, rules=RULES):
     cls, method = N.geometry_fallback()
-    rows = t.drawn.join(decided(t), ["layer", "block", "kind"])
+    rows = t.drawn.join(decided(t, rules), ["layer", "block", "kind"])
     silent = F.col("method") == "unmatched"
     return rows.withColumn("_c", F.when(silent, cls).otherwise(F.col("object_class"))).withColumn("_m", F.when(silent, method).otherwise(F.col("method"))).drop(
         "object_class", "method").withColumnRenamed("_c", "object_class").withColumnRenamed("_m", "method")
@@ -222,7 +227,7 @@ GRAMS = """{p}0 as (select distinct {n} as name, ' '||trim(regexp_replace(regexp
 
 @query(
     "name_model_knn", uses=("drawn",),
-    extra=DECIDED + f""",
+    extra=BY_LAYER + f""",
   loc as (select distinct {LOCAL_LAYER} as name, object_class, method from fb),
   tr as (select name, min(object_class) as object_class from loc where method='name_rule' group by all having count(distinct object_class)=1),
   qs as (select distinct name||' '||upper(substring(name,1,2)) as name from loc),
@@ -237,18 +242,18 @@ GRAMS = """{p}0 as (select distinct {n} as name, ' '||trim(regexp_replace(regexp
 )
 def name_model_knn(t):
     """Names judged by their most similar rule-decided names."""
-    named = classified(t).select(N.local_name(F.col("layer")).alias("name"), "object_class", "method").distinct()
+    named = t.drawn.select(N.local_name(F.col("layer")).alias("name")).distinct()
     return N.nearest_names(named.select(F.concat_ws(" ", "name", F.upper(F.substring("name", 1, 2))).alias("name")).distinct(), training(t))
 
 
 def training(t: Tables):
-    named = classified(t).where(F.col("method") == "name_rule").groupBy(N.local_name(F.col("layer")).alias("name")).agg(
+    named = classified(t, LAYER_RULES).where(F.col("method") == "name_rule").groupBy(N.local_name(F.col("layer")).alias("name")).agg(
         F.min("object_class").alias("object_class"), F.max("object_class").alias("_max"))
     return named.where(F.col("object_class") == F.col("_max")).select("name", "object_class")
 
 
 @query(
-    "name_training_collect", uses=("drawn",), extra=DECIDED,
+    "name_training_collect", uses=("drawn",), extra=BY_LAYER,
     sql=f"select {LOCAL_LAYER} as name, min(object_class) as object_class from fb where method='name_rule' group by 1 having count(distinct object_class)=1",
 )
 def name_training_collect(t):

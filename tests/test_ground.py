@@ -146,3 +146,39 @@ def test_parts_by_most_labels_and_lawns_by_the_nearest(spark, ground):
         near = min((math.sqrt((x - c) ** 2 + (y - r) ** 2), i, w) for s, i, r, c, w in said if s == face[0])[2]
         want.append((face[0], float(len(own)), "lawn" if "lawn" in here else "bed" if here else near, "label" if here else "nearest"))
     assert got == sorted(want)
+
+
+def test_nearest_names_equal_all_pairs(spark):
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = ["газопровод", "газон", "кабель связи", "колодец", "тротуар", "сеть", "новый", "сущ"]
+    training = sorted({f"{rng.choice(words)} {rng.choice(words)} {rng.randint(1, 3)}" for _ in range(60)})
+    known = [(n, "utility.gas" if "газопр" in n else "sidewalk" if "трот" in n else "pole") for n in training]
+    asked = sorted({f"{n[:-2]}ы {rng.choice(words)[:3]}" for n in training} | {"ab", "12 34", "газопровод"})
+
+    def grams(name):
+        import re
+
+        text = " " + re.sub(r"[\s_\-.|$]+", " ", re.sub(r"\d+", "#", name.lower().replace("ё", "е"))).strip() + " "
+        return Counter(text[i:i + 3] for i in range(len(text) - 2))
+
+    norm = lambda g: math.sqrt(sum(n * n for n in g.values()))
+    want = {}
+    for name in asked:
+        if sum(c.isalpha() for c in name) < 3:
+            continue
+        a = grams(name)
+        scored = sorted((-round(sum(a[g] * n for g, n in grams(k).items()) / (norm(a) * norm(grams(k))), 9), k, c) for k, c in known if set(a) & set(grams(k)))[:5]
+        votes = Counter()
+        for s, _, c in scored:
+            votes[c] += -s
+        if scored:
+            top, cls = max((v, c) for c, v in votes.items())
+            best = max(-s for s, _, c in scored)
+            if best >= 0.6 and top / sum(votes.values()) >= 0.7:
+                want[name] = (cls, round(top / sum(votes.values()), 4), round(best, 4))
+    queries = spark.createDataFrame([(n,) for n in asked], "name string")
+    for hot in (3, 200_000):
+        got = {r.name: (r.object_class, r.share, r.similarity) for r in N.nearest_names(queries, spark.createDataFrame(known, "name string, object_class string"), hot_rows=hot).collect()}
+        assert got == want and len(got) > 5
