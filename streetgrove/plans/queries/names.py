@@ -10,6 +10,7 @@ from streetgrove.operators import scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans.registry import Tables, query
 from streetgrove.session import cut
+from streetgrove.sources import sinks
 
 # Rules of the fixture: pattern, target, geometry, class, priority.
 RULES = (
@@ -174,9 +175,10 @@ def layer_coverage_report(t):
 
 @query("layers_report_sink", uses=("drawn",), extra=DECIDED, sql="""select layer, count(*) as features, count(distinct object_class) as classes, string_agg(distinct object_class, ',' order by object_class) as listed from fb group by all""")
 def layers_report_sink(t):
-    """Layer coverage as written to the report file."""
-    return classified(t).groupBy("layer").agg(
+    """Layer coverage, written as JSON lines."""
+    rows = classified(t).groupBy("layer").agg(
         F.count(F.lit(1)).alias("features"), F.countDistinct("object_class").alias("classes"), F.array_join(F.sort_array(F.collect_set("object_class")), ",").alias("listed"))  # classes are a closed list
+    return sinks.written(rows, "layers", "json", None)
 
 
 REVIEW = "case when object_class in ('unknown','utility.unknown') then 'class_unknown' when split_part(method,':',1)='assumed_geometry' then 'geometry_only' end"

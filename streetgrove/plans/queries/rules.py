@@ -10,6 +10,7 @@ from streetgrove.operators import spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans import shared
 from streetgrove.plans.registry import query
+from streetgrove.sources import sinks
 
 
 @query(
@@ -267,7 +268,7 @@ def audit_totals(t):
 )
 def audit_rows_sink(t):
     kind = F.when((F.col("outcome") == "fail") & (F.col("severity") == "forbid"), "violation").when(F.col("outcome") == "fail", "approval").otherwise(F.col("outcome"))
-    return shared.audit_facts(t).where(F.col("outcome") != "pass").select(
+    return sinks.written(shared.audit_facts(t).where(F.col("outcome") != "pass").select(
         "site_id", "point_id", "rule_id", kind.alias("kind"), "threshold_m", "measured_m",
         F.round(F.col("threshold_m") - F.col("measured_m"), 3).alias("lacking_m"), "nearest_id",
-    )
+    ), "audit-rows", "csv")

@@ -10,7 +10,7 @@ from streetgrove.operators import graph, scan, spatial
 from streetgrove.plans import checksql as S
 from streetgrove.plans.queries.names import DECIDED, classified
 from streetgrove.plans.registry import Tables, query
-from streetgrove.sources import geojson, ingest
+from streetgrove.sources import geojson, ingest, sinks
 
 
 @query(
@@ -67,8 +67,8 @@ def geojson_layer_scan(t):
     sql="""select feature_id, '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[['||x||','||y||'],['||(x+w)||','||y||'],['||(x+w)||','||(y+d)||'],['||x||','||(y+d)||'],['||x||','||y||']]]},"properties":{"class":"'||object_class||'"}}' as text from zones""",
 )
 def zones_geojson_sink(t):
-    """Plan areas as GeoJSON lines in drawing metres."""
-    return t.zones.select("feature_id", geojson.feature_text(ring(), F.struct(F.col("object_class").alias("class"))).alias("text"))
+    """Plan areas as GeoJSON features in drawing metres, a line of JSON each, written beside their number."""
+    return sinks.written(t.zones.select("feature_id", geojson.feature_text(ring(), F.struct(F.col("object_class").alias("class"))).alias("text")), "zones", "json", None)
 
 
 CRS = """lay as (select c_nationkey as layer, case when c_nationkey%3=0 then 37.0e0+(c_custkey%1000)/5000.0e0 when c_nationkey%3=1 then cast(c_custkey as double) else 37.0e0+(c_custkey%1000)/100.0e0 end as x,
