@@ -320,17 +320,19 @@ def geometry_error_reserve(t):
 @query(
     "read_accounting",
     sql="""with v as (select l_orderkey*10+l_linenumber as ref, l_returnflag as type, l_linestatus as layer, case when l_linenumber<=3 then 'read' when l_linenumber<=5 then 'annotation' else 'gap' end as outcome, l_linenumber as reason, l_orderkey from lineitem),
-       r as (select *, row_number() over (partition by type, layer, outcome, reason order by ref, l_orderkey) as rn from v)
-       select type, layer, outcome, reason, count(*) as n, list_sort(list(ref) filter (rn<=5)) as examples, count(*)/cast((select count(*) from v) as double)>0 as counted from r group by all""",
+       r as (select *, row_number() over (partition by type, layer, outcome, reason order by ref, l_orderkey) as rn from v),
+       seen as (select type, layer, count(distinct ref) as seen, count(*) as outcomes from v group by all)
+       select type, layer, outcome, reason, count(*) as n, list_sort(list(ref) filter (rn<=5)) as examples, any_value(seen)=any_value(outcomes) as counted from r join seen using(type, layer) group by all""",
 )
 def read_accounting(t):
-    """Every visited primitive has one outcome; gaps are grouped with a few examples each."""
+    """Outcomes of the visited primitives, gaps grouped with a few examples each; ``counted`` where a layer has as many outcomes as primitives."""
     outcome = F.when(F.col("l_linenumber") <= 3, "read").when(F.col("l_linenumber") <= 5, "annotation").otherwise("gap")
     visited = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("layer"), outcome.alias("outcome"), F.col("l_linenumber").alias("reason"))
     keys = ["type", "layer", "outcome", "reason"]
     counts = visited.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     firsts = scan.top_k(visited, 5, by=keys, order=(F.col("ref"),)).groupBy(*keys).agg(F.sort_array(F.collect_list("ref")).alias("examples"))
-    return counts.join(firsts, keys).withColumn("counted", F.col("n") > 0)
+    seen = visited.groupBy("type", "layer").agg((F.countDistinct("ref") == F.count(F.lit(1))).alias("counted"))
+    return counts.join(firsts, keys).join(seen, ["type", "layer"])
 
 
 INK = f"""smp as (select site_id, feature_id, k, len/n as w, x+case when vertical=0 then len*((k+0.5e0)/n) else 0.0e0 end as x, y+case when vertical=1 then len*((k+0.5e0)/n) else 0.0e0 end as y
