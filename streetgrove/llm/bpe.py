@@ -26,14 +26,14 @@ from streetgrove.llm.common import slices, texts
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens or stretches remembered by a worker before it forgets all of them.
-MEMORY = 600_000
+MEMORY = 250_000
 #: Code points of the longest stretch that is remembered.
 LONGEST = 48
 #: Before it every letter of Unicode is old enough for all tables to agree on it.
 LATIN_END = "\u0250"
 MARKS = frozenset(".,;:!?)\"'-")
 #: UTF-8 bytes of text whose pre-tokens are merged together.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 
 
 def byte_chars() -> list[str]:
