@@ -37,7 +37,7 @@ fb as (select d.feature_id, d.site_id, d.layer, d.block, d.kind, d.error_m, d.si
   from drawn d join dec e using(layer, block, kind))"""
 
 
-#: What the layer's name alone says; a model of names learns from that, a block would teach it nothing.
+#: What the layer's name alone says.
 LAYER_RULES = tuple(r for r in RULES if r[1] == "layer")
 BY_LAYER = DECIDED.replace(RULES_SQL, rulebook.sql_values("lr", "pattern, target, geometry, cls, priority", [tuple(r) for r in LAYER_RULES]))
 
@@ -227,10 +227,14 @@ GRAMS = """{p}0 as (select distinct {n} as name, ' '||trim(regexp_replace(regexp
 {p}n as (select name, sqrt(sum(n*n)) as norm from {p}g group by all)"""
 
 
+#: A name as the model reads it: the layer's local name and the block's name without numbers.
+NAME_KEY = f"{LOCAL_LAYER}||' '||regexp_replace({LOCAL_BLOCK}, '(_[0-9]+)+$', '')"
+
+
 @query(
     "name_model_knn", uses=("drawn",),
-    extra=BY_LAYER + f""",
-  loc as (select distinct {LOCAL_LAYER} as name, object_class, method from fb),
+    extra=DECIDED + f""",
+  loc as (select distinct {NAME_KEY} as name, object_class, method from fb),
   tr as (select name, min(object_class) as object_class from loc where method='name_rule' group by all having count(distinct object_class)=1),
   qs as (select distinct name||' '||upper(substring(name,1,2)) as name from loc),
   {GRAMS.replace('{p}', 'q').replace('{n}', 'name').replace('{s}', 'qs')},
@@ -243,9 +247,12 @@ GRAMS = """{p}0 as (select distinct {n} as name, ' '||trim(regexp_replace(regexp
     sql="""select name, w[2] as object_class, round(w[1]/total,4) as share, round(best,4) as similarity from ag where best>=0.6e0 and w[1]/total>=0.7e0 and w[2] not in ('ignore','lawn','work_boundary','contour','unknown')""",
 )
 def name_model_knn(t):
-    """Names judged by their most similar rule-decided names."""
-    named = t.drawn.select(N.local_name(F.col("layer")).alias("name")).distinct()
-    return N.nearest_names(named.select(F.concat_ws(" ", "name", F.upper(F.substring("name", 1, 2))).alias("name")).distinct(), training(t))
+    """Names judged by their most similar rule-decided names, whatever rule decided them."""
+    key = F.concat(N.local_name(F.col("layer")), F.lit(" "), N.base_name(F.col("block")))
+    named = t.drawn.select(key.alias("name")).distinct()
+    decided_ = classified(t).where(F.col("method") == "name_rule").groupBy(key.alias("name")).agg(F.min("object_class").alias("object_class"), F.max("object_class").alias("_max"))
+    known = decided_.where(F.col("object_class") == F.col("_max")).select("name", "object_class")
+    return N.nearest_names(named.select(F.concat_ws(" ", "name", F.upper(F.substring("name", 1, 2))).alias("name")).distinct(), known)
 
 
 def training(t: Tables):

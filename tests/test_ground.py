@@ -182,3 +182,12 @@ def test_nearest_names_equal_all_pairs(spark):
     for hot in (3, 200_000):
         got = {r.name: (r.object_class, r.share, r.similarity) for r in N.nearest_names(queries, spark.createDataFrame(known, "name string, object_class string"), hot_rows=hot).collect()}
         assert got == want and len(got) > 5
+
+
+def test_names_decided_by_their_block_teach_the_model(spark, tmp_path):
+    from streetgrove.plans import catalog
+
+    rows = [(k, f"plain strip{'x' * k}", "Brand#11", 2, "T") for k in range(1, 4)] + [(9, "plain strip gizmo", "Brand#55", 3, "T")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.name: r.object_class for r in catalog.QUERIES["name_model_knn"](spark, str(tmp_path)).collect()}
+    assert got.get("plain stripx Brand#11 PL") == "pole" and "lawn" not in got.values()
