@@ -138,3 +138,64 @@ def test_a_planting_without_a_place_has_no_data_for_its_norms(spark):
         facts = R.checks(points, book, clearance, presence)
         assert {r.point_id: r.outcome for r in facts.collect()} == {1: "pass", 2: "no_data"}
         assert {r.point_id: r.verdict for r in R.verdicts(facts).collect()} == {1: "allowed", 2: "needs_approval"}
+
+
+@pytest.mark.parametrize("span", [6.0, 60.0])
+def test_crowded_classes_are_met_in_narrow_rings(spark, span, monkeypatch):
+    """A hundred objects and more near a point: each ring meets a few, and values and ids are those of all pairs."""
+    rng = random.Random(int(span))
+    points = [(0, k, rng.uniform(0, span), rng.uniform(0, span)) for k in range(60)] + [(0, 7, 1.0, 1.0), (0, 99, None, 1.0)]
+    rows = []
+    for k in range(400):
+        x, y, far = rng.uniform(0, span), rng.uniform(0, span), rng.uniform(-3, 3)
+        rows.append((0, 1000 - k, "curb" if k % 8 else "fence", x, y, x + far, y + rng.uniform(-3, 3), 0.0 if k % 3 else 0.05, 0.4 if k % 2 else None))
+    rows += [(0, 2000 + i, *r[2:]) for i, r in enumerate(rows[:20])] + [(0, 5, "pole", span + 80.0, 0.0, span + 80.0, 1.0, 0.0, 0.0)]
+    segments = spark.createDataFrame(rows, "site_id long, feature_id long, object_class string, x1 double, y1 double, x2 double, y2 double, error_m double, diameter_m double")
+    frame = spark.createDataFrame(points, POINT)
+    narrow = [({"curb": 0.2, "fence": 0.5, "pole": 0.9}, 1.0), ({"curb": 0.5, "fence": 1.25, "pole": 1.0}, 2.5)]
+    dense = spatial.crowded_radii(frame.where("x is not null"), segments.unionAll(segments.crossJoin(spark.range(200).select())), {"curb": 20.0, "fence": 20.0, "pole": 1.0})
+    assert len(dense) == 2 and dense[0][0]["curb"] < dense[1][0]["curb"] < 20.0
+    monkeypatch.setattr(spatial, "crowded_radii", lambda *a, **k: narrow)
+    for reach in (None, {"curb": 2.0, "fence": 4.0, "pole": 1.0}):
+        got = sorted((r.point_id, r.object_class, r.axis_m, r.axis_id, r.wall_m, r.wall_id) for r in R.nearest_clearance(frame, segments, reach=reach).collect() if r.axis_m is not None)
+        want, asked = [], [p for p in points if p[2] is not None]
+        for cls in ("curb", "fence", "pole"):
+            for p in asked if reach is None else {q[1]: q for q in asked}.values():
+                twins = [q for q in asked if q[1] == p[1]]
+                near = [(distance(q, r), r) for q in twins for r in rows if r[2] == cls]
+                near = [(d, r) for d, r in near if reach is None or d <= reach[cls] + r[7] + (r[8] or 0.0) / 2]
+                if near:
+                    a = min((max(0.0, d - r[7]), r[1]) for d, r in near)
+                    w = min((max(0.0, d - r[7] - (r[8] or 0.0) / 2), r[1]) for d, r in near)
+                    want.append((p[1], cls, *a, *w))
+        assert [(g[0], g[1], g[3], g[5]) for g in got] == [(w[0], w[1], w[3], w[5]) for w in sorted(want)]
+        assert all(abs(g[2] - w[2]) < 1e-9 and abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, sorted(want), strict=True))
+
+
+def distance(p, r):
+    (x, y), (x1, y1, x2, y2) = p[2:4], r[3:7]
+    dx, dy = x2 - x1, y2 - y1
+    t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+    return math.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
+
+
+def test_areas_over_one_another_are_not_listed_a_point(spark):
+    rng = random.Random(4)
+    points = [(k % 2, k, rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(400)] + [(0, 900, None, 1.0), (0, 2, 50.0, 50.0)]
+    boxes = [(k % 2, k, ("a", "b", "c")[k % 3], rng.uniform(-20, 80), rng.uniform(-20, 80), rng.uniform(5, 80), rng.uniform(5, 80)) for k in range(120)]
+    boxes += [boxes[7], (0, 8, boxes[8][2], 10.0, 10.0, 30.0, 30.0)]  # drawn twice; a second ring of one area is a hole where they overlap
+    edges = []
+    for s, f, c, x, y, w, d in boxes:
+        ring = [(x, y), (x + w, y), (x + w, y + d), (x, y + d), (x, y)]
+        edges += [(s, f, c, *a, *b) for a, b in zip(ring, ring[1:], strict=False)]
+    edges += [(0, 500, "c", 5.0, 0.0, 5.0, 90.0), (0, 501, "c", None, 0.0, 5.0, 9.0)]  # do not close
+    rings = spark.createDataFrame(edges, "site_id long, feature_id long, object_class string, x1 double, y1 double, x2 double, y2 double")
+    frame = spark.createDataFrame(points, POINT)
+    want = {(r.site_id, r.point_id, r.object_class): r.f for r in spatial.contained(frame, rings, point_key=("point_id",), area_key=("feature_id", "object_class")).groupBy(
+        "site_id", "point_id", "object_class").agg(F.min("feature_id").alias("f")).collect()}
+    for many in (0.0, 1e9):
+        rows = spatial.lowest_areas(frame, rings, many=many).collect()
+        assert {(r.site_id, r.point_id, r.object_class): r.feature_id for r in rows} == want and len(rows) == len(want)
+    held = {k for k in want if k[1] < 900 and k[1] != 2}
+    inside = {(p[0], p[1], b[2]) for p in points[:400] for b in boxes if p[1] != 2 and b[1] not in (7, 8) and b[0] == p[0] and b[3] < p[2] < b[3] + b[5] and b[4] < p[3] < b[4] + b[6]}
+    assert inside <= held
