@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streetgrove.operators import graph
 from streetgrove.operators import quality as Q
 from streetgrove.operators import rules as R
-from streetgrove.operators import spatial
+from streetgrove.operators import spatial, tiles
 
 POINT = "site_id long, point_id long, x double, y double"
 
@@ -199,3 +199,33 @@ def test_areas_over_one_another_are_not_listed_a_point(spark):
     held = {k for k in want if k[1] < 900 and k[1] != 2}
     inside = {(p[0], p[1], b[2]) for p in points[:400] for b in boxes if p[1] != 2 and b[1] not in (7, 8) and b[0] == p[0] and b[3] < p[2] < b[3] + b[5] and b[4] < p[3] < b[4] + b[6]}
     assert inside <= held
+
+
+def test_nearest_clearance_searches_a_dense_site_once(spark, monkeypatch):
+    """Points and segments meet once in tiles, hot ones dealt to several groups; no pairs of a ring are joined, and values and ids are those of all pairs."""
+    rng = random.Random(5)
+    points = [(s, s * 1000 + k, rng.uniform(0, 90), rng.uniform(0, 90)) for s in (1, 2) for k in range(150)]
+    rows = []
+    for k in range(1500):
+        x, y, far = rng.uniform(-5, 95), rng.uniform(-5, 95), rng.choice((0.0, 9.0, -9.0))
+        rows.append((1 + k % 2, 5000 - k // 2 * 2, "curb" if k % 3 else "fence", x, y, x + far, y + (0.0 if far else 9.0), 0.01 if k % 5 else None, 0.4 if k % 7 else None))
+    segments = spark.createDataFrame(rows, "site_id long, feature_id long, object_class string, x1 double, y1 double, x2 double, y2 double, error_m double, diameter_m double")
+    monkeypatch.setattr(tiles, "HOT_POINTS", 20)
+    monkeypatch.setattr(tiles, "TILE_POINTS", 60)
+    monkeypatch.setattr(tiles, "PAIRS", 50)
+    joined = []
+    whole = spatial.near_segments
+    monkeypatch.setattr(spatial, "near_segments", lambda *a, **k: joined.append(1) or whole(*a, **k))
+    for reach in (None, {"curb": 3.0, "fence": 1.0}):
+        got = {(r.point_id, r.object_class): (r.axis_m, r.axis_id, r.wall_m, r.wall_id) for r in R.nearest_clearance(spark.createDataFrame(points, POINT), segments, reach=reach).collect()}
+        want = {}
+        for p in points:
+            for cls in ("curb", "fence"):
+                near = [(distance(p, r), r[7] or 0.0, (r[8] or 0.0) / 2, r[1]) for r in rows if r[0] == p[0] and r[2] == cls]
+                near = [n for n in near if reach is None or n[0] <= reach[cls] + n[1] + n[2]]
+                if near:
+                    want[p[1], cls] = (*min((max(0.0, d - e), i) for d, e, _, i in near), *min((max(0.0, d - e - h), i) for d, e, h, i in near))
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][i] - want[k][i]) < 1e-9 and got[k][i + 1] == want[k][i + 1] for k in got for i in (0, 2))
+        assert reach is None or not joined
+        joined.clear()
