@@ -2,15 +2,18 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from streetgrove.functions import likeness
 from streetgrove.operators import graph
 from streetgrove.operators import quality as Q
 from streetgrove.operators import rules as R
 from streetgrove.operators import spatial, tiles
+from streetgrove.plans.queries import selection
 
 POINT = "site_id long, point_id long, x double, y double"
 
@@ -229,3 +232,25 @@ def test_nearest_clearance_searches_a_dense_site_once(spark, monkeypatch):
         assert all(abs(got[k][i] - want[k][i]) < 1e-9 and got[k][i + 1] == want[k][i + 1] for k in got for i in (0, 2))
         assert reach is None or not joined
         joined.clear()
+
+
+def test_likeness_lists_no_pairs_within_its_cap(spark, monkeypatch):
+    """The nearest object of each class decides; the objects within 40 m of a place are never listed."""
+    rng = random.Random(8)
+    points = [(1, k, rng.uniform(0, 60), rng.uniform(0, 60)) for k in range(40)]
+    rows = []
+    for k in range(600):
+        x, y = rng.uniform(0, 60), rng.uniform(0, 60)
+        rows.append((1, k, ("curb", "fence", "pole")[k % 3], x, y, x + rng.uniform(0, 4), y, 0.5, 0.4))
+    tables = SimpleNamespace(
+        spark=spark, points=spark.createDataFrame(points, POINT),
+        segments=spark.createDataFrame(rows, "site_id long, feature_id long, object_class string, x1 double, y1 double, x2 double, y2 double, error_m double, diameter_m double"))
+    monkeypatch.setattr(spatial, "near_segments", lambda *a, **k: pytest.fail("pairs are listed"))
+    got = {r.point_id: r.likeness for r in selection.likeness_score(tables).collect()}
+    bins = likeness.rows()
+    for p in points:
+        logit = likeness.INTERCEPT
+        for cls, terms in likeness.TERMS.items():
+            d = min((distance(p, r) for r in rows if r[2] == cls), default=likeness.CAP_M + 1)
+            logit += next((w for c, low, high, w in bins if c == cls and low <= d < high), terms[-1]) if d <= likeness.CAP_M else terms[-1]
+        assert abs(got[p[1]] - 1 / (1 + math.exp(-logit))) <= 1e-5
