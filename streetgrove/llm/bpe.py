@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,8 +26,10 @@ from streetgrove.llm.common import slices, texts
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens or stretches remembered by a worker before it forgets all of them.
-MEMORY = 250_000
+#: Counts of distinct stretches remembered by a worker before it forgets all of them.
+MEMORY = 400_000
+#: Distinct pre-tokens whose ids and bytes are remembered.
+ENCODED = 250_000
 #: Code points of the longest stretch that is remembered.
 LONGEST = 48
 #: Before it every letter of Unicode is old enough for all tables to agree on it.
@@ -34,6 +37,8 @@ LATIN_END = "\u0250"
 MARKS = frozenset(".,;:!?)\"'-")
 #: UTF-8 bytes of text whose pre-tokens are merged together.
 CHUNK = 6 << 20
+#: The same where texts are only counted: their words stay in Arrow.
+COUNTED_CHUNK = 10 << 20
 
 
 def byte_chars() -> list[str]:
@@ -144,19 +149,9 @@ class Stretches:
         self.whole = len(self.pieces)
         self.blank = blanks()
 
-    def divide(self, words: list[str]) -> list[str]:
-        """Words between spaces, put together where a space is not before a non-space."""
-        out = [words[0]]
-        for word in words[1:]:
-            if word and word[0] not in self.blank:
-                out.append(word)
-            else:
-                out[-1] += " " + word
-        return out
-
     def learn(self, stretches: list[str], plain: list[str]) -> tuple[list[int], list[int]]:
         """Counts of ``stretches`` as they stand in the text, and of ``plain``, a space and letters each; all merged in one call."""
-        if len(self.pieces) > self.whole + MEMORY:
+        if len(self.pieces) > self.whole + MEMORY // 2:
             self.pieces = dict(list(self.pieces.items())[: self.whole])
         known = self.pieces
         cut = [self.v.pieces.findall(s) for s in stretches]
@@ -168,38 +163,67 @@ class Stretches:
         totals = [sum([known[p] if p in known else found[p] for p in pieces]) for pieces in cut]
         return totals, [found[s] if s in found else known[s] for s in plain]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of every text; a special string is one."""
+    def divide(self, parts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct stretches, the stretch at every place, where each part begins): words between spaces, put together where a space is not before a non-space."""
+        split = pc.split_pattern(parts, " ")
+        begins, words = split.offsets.to_numpy()[:-1].astype(np.int64), split.flatten().dictionary_encode()
+        known, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        odd = np.fromiter((not w or w[0] in self.blank for w in known), bool, len(known))[at]
+        odd[begins] = False
+        if odd.any():
+            own = np.flatnonzero(~odd)
+            size = np.diff(own, append=len(at))
+            place = dict[str, int]()
+            at_own = at[own]
+            for i in np.flatnonzero(size > 1).tolist():
+                joined = " ".join([known[c] for c in at[own[i] : own[i] + size[i]].tolist()])
+                at_own[i] = place.setdefault(joined, len(known) + len(place))
+            begins, at, known = np.searchsorted(own, begins), at_own, known + list(place)
+        return known, at, begins
+
+    def counts(self, texts: pa.Array | list[str]) -> list[int]:
+        """Tokens of every text; a special string is one. Words are split and numbered by Arrow, so only distinct ones become objects."""
         if len(self.spaced) > MEMORY:
             self.spaced.clear()
-        found, runs = [0] * len(texts), []
-        for k, text in enumerate(texts):
-            parts = [text]
-            if self.v.cuts is not None and any(s in text for s in self.v.special):
-                parts = self.v.cuts.split(text)
-                found[k] = len(parts) // 2
-            runs += [(k, part.split(" ")) for part in parts[::2] if part]
-        new = set().union(*(words[1:] for _, words in runs)) - self.spaced.keys()
-        odd = {w for w in new if not w or w[0] in self.blank}
-        if odd:
-            runs = [(k, words if odd.isdisjoint(words[1:]) else self.divide(words)) for k, words in runs]
-            new = set().union(*(words[1:] for _, words in runs)) - self.spaced.keys()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        found, owner, parts = np.zeros(len(texts), np.int64), np.arange(len(texts)), texts
+        special = np.zeros(len(texts), bool)
+        for s in self.v.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            cut = [(k, self.v.cuts.split(texts[k].as_py())) for k in np.flatnonzero(special).tolist()]
+            for k, pieces in cut:
+                found[k] = len(pieces) // 2
+            owner = np.concatenate((np.flatnonzero(~special), np.repeat([k for k, _ in cut], [len(pieces) // 2 + 1 for _, pieces in cut])))
+            parts = pa.concat_arrays([texts.filter(pa.array(~special)), pa.array([p for _, pieces in cut for p in pieces[::2]], pa.large_string())])
+        if not len(parts):
+            return found.tolist()
+        known, at, begins = self.divide(parts)
+        head = np.zeros(len(at), bool)
+        head[begins] = True
+        tail, first = at[~head], np.unique(at[head])
+        codes = np.flatnonzero(np.bincount(tail, minlength=len(known)))
+        words = [known[c] for c in codes.tolist()]
+        new = set(words).difference(self.spaced)
         # A word of long known letters is one pre-token; an ASCII mark after it is another, and one token as every single byte is.
         letters = {w for w in new if w.isalpha() and max(w) < LATIN_END}
         marked = {w: w[:-1] for w in new - letters if w[-1] in MARKS and w[:-1].isalpha() and max(w) < LATIN_END}
         letters |= set(marked.values()) - self.spaced.keys()
-        heads, plain = list({words[0] for _, words in runs if words[0]}), list(letters)
+        heads, plain = [known[c] for c in first.tolist()], list(letters)
         other = list(new - letters - marked.keys())
         mixed, alone = self.learn(heads + [" " + w for w in other], [" " + w for w in plain])
-        first = dict(zip(heads, mixed, strict=False)) | {"": 0}
         self.spaced.update(zip(plain, alone, strict=True))
         self.spaced.update(zip(other, mixed[len(heads) :], strict=True))
         self.spaced.update((w, self.spaced[core] + 1) for w, core in marked.items())
-        for k, words in runs:
-            found[k] += first[words[0]] + sum(map(self.spaced.__getitem__, words[1:]))
+        tokens, of = np.zeros(len(at), np.int64), np.zeros(len(known), np.int64)
+        of[codes] = np.fromiter(map(self.spaced.__getitem__, words), np.int64, len(words))
+        tokens[~head] = of[tail]
+        of[first] = mixed[: len(heads)]
+        tokens[head] = of[at[head]]
+        np.add.at(found, owner, np.add.reduceat(tokens, begins))
         for word in [w for w in new | letters if len(w) > LONGEST]:
             del self.spaced[word]
-        return found
+        return found.tolist()
 
 
 @lru_cache(maxsize=1)
@@ -239,9 +263,9 @@ def token_counts(docs: DataFrame, vocab_path: str, *, limit: int = 512, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = stretches(vocab_path)
-        for batch in gathered(batches, "text", CHUNK):
+        for batch in gathered(batches, "text", COUNTED_CHUNK):
             n_bytes = pa.compute.cast(pa.compute.binary_length(batch.column("text")), pa.int64())
-            tokens = pa.array(memory.counts(batch.column("text").to_pylist()), pa.int64())
+            tokens = pa.array(memory.counts(batch.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), n_bytes, tokens, pa.compute.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
@@ -336,8 +360,8 @@ def lengths(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = stretches(vocab_path)
-        for batch in gathered(batches, "text", CHUNK):
-            n_tokens = pa.array(memory.counts(batch.column("text").to_pylist()), pa.int64())
+        for batch in gathered(batches, "text", COUNTED_CHUNK):
+            n_tokens = pa.array(memory.counts(batch.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_tokens], ["doc_id", "n_tokens"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
@@ -355,7 +379,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, *, with_ids: bool = False, i
         known: dict[str, tuple[int, str, bytes]] = {}
         for batch in slices(batches, "text", CHUNK):
             cut = [v.pre_tokens(text) for text in batch.column("text").to_pylist()]
-            if len(known) > MEMORY:
+            if len(known) > ENCODED:
                 known.clear()
             for special, i in v.special.items():
                 known[special] = (1, str(i), v.bytes_of[i])

@@ -5,6 +5,7 @@ import random
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +100,14 @@ def test_shortcut_is_proved(library):
     assert len(whole) > 40_000
     for piece in sorted(whole)[::500]:
         assert len(library.encode(piece, add_special_tokens=False).ids) == 1
+
+
+def test_words_are_counted_from_arrow(library):
+    """Texts are given as Arrow has them; blanks of every kind, special strings and empty texts count as the library counts them."""
+    rng, special = random.Random(4), next(iter(bpe.vocabulary(PATH).special))
+    parts = ("a", "bc", " ", "  ", "\n", "\t", " ", "é", "1", ".", "'s", special, "Ж", "x.", " the")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(400)] + ["", " ", special, special + special, " a  b "]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    memory = bpe.Stretches(PATH)
+    assert memory.counts(pa.array(texts)) == want and memory.counts(pa.array(texts[7:]).slice(3)) == want[10:]
+    assert memory.counts(pa.array([], pa.string())) == []
