@@ -179,6 +179,17 @@ def test_shared_walls_of_turned_houses(spark):
     assert got[5000, 5001] == pytest.approx(10.0) and (5000, 5002) not in got
 
 
+def plan_size(frame):
+    return len(frame._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plan_of_walls_names_its_columns(spark):
+    """Corners that are terms themselves are not repeated in every term made of them, and an edge is entered under few values."""
+    corner = [(F.col(c) + F.col("face") * 1000 / 7).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    edges = spark.createDataFrame([(0, 1, 0.0, 0.0, 24.0, 0.0), (0, 2, 24.0, 0.0, 24.0, 9.0)], EDGE.replace("feature_id", "face")).select("site_id", "face", *corner)
+    assert plan_size(spatial.shared_walls(edges)) < 30_000
+
+
 def test_storeys_come_from_the_longest_shared_wall(spark):
     faces = [(1, 50.0, 9, None, None, False, False), (2, 50.0, None, None, None, False, False), (3, 50.0, 3, None, None, False, False), (4, 50.0, None, "brick", None, False, False), (5, 700.0, None, None, None, False, False), (6, 50.0, None, None, None, True, False)]
     walls = [(1, 2, 4.0), (2, 3, 6.0), (2, 4, 9.0), (3, 4, 1.9), (1, 6, 9.0), (4, 5, 8.0)]
