@@ -190,6 +190,44 @@ def test_plan_of_walls_names_its_columns(spark):
     assert plan_size(spatial.shared_walls(edges)) < 30_000
 
 
+def greedy_bridges(lines, offers):
+    ends = []
+    for _, f, x1, y1, x2, y2 in lines:
+        n = math.hypot(x2 - x1, y2 - y1)
+        ends += [(2 * f, f, x1, y1, (x1 - x2) / n, (y1 - y2) / n), (2 * f + 1, f, x2, y2, (x2 - x1) / n, (y2 - y1) / n)]
+    pairs = [(math.hypot(a[2] - b[2], a[3] - b[3]), a, b) for a in ends for b in ends if a[0] < b[0] and a[1] != b[1]]
+    used = {e[0] for d, *ab in pairs if d <= 1e-6 for e in ab}
+    found = set()
+    for number, (gap, fits) in enumerate(offers):
+        for d, a, b in sorted((p for p in pairs if p[0] <= gap and fits(*p)), key=lambda p: (p[0], p[1][0], p[2][0])):
+            if not used & {a[0], b[0]}:
+                used |= {a[0], b[0]}
+                found.add((a[0], b[0], number))
+    return found
+
+
+def test_bridges_equal_the_sequential_greedy(spark):
+    """Dense ends are matched in stages and chains of equal gaps one after another; the listed pairs stay few."""
+    rng = random.Random(8)
+    lines = []
+    for f in range(100):
+        x, y = round(rng.uniform(0, 15), 1), round(rng.uniform(0, 15), 1)
+        lines.append((0, f, x, y, x + (2.0 if f % 2 else 0.0), y + (0.0 if f % 2 else 2.0)))
+    lines += [(0, 500 + k, 100.0 + 3.0 * k, 0.0, 102.0 + 3.0 * k, 0.0) for k in range(12)]
+    frame = spark.createDataFrame(lines, EDGE)
+    got = D.bridges(frame, [(4.0, F.lit(True))])[0]
+    assert {(r.a_end_id, r.b_end_id, r.offer) for r in got.collect()} == greedy_bridges(lines, [(4.0, lambda *p: True)])
+
+    def straight(d, a, b):
+        tx, ty = (b[2] - a[2]) / d, (b[3] - a[3]) / d
+        return a[4] * tx + a[5] * ty >= 0.5 and -(b[4] * tx + b[5] * ty) >= 0.5 and -(a[4] * b[4] + a[5] * b[5]) >= 0.5
+
+    ahead = F.coalesce(D.continues(0.5), F.lit(False))
+    got = D.bridges(frame, [(6.0, ahead), (3.0, ~ahead)])[0]
+    want = greedy_bridges(lines, [(6.0, lambda d, a, b: d > 1e-6 and straight(d, a, b)), (3.0, lambda d, a, b: d > 1e-6 and not straight(d, a, b))])
+    assert {(r.a_end_id, r.b_end_id, r.offer) for r in got.collect()} == want
+
+
 def test_storeys_come_from_the_longest_shared_wall(spark):
     faces = [(1, 50.0, 9, None, None, False, False), (2, 50.0, None, None, None, False, False), (3, 50.0, 3, None, None, False, False), (4, 50.0, None, "brick", None, False, False), (5, 700.0, None, None, None, False, False), (6, 50.0, None, None, None, True, False)]
     walls = [(1, 2, 4.0), (2, 3, 6.0), (2, 4, 9.0), (3, 4, 1.9), (1, 6, 9.0), (4, 5, 8.0)]
