@@ -137,8 +137,8 @@ class Stretches:
     """Token counts of texts by stretches, most of which come again and again.
 
     A space before a non-space always begins a pre-token, so a text divides there into stretches whose tokens do not depend
-    on each other: mostly a space and a word. Counts of stretches are remembered, up to ``MEMORY`` of them, then all are
-    forgotten. Only stretches not met before are cut into pre-tokens; of these the proved whole tokens count one each, and
+    on each other: mostly a space and a word. Counts of stretches are remembered, up to ``MEMORY`` of them, then those that
+    the texts at hand do not repeat are forgotten. Only stretches not met before are cut into pre-tokens; of these the proved whole tokens count one each, and
     the rest, of all texts given together, is merged in one call.
     """
 
@@ -147,7 +147,7 @@ class Stretches:
         self.spaced: dict[str, int] = {}
         self.pieces: dict[str, int] = dict.fromkeys(whole_tokens(path), 1)
         self.whole = len(self.pieces)
-        self.blank = blanks()
+        self.blank = pa.array(["", *sorted(blanks())], pa.large_string())
 
     def learn(self, stretches: list[str], plain: list[str]) -> tuple[list[int], list[int]]:
         """Counts of ``stretches`` as they stand in the text, and of ``plain``, a space and letters each; all merged in one call."""
@@ -168,23 +168,26 @@ class Stretches:
         split = pc.split_pattern(parts, " ")
         begins, words = split.offsets.to_numpy()[:-1].astype(np.int64), split.flatten().dictionary_encode()
         known, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        odd = np.fromiter((not w or w[0] in self.blank for w in known), bool, len(known))[at]
+        odd = pc.is_in(pc.utf8_slice_codeunits(words.dictionary, 0, 1), self.blank).to_numpy(zero_copy_only=False)[at]
         odd[begins] = False
         if odd.any():
             own = np.flatnonzero(~odd)
             size = np.diff(own, append=len(at))
             place = dict[str, int]()
             at_own = at[own]
-            for i in np.flatnonzero(size > 1).tolist():
-                joined = " ".join([known[c] for c in at[own[i] : own[i] + size[i]].tolist()])
-                at_own[i] = place.setdefault(joined, len(known) + len(place))
+            several = np.flatnonzero(size > 1)
+            upto = np.cumsum(size[several])
+            of_word = np.arange(upto[-1] if len(upto) else 0) + np.repeat(own[several] - upto + size[several], size[several])
+            spelt, start, new = [known[c] for c in at[of_word].tolist()], 0, []
+            for stop in upto.tolist():
+                new.append(place.setdefault(" ".join(spelt[start:stop]), len(known) + len(place)))
+                start = stop
+            at_own[several] = new
             begins, at, known = np.searchsorted(own, begins), at_own, known + list(place)
         return known, at, begins
 
     def counts(self, texts: pa.Array | list[str]) -> list[int]:
         """Tokens of every text; a special string is one. Words are split and numbered by Arrow, so only distinct ones become objects."""
-        if len(self.spaced) > MEMORY:
-            self.spaced.clear()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         found, owner, parts = np.zeros(len(texts), np.int64), np.arange(len(texts)), texts
         special = np.zeros(len(texts), bool)
@@ -204,10 +207,12 @@ class Stretches:
         tail, first = at[~head], np.unique(at[head])
         codes = np.flatnonzero(np.bincount(tail, minlength=len(known)))
         words = [known[c] for c in codes.tolist()]
+        if len(self.spaced) > MEMORY:
+            self.spaced = {w: self.spaced[w] for w in words if w in self.spaced}
         new = set(words).difference(self.spaced)
         # A word of long known letters is one pre-token; an ASCII mark after it is another, and one token as every single byte is.
-        letters = {w for w in new if w.isalpha() and max(w) < LATIN_END}
-        marked = {w: w[:-1] for w in new - letters if w[-1] in MARKS and w[:-1].isalpha() and max(w) < LATIN_END}
+        letters = {w for w in new if w.isalpha() and (w.isascii() or max(w) < LATIN_END)}
+        marked = {w: w[:-1] for w in new - letters if w[-1] in MARKS and w[:-1].isalpha() and (w.isascii() or max(w) < LATIN_END)}
         letters |= set(marked.values()) - self.spaced.keys()
         heads, plain = [known[c] for c in first.tolist()], list(letters)
         other = list(new - letters - marked.keys())
@@ -350,7 +355,8 @@ def merged(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         before = prv[at]
         fresh = np.concatenate((before[before >= 0], at[beyond >= 0]))
         if len(fresh):
-            index(np.unique(fresh))
+            fresh.sort()
+            index(fresh[np.append(True, fresh[1:] != fresh[:-1])])
     alive = symbols >= 0
     return symbols[alive], np.concatenate(([0], np.cumsum(alive)))[ends]
 

@@ -87,6 +87,17 @@ def test_memory_is_bounded(library, monkeypatch):
         assert len(memory.spaced) <= 50 + 250 and len(memory.pieces) <= memory.whole + 50 + 500
 
 
+def test_repeated_words_outlive_a_full_memory(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    memory, learned = bpe.Stretches(PATH), []
+    learn = memory.learn
+    monkeypatch.setattr(memory, "learn", lambda stretches, plain: learned.extend(plain) or learn(stretches, plain))
+    for k in range(10):
+        text = "the often word " + " ".join(chr(97 + k) + chr(97 + i) + "x" for i in range(26)) + " often word again"
+        assert memory.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert learned.count(" often") == learned.count(" again") == 1 and len(memory.spaced) <= 100
+
+
 def test_one_very_long_pre_token(library):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh") for _ in range(100_000))
