@@ -36,9 +36,9 @@ BANDS, ROWS = 32, 5
 RING = 22
 SEED = 20_240_229
 #: Shingles whose slices are gathered at once.
-GATHER = 1 << 14
-MEMORY = 150_000
-CHUNK = 4 << 20
+GATHER = 1 << 12
+MEMORY = 100_000
+CHUNK = 2 << 20
 #: Classes in buckets up to this number go to the tasks by broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -46,8 +46,10 @@ BROADCAST_ROWS = 200_000
 @lru_cache(maxsize=2)
 def shifted(coordinates: int, seed: int = SEED) -> np.ndarray:
     """Row p holds the second permutation at places p, p+1, ... of the ring; a view, not a copy."""
-    order = np.random.default_rng(seed).permutation(1 << RING).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate((order, order[: coordinates - 1])), coordinates)
+    ring = np.arange((1 << RING) + coordinates - 1, dtype=np.int32)  # shuffled where it stands: a worker never holds it twice
+    np.random.default_rng(seed).shuffle(ring[: 1 << RING])
+    ring[1 << RING :] = ring[: coordinates - 1]
+    return np.lib.stride_tricks.sliding_window_view(ring, coordinates)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
