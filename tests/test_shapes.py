@@ -210,8 +210,8 @@ def test_bridges_equal_the_sequential_greedy(spark):
     """Dense ends are matched in stages and chains of equal gaps one after another; the listed pairs stay few."""
     rng = random.Random(8)
     lines = []
-    for f in range(100):
-        x, y = round(rng.uniform(0, 15), 1), round(rng.uniform(0, 15), 1)
+    for f in range(400):
+        x, y = round(rng.uniform(0, 30), 1), round(rng.uniform(0, 30), 1)
         lines.append((0, f, x, y, x + (2.0 if f % 2 else 0.0), y + (0.0 if f % 2 else 2.0)))
     lines += [(0, 500 + k, 100.0 + 3.0 * k, 0.0, 102.0 + 3.0 * k, 0.0) for k in range(12)]
     frame = spark.createDataFrame(lines, EDGE)
